@@ -29,15 +29,15 @@ def _rules_sql() -> str:
     word = r"[^\x20\x09-\x0D]+"
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
-w AS (SELECT r, doc_id, t, regexp_extract_all(t, '{word}') AS ws, list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '{word}')) AS ls FROM d),
+w AS (SELECT r, doc_id, t, regexp_extract_all(t, '{word}') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{word}')) AS ls FROM d),
 x AS (SELECT r, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) >= 3)),
 marked AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM x) WHERE c > 1),
 rep AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS j FROM marked) GROUP BY r),
 m AS (SELECT doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
   len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, len(ls) AS n_lines,
-  length(regexp_replace(t, '[^A-ZÀ-ÖØ-Þ]', '', 'g')) AS n_upper, len(list_filter(ws, y -> y IN ({stop}))) AS n_stop,
-  len(list_filter(ls, y -> rtrim(y, ' ') LIKE '%...')) AS n_ellipsis,
-  len(list_filter(ls, y -> ltrim(y, ' ') LIKE '- %' OR ltrim(y, ' ') LIKE '* %' OR ltrim(y, ' ') LIKE '•%')) AS n_bullet
+  length(regexp_replace(t, '[^A-ZÀ-ÖØ-Þ]', '', 'g')) AS n_upper, len(list_filter(ws, lambda y: y IN ({stop}))) AS n_stop,
+  len(list_filter(ls, lambda y: rtrim(y, ' ') LIKE '%...')) AS n_ellipsis,
+  len(list_filter(ls, lambda y: ltrim(y, ' ') LIKE '- %' OR ltrim(y, ' ') LIKE '* %' OR ltrim(y, ' ') LIKE '•%')) AS n_bullet
   FROM w LEFT JOIN rep USING (r)),
 q AS (SELECT *, coalesce(word_chars / nullif(n_words, 0), 0) AS mean_word_chars, coalesce(n_symbols / nullif(word_chars, 0), 0) AS symbol_ratio,
   coalesce(n_upper / nullif(word_chars, 0), 0) AS upper_ratio, coalesce(n_stop / nullif(n_words, 0), 0) AS stop_word_ratio, coalesce(n_dup_lines / nullif(n_lines, 0), 0) AS dup_line_ratio,
@@ -50,8 +50,8 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
 def _join_sql() -> str:
     """Exact: every pair that shares a shingle is compared. A class is the closure of the links."""
     return r"""
-WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), x -> x <> '') AS ws FROM documents),
-s AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, unnest(CASE WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), i -> array_to_string(ws[i:i + 4], ' ')) END) AS g FROM w)),
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, unnest(CASE WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS g FROM w)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
 links AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= 0.8 * (x.n + y.n - c)),
