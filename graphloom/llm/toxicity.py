@@ -2,9 +2,8 @@
 
 Labels are given for documents, so token labels come first: a token's features are the word and its first
 4, 5 and 6 letters (inflected forms share them); candidates are features far more frequent in toxic than in
-other training documents; a greedy cover then picks the fewest of them that explain the toxic documents (a
-word that only rides along in copies of one document explains nothing new), and tokens with one of those are
-the labelled ones. The field has two states, a weight for each candidate, a constant one, and transition
+other training documents; those with significant support among toxic documents that are no copies of one
+another (a word that only rides along in copies of one document has next to none) mark the labelled tokens. The field has two states, a weight for each candidate, a constant one, and transition
 weights; it is trained on windows around candidates and elsewhere by forward-backward.
 
 Scoring is exact over whole texts: words without a weight of their own share one transfer matrix, so a
@@ -24,6 +23,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -39,6 +39,8 @@ from .runs import runs
 TOXIC_ROWS, OTHER_ROWS = 4_000, 8_000
 CANDIDATES, LEAST_DOCS, LEAST_RATIO = 3_000, 3, 20.0
 PREFIXES = (4, 5, 6)
+#: The least share of a feature's toxic documents that must be no copies of one another.
+COPIES = 0.3
 WINDOW, WINDOWS = 8, 4
 EDGE = ".,;:!?\"'()[]{}<>|*#$%&-_/\\«»„“”¿¡…"
 
@@ -225,18 +227,21 @@ def fit_field(ids: np.ndarray, states: np.ndarray, mask: np.ndarray, features: i
     return weight[:features], trans
 
 
-def cover(documents: list[set[str]], toxic: dict[str, int], clean: dict[str, int]) -> list[str]:
-    """Greedily the features that explain most toxic documents not explained yet, less the other documents they stand in; of equal ones the commonest in toxic documents."""
-    left, out = [d for d in documents if d], []
-    while left:
-        gain: dict[str, int] = {}
-        for d in left:
-            for w in d:
-                gain[w] = gain.get(w, 0) + 1
-        word = min(gain, key=lambda w: (clean.get(w, 0) - gain[w], -toxic.get(w, 0), w))
-        out.append(word)
-        left = [d for d in left if word not in d]
-    return out
+def supported(found: list[tuple[int, list[str]]], share: float) -> set[str]:
+    """Features of toxic documents whose support is no chance and no copying.
+
+    found: of each toxic document a key that near copies mostly share, and its candidates. Support is the number of different keys. It must
+    reach the count that chance would give one of a million features with probability 1/20, were a document toxic with probability share, and
+    COPIES of the documents that have the feature.
+    """
+    least = max(LEAST_DOCS, math.ceil(math.log(0.05 / 1e6) / math.log(min(max(share, 1e-9), 0.99))))
+    docs: dict[str, int] = {}
+    keys: dict[str, set[int]] = {}
+    for key, features in found:
+        for f in features:
+            docs[f] = docs.get(f, 0) + 1
+            keys.setdefault(f, set()).add(key)
+    return {f for f, k in keys.items() if len(k) >= max(least, COPIES * docs[f])}
 
 
 def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, other_rows: int = OTHER_ROWS) -> Field:
@@ -257,7 +262,7 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, othe
     seen = sample.mapInArrow(words, "toxic int, words array<string>").select("toxic", F.explode("words").alias("w")).groupBy("w").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
     likely = seen.where((F.col("t") >= LEAST_DOCS) & (F.col("t") / totals[1] > LEAST_RATIO * (F.col("c") + 0.5) / max(1, totals.get(0, 0))))
     found = likely.orderBy(F.desc("t"), "w").limit(CANDIDATES).collect()
-    candidates, hits, clean = {r.w for r in found}, {r.w: r.t for r in found}, {r.w: r.c for r in found}
+    candidates = {r.w for r in found}
 
     def windows(batches):
         for b in batches:
@@ -268,12 +273,12 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, othe
                 apart = spots[:: -(-len(spots) // WINDOWS)] if spots else []  # evenly over the whole text
                 for k, i in enumerate([*apart, len(ws) // 2] if ws else []):
                     low = max(0, i - WINDOW)
-                    out.append((doc, toxic, [" ".join(w) for w in ws[low : i + WINDOW + 1]], sorted({f for j in spots for f in ws[j]}) if toxic and not k else []))
-            columns = list(zip(*out, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.string())), strict=True)], ["doc_id", "toxic", "window", "spots"])
+                    out.append((doc, toxic, [" ".join(w) for w in ws[low : i + WINDOW + 1]], sorted({f for j in spots for f in ws[j]}) if toxic and not k else [], min((zlib.crc32(x.encode()) for x in set(text.lower().split()) if len(x) > 5), default=0) if toxic and not k else 0))
+            columns = list(zip(*out, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.string()), pa.int64()), strict=True)], ["doc_id", "toxic", "window", "spots", "copy"])
 
-    got = sample.mapInArrow(windows, "doc_id long, toxic int, window array<string>, spots array<string>").toPandas()
-    toxic_features = set(cover([set(x) for x in got["spots"] if len(x)], hits, clean))
+    got = sample.mapInArrow(windows, "doc_id long, toxic int, window array<string>, spots array<string>, copy long").toPandas()
+    toxic_features = supported([(k, list(x)) for k, x in zip(got["copy"], got["spots"], strict=True) if len(x)], totals[1] / sum(totals.values()))
     number = {w: i for i, w in enumerate(["", *sorted(candidates)])}
     width, per = 2 * WINDOW + 1, 2 + len(PREFIXES)
     ids = np.full((len(got), width, per), -1, np.int64)
