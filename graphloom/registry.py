@@ -500,3 +500,7 @@ def _(s, d):
     from graphloom.streaming.notifications import demo
 
     return demo(s, table(s, d, "conversations"))
+
+
+# Further queries register themselves.
+from graphloom.plans import selection  # noqa: E402, F401
