@@ -503,4 +503,4 @@ def _(s, d):
 
 
 # Further queries register themselves.
-from graphloom.plans import selection  # noqa: E402, F401
+from graphloom.plans import dicom, selection  # noqa: E402, F401

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 
 def sniff(lines: DataFrame) -> DataFrame:
-    """The most frequent character that no word has; of equal ones the least. lines: line."""
-    chars = lines.select(F.explode(F.regexp_extract_all("line", F.lit("[^_a-zA-Z0-9]"), F.lit(0))).alias("delimiter"))
-    return chars.groupBy("delimiter").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "delimiter").limit(1)
+    """The most frequent character that no word has; of equal ones the first to get there. lines: line (one row)."""
+    chars = lines.select(F.posexplode(F.regexp_extract_all("line", F.lit("[^_a-zA-Z0-9]"), F.lit(0))).alias("at", "delimiter"))
+    return chars.groupBy("delimiter").agg(F.count("*").alias("n"), F.max("at").alias("at")).orderBy(F.desc("n"), "at").limit(1).drop("at")
 
 
 def repaired(headers: list[str], cells: int) -> list[str]:
@@ -37,8 +37,9 @@ def read(spark: SparkSession, path: str, delimiter: str | None = None) -> DataFr
         delimiter = found.delimiter if found else ","
     cells = F.split("value", f"\\Q{delimiter}\\E", -1)
     names = repaired(first.value.split(delimiter), lines.agg(F.max(F.size(cells))).first()[0])
-    body = lines.where(F.col("value") != first.value).select(cells.alias("c"))
-    return body.select(*(F.coalesce(F.get("c", F.lit(i)), F.lit("")).alias(n) for i, n in enumerate(names)))
+    schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
+    body = spark.read.schema(schema).csv(path, sep=delimiter, header=True, enforceSchema=True, quote="", escape="")
+    return body.fillna("")
 
 
 def with_surrogate_key(df: DataFrame, order: str, name: str = "PKCol") -> DataFrame:
