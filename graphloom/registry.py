@@ -503,4 +503,4 @@ def _(s, d):
 
 
 # Further queries register themselves.
-from graphloom.plans import abbreviations, corpora, dicom, selection  # noqa: E402, F401
+from graphloom.plans import abbreviations, corpora, dicom, refine, selection  # noqa: E402, F401
