@@ -24,11 +24,12 @@ import hashlib
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, id_and_text, small_batches, table
+from .common import cut, id_and_text, small_batches, table, whole_text
 from .runs import chained, mixed, runs
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.999
@@ -206,7 +207,7 @@ def verify(parts: pa.Table, threshold: float) -> pa.Table:
 
 
 def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, tile: int = TILE) -> DataFrame:
-    """doc_id, set_key, class_id and n_links of every document."""
+    """doc_id, set_key, comp (the class, whatever its doc_ids), class_id and n_links of every document."""
     signed = cut(signatures(docs, n, threshold, recall))
     reps = signed.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("bands").alias("bands"))
     banded = reps.select(F.col("set_key").alias("node"), F.explode("bands").alias("band"))
@@ -235,7 +236,7 @@ def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: floa
     linked_to = verified.groupBy("node").agg(F.sum("links").alias("links"))
     named = reps.select(F.col("set_key").alias("node"), "rep", "n").join(ties, "node", "left").join(linked_to, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     classes = named.groupBy("comp").agg(F.min("rep").alias("class_id"))
-    info = named.join(classes, "comp").select(F.col("node").alias("set_key"), "class_id", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    info = named.join(classes, "comp").select(F.col("node").alias("set_key"), "comp", "class_id", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     return signed.select("doc_id", "set_key").join(info, "set_key")
 
 
@@ -244,11 +245,23 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_class(docs: DataFrame) -> DataFrame:
-    """One document of each class, that with the least doc_id (and then the least text), with all its columns."""
-    found = join(docs)
-    kept = found.groupBy("class_id").agg(F.min("doc_id").alias("keep")).select("keep")
-    nowhere = docs.where("doc_id is null")  # rows without an id stand for themselves where no class has one
-    width = docs.columns
-    chosen = docs.join(kept.where("keep is not null"), F.col("doc_id").eqNullSafe(F.col("keep"))).select(*[docs[c] for c in width])
-    rows = chosen.dropDuplicates(["doc_id"])
-    return rows.unionByName(nowhere.dropDuplicates(["text"]).limit(1)) if kept.where("keep is null").count() else rows
+    """One document of each class, that with the least doc_id (rows without one come last), with all its columns.
+
+    A doc_id names its row unless it is null or stands for several texts; only such rows are told apart by their sets again.
+    """
+    found = cut(join(docs).select("doc_id", "set_key", "comp"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "set_key")).alias("k")
+    kept = found.groupBy("comp").agg(first).select(F.col("k.doc_id").alias("__keep"), F.col("k.set_key").alias("__key"))
+    texts = found.where("doc_id is not null").groupBy("doc_id").agg(F.min("set_key").alias("a"), F.max("set_key").alias("b"))
+    shared = texts.where("a <> b").select(F.col("doc_id").alias("__shared"))
+    named = kept.where("__keep is not null").join(shared, F.col("__keep") == F.col("__shared"), "left_anti").select("__keep")
+    plain = docs.join(named, docs["doc_id"] == F.col("__keep"), "left_semi").dropDuplicates(["doc_id"])
+
+    @F.pandas_udf("binary")
+    def key_of(text: pd.Series) -> pd.Series:
+        return pd.Series(list(map(set_key, shingle_sets(pa.array(text, pa.string())))), dtype=object)
+
+    own = next(c for c in map("__own{}".format, range(len(docs.columns) + 1)) if c not in docs.columns)
+    odd = docs.where("doc_id is null").unionByName(docs.join(shared, docs["doc_id"] == F.col("__shared"), "left_semi")).withColumn(own, key_of(whole_text()))
+    odd = odd.join(kept, F.col("doc_id").eqNullSafe(F.col("__keep")) & (F.col(own) == F.col("__key")), "left_semi").dropDuplicates(["doc_id", own])
+    return plain.unionByName(odd.drop(own))

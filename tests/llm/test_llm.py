@@ -141,6 +141,15 @@ def test_op6_against_all_pairs_with_tiles(spark):
     assert got == {i: (comp[i], len(links[i])) for i in range(len(sets))}
 
 
+def test_op6_one_of_each_class_with_null_and_shared_ids(spark):
+    words = lambda k: " ".join(f"{k}w{i}" for i in range(40))
+    rows = [(1, words("a")), (1, words("b")), (1, words("b")), (2, words("a")), (None, words("c")), (None, words("d")), (None, words("c")), (None, words("a")), (3, words("e") + " end"), (4, words("e"))]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, __own0 string")
+    got = ngram_join.one_of_each_class(docs)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text) for r in got.collect()) == sorted([(1, words("a")), (1, words("b")), (0, words("c")), (0, words("d")), (3, words("e") + " end")])
+
+
 def test_op8_packs_every_token_once(spark, docs):
     bpe = wordbpe.WordBPE(wordbpe.vocabulary("word_bpe_49k.json"))
     rows = packing.pack_documents(docs, wordbpe.vocabulary("word_bpe_49k.json")).collect()
