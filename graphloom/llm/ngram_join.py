@@ -261,6 +261,7 @@ def one_of_each_class(docs: DataFrame) -> DataFrame:
     def key_of(text: pd.Series) -> pd.Series:
         return pd.Series(list(map(set_key, shingle_sets(pa.array(text, pa.string())))), dtype=object)
 
+    key_of = key_of.asNondeterministic()  # else the join below is pushed beneath it, and it runs over all texts
     own = next(c for c in map("__own{}".format, range(len(docs.columns) + 1)) if c not in docs.columns)
     odd = docs.where("doc_id is null").unionByName(docs.join(shared, docs["doc_id"] == F.col("__shared"), "left_semi")).withColumn(own, key_of(whole_text()))
     odd = odd.join(kept, F.col("doc_id").eqNullSafe(F.col("__keep")) & (F.col(own) == F.col("__key")), "left_semi").dropDuplicates(["doc_id", own])
