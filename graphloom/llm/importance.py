@@ -9,8 +9,9 @@ highest draws k documents without replacement in proportion to their weights.
 
 Counts cover every document. Only the target's documents are a bounded sample (TARGET_ROWS labelled rows
 by hash of doc_id); what goes to the driver is one row for each of the models' buckets, summed on the
-executors first. k is the share of good rows among the labelled ones in the documents, by its upper
-confidence bound, so that clean documents aren't drawn away. The k-th highest key is found by counting
+executors first. k is the share of good rows among the labelled ones in the documents, with an allowance
+so that clean documents aren't drawn away: ALLOWANCE of that share at any size, or the share's upper
+confidence bound where few labels make it wider. The k-th highest key is found by counting
 keys by their leading bits, 16 at a time: no global sort, and no row goes to one task.
 
 Defined results: a null or empty text has no n-grams and log weight 0. Rows with the same doc_id and text
@@ -32,6 +33,8 @@ from .common import cut, id_and_text, small_batches, table, whole_text
 from .runs import chained, runs
 
 TARGET_ROWS = 20_000
+#: Misranked good rows grow with the corpus, so the part of k above the good share doesn't shrink with it.
+ALLOWANCE = 0.005
 WORDS = PAIRS = 1 << 16
 CLASSES = 100
 SHAPES = CLASSES * CLASSES * 3
@@ -89,13 +92,13 @@ def ngrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def target_ids(docs: DataFrame, labels: DataFrame, rows: int = TARGET_ROWS) -> tuple[list[int], float]:
-    """The target's documents, and the upper confidence bound of the share of good ones among the labelled documents present."""
+    """The target's documents, and the share of good ones among the labelled documents present, with its allowance."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality is not null")
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality")).join(docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi")
     n, good = known.agg(F.count("*"), F.coalesce(F.sum("quality"), F.lit(0))).first()
     ids = known.where("quality = 1").orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(rows).collect()
     share = good / n if n else 1.0
-    return [r.doc_id for r in ids], min(1.0, share + 2.6 * math.sqrt(share * (1 - share) / n)) if n else 1.0
+    return [r.doc_id for r in ids], min(1.0, share + max(ALLOWANCE * share, 2.6 * math.sqrt(share * (1 - share) / n))) if n else 1.0
 
 
 def log_ratios(docs: DataFrame, target: list[int]) -> np.ndarray:

@@ -206,6 +206,12 @@ def test_op10_keeps_the_good_and_counts_exactly(spark):
     assert [importance.kth_highest(keys, "key", k) for k in (1, 250, 500, 501)] == [*(sorted(values, reverse=True)[k - 1] for k in (1, 250, 500)), None]
 
 
+def test_op10_allowance_does_not_shrink_with_the_labels(spark):
+    rows = spark.range(200_000).select(F.col("id").alias("doc_id"), (F.col("id") % 5 < 4).cast("int").alias("quality"))
+    assert importance.target_ids(rows, rows, 10)[1] >= 0.8 * 1.005
+    assert importance.target_ids(rows.limit(1000), rows.limit(1000), 10)[1] >= 0.8 + 2.6 * (0.16 / 1000) ** 0.5 - 1e-9
+
+
 def test_pipeline_stages_keep_columns_and_clean_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     first = corpus_pipeline.drop_toxic(spark, docs, "/root/testdata/sf0.01")
