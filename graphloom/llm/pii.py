@@ -9,7 +9,9 @@ operator is one projection without a shuffle.
 
 Defined results: a null text stays null, an empty text stays empty, all other columns pass unchanged,
 repeated rows get the same pseudonyms, an empty table gives an empty one. Digits that fail validation
-are no personal number and stay.
+are no personal number and stay. Of a run of digits and capitals, each part from the start of one group
+of characters to the end of one is validated; the longest valid parts that don't overlap are replaced,
+IBANs, dates, addresses and social security numbers before the others.
 """
 
 from __future__ import annotations
@@ -32,10 +34,19 @@ PATTERNS = {
     "date": r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}[./]\d{2}[./]\d{4})(?![\d/-])(?!\.\d)",
     "ip": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d)(?!\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
+    "phone": r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,6}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
     "card": r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-])",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: What is looked at as a whole: these kinds run on over the digits after them, as another value may follow.
+_ON = r"[\d ./-]*+"
+RUNS = PATTERNS | {
+    "iban": PATTERNS["iban"] + _ON,
+    "phone": "|".join(f"(?:{p})" for p in (r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}[ .-]?\d{2,4}" + _ON, *PATTERNS["phone"].split("|")[1:])),
+    "card": r"(?<![\d-])(?=\d(?:[ -]?\d){12})\d" + _ON,
+}
+ANY = "|".join(f"(?:{p})" for p in RUNS.values())
+#: No value but an address is longer: 34 characters of an IBAN with a blank before every fourth, 19 digits of a card with 18 separators.
+LONGEST = 44
 #: Texts without one of these have no candidate at all.
 HINT = r"\d|@"
 
@@ -182,22 +193,58 @@ def new_email(x: Column, key: str) -> Column:
     return F.concat(permuted_letters(F.substring_index(x, "@", 1), key), F.lit("@"), F.substring_index(x, "@", -1))
 
 
-def pseudonym(x: Column, key: str = KEY) -> Column:
-    """The pseudonym of one candidate, by its kind."""
+def pseudonym(x: Column, alone: Column, key: str = KEY) -> Column:
+    """The pseudonym of one candidate, by its kind. Alone: no separator and digit are beside it; dates, addresses and short numbers must be."""
     whole = lambda kind: x.rlike(f"^(?:{PATTERNS[kind]})$")
-    cases = F.when(F.instr(x, "@") > 0, new_email(x, key))
-    for kind, new in (("iban", new_iban), ("date", new_date), ("ip", new_ip), ("ssn", new_ssn)):
-        cases = cases.when(whole(kind), new(x, key))
-    return cases.when(x.rlike(r"^\+|^\(|^\d{3}[.-]\d{3}[.-]\d{4}$"), new_phone(x, key)).otherwise(new_card(x, key))
+    cases = F.when(F.instr(x, "@") > 0, new_email(x, key)).when(whole("iban"), new_iban(x, key))
+    for kind, new in (("date", new_date), ("ip", new_ip), ("ssn", new_ssn)):
+        cases = cases.when(alone & whole(kind), new(x, key))
+    return cases.when((alone | x.startswith("+")) & whole("phone"), new_phone(x, key)).when(whole("card"), new_card(x, key)).otherwise(x)
+
+
+def valid_parts(x: Column, key: str = KEY) -> Column:
+    """array of struct(i, j, new): the first and last place and the pseudonym of the values in a run, in their order."""
+    whole = lambda n: F.array(F.struct(F.lit(1).alias("i"), n.alias("j")))
+
+    def windows(c: Column) -> Column:
+        """All parts between the starts and ends of groups, linear in the run's length."""
+        word = lambda k: F.coalesce(F.get(c, k - 1).rlike("[A-Za-z0-9]"), F.lit(False))
+        starts = F.filter(F.sequence(F.lit(1), F.size(c)), lambda i: (word(i) | F.get(c, i - 1).isin("+", "(")) & ~word(i - 1) & ~F.coalesce(F.get(c, i - 2) == "+", F.lit(False)))
+        ends = lambda i: F.filter(F.sequence(i, F.least(i + LONGEST - 1, F.size(c))), lambda j: (j >= i + 6) & word(j) & ~word(j + 1))
+        return F.flatten(F.transform(starts, lambda i: F.transform(ends(i), lambda j: F.struct(i.alias("i"), j.alias("j")))))
+
+    def made(w: Column) -> Column:
+        part = F.substr(x, w["i"], w["j"] - w["i"] + 1)
+        before, after = F.substr(x, F.greatest(w["i"] - 1, F.lit(1)), F.lit(1)), F.substr(x, w["j"] + 1, F.lit(2))
+        alone = ((w["i"] == 1) | before.isin(" ", ")")) & ~after.rlike(r"^(?:[/-]|\.\d)")
+        return let(part, lambda v: F.struct(w["i"].alias("i"), w["j"].alias("j"), v.alias("old"), pseudonym(v, alone, key).alias("new")))
+
+    #: One in ten parts passes a card's check by chance, so kinds with a stricter form go before cards and telephone numbers.
+    sure = lambda v: v.rlike("^(?:" + "|".join(f"(?:{PATTERNS[k]})" for k in ("iban", "date", "ip", "ssn")) + ")$")
+
+    def chosen(valid: Column) -> Column:
+        order = F.array_sort(F.transform(valid, lambda v: F.struct((~sure(v["old"])).alias("other"), (v["i"] - v["j"]).alias("n"), v["i"].alias("i"), v["j"].alias("j"), v["new"].alias("new"))))
+        none = F.slice(F.transform(order, lambda v: F.struct(v["i"].alias("i"), v["j"].alias("j"), v["new"].alias("new"))), 1, 0)
+        free = lambda got, v: ~F.exists(got, lambda g: (g["i"] <= v["j"]) & (v["i"] <= g["j"]))
+        return F.array_sort(F.aggregate(order, none, lambda got, v: F.when(free(got, v), F.concat(got, F.array(F.struct(v["i"].alias("i"), v["j"].alias("j"), v["new"].alias("new"))))).otherwise(got)))
+
+    found = F.when(F.instr(x, "@") > 0, whole(F.length(x))).otherwise(let(F.split(x, ""), windows))
+    return let(F.filter(F.transform(found, made), lambda v: v["new"] != v["old"]), chosen)
+
+
+def replaced(x: Column, parts: Column) -> Column:
+    """The run with its values' pseudonyms."""
+    step = lambda s, v: F.struct(F.concat(s["t"], F.substr(x, s["at"], v["i"] - s["at"]), v["new"]).alias("t"), (v["j"] + 1).alias("at"))
+    return F.aggregate(parts, F.struct(F.lit("").alias("t"), F.lit(1).alias("at")), step, lambda s: F.concat(s["t"], F.substr(x, s["at"], F.length(x))))
 
 
 def pseudonymised(text: Column, key: str = KEY) -> Column:
     """struct(text, n_values): the text with each validated value replaced, and how many were."""
 
     def of(found: Column) -> Column:
-        new = F.transform(found, lambda x: pseudonym(x, key))
-        whole = lambda n: F.array_join(F.zip_with(F.split(text, ANY, -1), n, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-        return let(new, lambda n: F.struct(whole(n).alias("text"), F.size(F.filter(F.zip_with(found, n, lambda a, b: a != b), lambda y: y)).cast("long").alias("n_values")))
+        new = F.transform(found, lambda x: let(valid_parts(x, key), lambda p: F.struct(replaced(x, p).alias("t"), F.size(p).alias("n"))))
+        whole = lambda n: F.array_join(F.zip_with(F.split(text, ANY, -1), n["t"], lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+        return let(new, lambda n: F.struct(whole(n).alias("text"), F.aggregate(n["n"], F.lit(0).cast("long"), lambda a, b: a + b).alias("n_values")))
 
     kept = F.struct(text.alias("text"), F.lit(0).cast("long").alias("n_values"))
     return F.when(text.isNull() | ~text.rlike(HINT), kept).otherwise(let(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda found: F.when(F.size(found) == 0, kept).otherwise(of(found))))

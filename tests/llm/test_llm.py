@@ -99,6 +99,18 @@ def test_op3_keeps_format_links_and_validity(spark):
     assert sum(d if i % 2 else sum(divmod(2 * d, 10)) for i, d in enumerate(digits)) % 10 == 0
 
 
+def test_op3_values_beside_other_digits_and_capitals(spark):
+    card, iban = "4111 1111 1111 1111", "AT61 1904 3002 3457 3201"
+    cases = [(f"{card} 123", [card]), ("4111111111111111 12/26", ["4111111111111111"]), ("room 12 4111111111111111", ["4111111111111111"]), (f"{iban} BIC", [iban]), ("BE68539007547034 EUR", ["BE68539007547034"]), ("+49 30 1234 5678 2024 1201", ["+49 30 1234 5678"]), ("+49 30 1234 5678 2024 1200", ["1234 5678 2024 1200"])]  # the last passes Luhn
+    cases += [(f"1234 {card} 123 4", [card]), (f"{card} 5500 0000 0000 0004", [card, "5500 0000 0000 0004"]), (f"{iban} {card}", [iban, card]), ("1200 123-45-6789 1999-12-31", ["123-45-6789", "1999-12-31"]), ("4111111111111111 31/12/1999, 10.0.0.1", ["4111111111111111", "31/12/1999", "10.0.0.1"])]
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "id int, text string")
+    for r in rows.withColumn("r", pii.pseudonymised(F.col("text"))).collect():
+        text, values = cases[r.id]
+        rest = re.split("|".join(map(re.escape, values)), text)
+        assert r.r.n_values == len(values) and len(r.r.text) == len(text) and all(v not in r.r.text for v in values), r
+        assert re.fullmatch("(.+)".join(map(re.escape, rest)), r.r.text), r
+
+
 def test_op3_is_a_permutation(spark):
     d = spark.range(10_000).select(F.lpad(F.col("id").cast("string"), 4, "0").alias("d"))
     assert d.select(pii.permuted_digits(F.col("d"), "k", "t").alias("x")).distinct().count() == 10_000
