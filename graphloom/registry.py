@@ -281,6 +281,14 @@ def _(s, d):
     return M.idf_pool(q, M.postings(docs, "doc_id", "text"), docs.agg(F.count("*").alias("d")), 10, 0.05).withColumn("rank", F.col("rank").cast("long"))
 
 
+@query("idf_pool_all")
+def _(s, d):
+    """idf_pool with the tokens of every share; a test compares it with brute force."""
+    docs = table(s, d, "documents")
+    q = table(s, d, "benchmark").select(F.col("item_id").alias("src"), F.explode(X.tokens(F.col("text"))).alias("token"))
+    return M.idf_pool(q, M.postings(docs, "doc_id", "text"), docs.agg(F.count("*").alias("d")), 10, 1.0).withColumn("rank", F.col("rank").cast("long"))
+
+
 _NAMES_SQL = "n AS (SELECT DISTINCT p_name FROM part), pairs AS (SELECT DISTINCT a.p_name AS src, b.p_name AS tgt FROM n a JOIN n b ON split_part(a.p_name, ' ', 1) = split_part(b.p_name, ' ', 1) OR split_part(a.p_name, ' ', 2) = split_part(b.p_name, ' ', 2) WHERE a.p_name <> b.p_name)"
 
 

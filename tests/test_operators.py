@@ -81,6 +81,22 @@ def test_suitability_scan_against_a_loop(spark):
     assert {(x.src, x.pos) for x in got} == want
 
 
+def test_idf_pool_all_against_brute_force(spark, tmp_path):
+    import math
+
+    docs = {i: "the old " + ("red " if i % 2 else "") + ("blue " if i % 3 else "") + f"w{i % 7}" for i in range(1, 31)}
+    items = {1: "red blue", 2: "the w3", 3: "blue blue w5"}
+    spark.createDataFrame(list(docs.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(items.items()), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    df = lambda t: sum(t in x.split() for x in docs.values())
+    want = set()
+    for src, text in items.items():
+        scores = {i: round(sum(math.log10(len(docs) / df(t)) for t in text.split() if t in x.split()), 6) for i, x in docs.items() if set(text.split()) & set(x.split())}
+        want |= {(src, i, k + 1) for k, i in enumerate(sorted(scores, key=lambda i: (-scores[i], i))[:10])}
+    got = registry.queries()["idf_pool_all"](spark, str(tmp_path)).collect()
+    assert {(r.src, r.entity, r["rank"]) for r in got} == want and {r.src for r in got} == {1, 2, 3}
+
+
 def test_fuzzy_ratios(spark):
     df = spark.createDataFrame([("abcd", "abxd"), ("rate", "interest rate"), ("", "")], "a string, b string")
     got = [(round(r[0]), round(r[1])) for r in df.select(X.ratio("a", "b"), X.partial_ratio("a", "b")).collect()]
