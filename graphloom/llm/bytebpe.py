@@ -196,6 +196,10 @@ class ByteBPE:
             pieces = self.find(texts[int(i)].as_py())
             self.encode_pieces(set(pieces))
             out[i] = np.frombuffer(b"".join([self.pieces[p] for p in pieces]), np.uint32)
+            for p in {p for p in pieces if len(p) > LONGEST_KEPT}:
+                del self.pieces[p]
+            if len(self.pieces) > CACHE_RUNS:
+                self.pieces.clear()
         for cache in (self.inner, self.begun):
             for x in (*names, *begun):
                 if len(x) > LONGEST_KEPT:

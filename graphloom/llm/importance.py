@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, id_and_text, small_batches, table, whole_text
+from .common import fresh_dir, id_and_text, small_batches, table, whole_text
 from .runs import chained, runs
 
 TARGET_ROWS = 20_000
@@ -149,8 +149,8 @@ def weight_column(spark: SparkSession, ratios: np.ndarray, text: Column) -> Colu
 
 
 def gumbel(seed: int = SEED) -> Column:
-    """Noise that depends on the document alone, so that a rerun draws the same."""
-    u = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+    """Noise that depends on the document's id and text alone, so that a rerun draws the same and documents without an id draw apart."""
+    u = (F.pmod(F.xxhash64(F.col("doc_id").cast("long"), whole_text(), F.lit(seed)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
     return -F.log(-F.log(u))
 
 
@@ -173,23 +173,28 @@ def kth_highest(keys: DataFrame, column: str, k: int) -> int | None:
     return prefix - (1 << 47)
 
 
-def keys(docs: DataFrame, labels: DataFrame) -> tuple:
-    """The column of the log weight, the function from it to the key (24 binary places), the least key kept (None: all), and the written keys."""
+def scored_rows(docs: DataFrame, labels: DataFrame, columns: list[str]) -> tuple[DataFrame, str, str, int | None]:
+    """The given columns of each document with its log weight and key (24 binary places), written once to the shared folder; the names of these two; the least key kept (None: all)."""
     spark = docs.sparkSession
     target, share = target_ids(docs, labels)
     weight = weight_column(spark, log_ratios(docs, target), whole_text())
     key = lambda w: F.round((F.greatest(F.least(w + gumbel(), F.lit(4e6)), F.lit(-4e6))) * float(1 << 24)).cast("long")
-    scored = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), weight.alias("log_weight")).withColumn("key", key(F.col("log_weight"))))
-    return weight, key, kth_highest(scored, "key", math.ceil(share * scored.count())), scored
+    taken = {c.lower() for c in docs.columns}
+    w, k = (next(c for c in (f"{x}{'_' * i}" for i in range(len(taken) + 1)) if c not in taken) for x in ("log_weight", "key"))
+    folder = fresh_dir(spark, "scored")
+    docs.withColumn(w, weight).withColumn(k, key(F.col(w))).select(*columns, w, k).write.parquet(folder)
+    scored = spark.read.parquet(folder)
+    return scored, w, k, kth_highest(scored, k, math.ceil(share * scored.count()))
 
 
 def op10_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, _, least, scored = keys(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return scored.select("doc_id", "log_weight", (F.col("key") / float(1 << 24)).alias("gumbel_key"), (F.col("key") >= F.lit(least if least is not None else -(1 << 62))).alias("kept"))
+    scored, w, k, least = scored_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"])
+    kept = F.col(k) >= F.lit(least if least is not None else -(1 << 62))
+    return scored.select("doc_id", F.col(w).alias("log_weight"), (F.col(k) / float(1 << 24)).alias("gumbel_key"), kept.alias("kept"))
 
 
 def resampled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents drawn, with all their columns."""
+    """The documents drawn, with all their columns. They are scored once and written with their keys; the rest of the work reads the keys only."""
     small_batches(docs.sparkSession)
-    weight, key, least, _ = keys(docs, labels)
-    return docs.where(key(weight) >= F.lit(least)) if least is not None else docs
+    scored, w, k, least = scored_rows(docs, labels, docs.columns)
+    return (scored.where(F.col(k) >= F.lit(least)) if least is not None else scored).drop(w, k)

@@ -16,6 +16,7 @@ other documents have likeness at least the threshold to it, copies included).
 Defined results: words are runs between white space. A text of fewer than five words is one shingle; a text
 without words is one shingle of its characters, so all empty and null texts are copies of one another.
 Repeated rows are copies. Rows without doc_id take part; a class of such rows only has no class_id.
+An id that stands for several texts gives a row for each.
 """
 
 from __future__ import annotations
@@ -24,7 +25,6 @@ import hashlib
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +36,8 @@ N, THRESHOLD, RECALL = 5, 0.8, 0.999
 MOST_HASHES = 256
 TILE = 512
 SMALL_ROWS = 2_000
+#: Parts that the edges of one node are dealt in.
+SALTS = 256
 KEPT = 400_000
 
 
@@ -98,8 +100,13 @@ def band_hashes(s: np.ndarray, multipliers: np.ndarray, bands: int) -> np.ndarra
     return chained([np.arange(bands, dtype=np.uint64), *(rows[:, k] for k in range(rows.shape[1]))]).view(np.int64)
 
 
+def named(docs: DataFrame) -> DataFrame:
+    """doc_id, text and h, a hash of the text: what a row is told apart by, where ids are null or stand for several texts."""
+    return id_and_text(docs).withColumn("h", F.xxhash64("text"))
+
+
 def signatures(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """doc_id, set_key and band hashes of every document."""
+    """doc_id, h, set_key and band hashes of every document."""
     small_batches(docs.sparkSession)
     bands, rows = bands_and_rows(threshold, recall)
     multipliers = seeds(bands * rows)
@@ -107,26 +114,31 @@ def signatures(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall
     def run(batches):
         for b in batches:
             sets = shingle_sets(b.column("text"), n)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(list(map(set_key, sets)), pa.binary()), pa.array([band_hashes(s, multipliers, bands) for s in sets], pa.list_(pa.int64()))], ["doc_id", "set_key", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array(list(map(set_key, sets)), pa.binary()), pa.array([band_hashes(s, multipliers, bands) for s in sets], pa.list_(pa.int64()))], ["doc_id", "h", "set_key", "bands"])
+
+    return named(docs).mapInArrow(run, "doc_id long, h long, set_key binary, bands array<long>")
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, set_key binary, bands array<long>")
 
+def with_least(edges: DataFrame) -> DataFrame:
+    """u, v and m, the least v of each u. A node's edges are dealt in SALTS parts, of which only those there come back with m, so no task holds all edges of a node."""
+    dealt = edges.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    parts = dealt.groupBy("u", "s").agg(F.min("v").alias("m")).groupBy("u").agg(F.min("m").alias("m"), F.collect_list("s").alias("s"))
+    return dealt.join(parts.select("u", "m", F.explode("s").alias("s")), ["u", "s"]).select("u", "v", "m")
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -> DataFrame:
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node and comp (the least node of its connected part), by alternating large and small stars.
 
-    Each step ties nodes to the least neighbour they know; the number of steps grows with the logarithm of
+    Each step ties nodes to the least neighbour they know, until nothing changes; the number of steps grows with the logarithm of
     a part's size, and the edges never become more. Steps are written to the shared folder.
     """
-    now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    now, before = cut(now), None
-    for _ in range(rounds):
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("x"), F.col("m"), F.col("u")).select(F.explode(F.array(F.struct(F.col("x").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        now = cut(small)
+    now = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
+    before = None
+    while True:
+        both = with_least(now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+        large = both.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v").distinct()
+        ends = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))
+        now = cut(with_least(large).select(F.inline(ends)).where("u <> v").distinct())
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break
@@ -207,24 +219,23 @@ def verify(parts: pa.Table, threshold: float) -> pa.Table:
 
 
 def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, tile: int = TILE) -> DataFrame:
-    """doc_id, set_key, comp (the class, whatever its doc_ids), class_id and n_links of every document."""
+    """doc_id, h (the text's hash), set_key, comp (the class, whatever its doc_ids), class_id and n_links of every document."""
     signed = cut(signatures(docs, n, threshold, recall))
-    reps = signed.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("bands").alias("bands"))
-    banded = reps.select(F.col("set_key").alias("node"), F.explode("bands").alias("band"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h")).alias("k")
+    reps = signed.groupBy("set_key").agg(first, F.count("*").alias("n"), F.first("bands").alias("bands")).select(F.col("set_key").alias("node"), F.col("k.doc_id").alias("rep"), F.col("k.h").alias("rep_h"), "n", "bands")
+    banded = reps.select("node", F.explode("bands").alias("band"))
     heads = banded.groupBy("band").agg(F.min("node").alias("head"), F.count("*").alias("members")).where("members > 1").drop("members")
     parts = cut(components(banded.join(heads, "band").where("node <> head").select("node", "head").distinct(), "node", "head"))
     sizes = parts.groupBy("comp").agg(F.count("*").alias("size"))
-    wanted = parts.join(sizes, "comp").join(reps.select(F.col("set_key").alias("node"), "rep", "n"), "node")
+    wanted = parts.join(sizes, "comp").join(reps.select("node", "rep", "rep_h", "n"), "node")
 
     def with_sets(batches):
         for b in batches:
-            sets = shingle_sets(b.column("text"), n)
-            keys = list(map(set_key, sets))
-            same = [i for i, (k, want) in enumerate(zip(keys, b.column("node").to_pylist(), strict=True)) if k == want]
-            yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(same, pa.int64())) for c in ("comp", "node", "size", "n")), pa.array([sets[i].view(np.int64) for i in same], pa.list_(pa.int64()))], ["comp", "node", "size", "n", "shingles"])
+            sets = [x.view(np.int64) for x in shingle_sets(b.column("text"), n)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("comp", "node", "size", "n")), pa.array(sets, pa.list_(pa.int64()))], ["comp", "node", "size", "n", "shingles"])
 
-    # a doc_id that stands for several texts brings them all; only the one with the wanted set stays
-    texts = id_and_text(docs).join(wanted, F.col("doc_id").eqNullSafe(F.col("rep")))
+    # id and text name a row; rows that repeat another whole bring the same set, and one of them stays
+    texts = named(docs).join(wanted, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("h") == F.col("rep_h")))
     full = texts.select("text", "comp", "node", "size", "n").mapInArrow(with_sets, "comp binary, node binary, size long, n long, shingles array<long>").dropDuplicates(["node"])
     tiles = F.ceil(F.col("size") / tile).cast("int")
     own = F.pmod(F.xxhash64("node"), tiles).cast("int")
@@ -234,10 +245,10 @@ def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: floa
     verified = cut(dealt.groupBy("g").applyInArrow(lambda t: verify(t, threshold), "node binary, root binary, links long"))
     ties = components(verified.where("node <> root").select("node", "root"), "node", "root")
     linked_to = verified.groupBy("node").agg(F.sum("links").alias("links"))
-    named = reps.select(F.col("set_key").alias("node"), "rep", "n").join(ties, "node", "left").join(linked_to, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    classes = named.groupBy("comp").agg(F.min("rep").alias("class_id"))
-    info = named.join(classes, "comp").select(F.col("node").alias("set_key"), "comp", "class_id", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    return signed.select("doc_id", "set_key").join(info, "set_key")
+    known = reps.select("node", "rep", "n").join(ties, "node", "left").join(linked_to, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    classes = known.groupBy("comp").agg(F.min("rep").alias("class_id"))
+    info = known.join(classes, "comp").select(F.col("node").alias("set_key"), "comp", "class_id", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    return signed.select("doc_id", "h", "set_key").join(info, "set_key")
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -247,22 +258,15 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def one_of_each_class(docs: DataFrame) -> DataFrame:
     """One document of each class, that with the least doc_id (rows without one come last), with all its columns.
 
-    A doc_id names its row unless it is null or stands for several texts; only such rows are told apart by their sets again.
+    A row is named by its doc_id and its text's hash; only rows that repeat another in both are told apart by a shuffle of their own.
     """
-    found = cut(join(docs).select("doc_id", "set_key", "comp"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "set_key")).alias("k")
-    kept = found.groupBy("comp").agg(first).select(F.col("k.doc_id").alias("__keep"), F.col("k.set_key").alias("__key"))
-    texts = found.where("doc_id is not null").groupBy("doc_id").agg(F.min("set_key").alias("a"), F.max("set_key").alias("b"))
-    shared = texts.where("a <> b").select(F.col("doc_id").alias("__shared"))
-    named = kept.where("__keep is not null").join(shared, F.col("__keep") == F.col("__shared"), "left_anti").select("__keep")
-    plain = docs.join(named, docs["doc_id"] == F.col("__keep"), "left_semi").dropDuplicates(["doc_id"])
-
-    @F.pandas_udf("binary")
-    def key_of(text: pd.Series) -> pd.Series:
-        return pd.Series(list(map(set_key, shingle_sets(pa.array(text, pa.string())))), dtype=object)
-
-    key_of = key_of.asNondeterministic()  # else the join below is pushed beneath it, and it runs over all texts
-    own = next(c for c in map("__own{}".format, range(len(docs.columns) + 1)) if c not in docs.columns)
-    odd = docs.where("doc_id is null").unionByName(docs.join(shared, docs["doc_id"] == F.col("__shared"), "left_semi")).withColumn(own, key_of(whole_text()))
-    odd = odd.join(kept, F.col("doc_id").eqNullSafe(F.col("__keep")) & (F.col(own) == F.col("__key")), "left_semi").dropDuplicates(["doc_id", own])
-    return plain.unionByName(odd.drop(own))
+    found = cut(join(docs).groupBy("comp", "doc_id", "h").agg(F.count("*").alias("copies")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h", "copies")).alias("k")
+    taken = {c.lower() for c in docs.columns}
+    keep, h, copies = (next(c for c in (f"__{x}{i}" for i in range(len(taken) + 1)) if c not in taken) for x in ("keep", "h", "copies"))
+    kept = cut(found.groupBy("comp").agg(first).select(F.col("k.doc_id").alias(keep), F.col("k.h").alias(h), F.col("k.copies").alias(copies)))
+    rows = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col(keep)) & (F.xxhash64(whole_text()) == F.col(h)))
+    single = rows.where(F.col(copies) == 1)
+    if not kept.where(F.col(copies) > 1).isEmpty():
+        single = single.unionByName(rows.where(F.col(copies) > 1).dropDuplicates([keep, h]))
+    return single.drop(keep, h, copies)

@@ -7,29 +7,41 @@ the value's digits (or letters, or the day's number) permutes the values of a fo
 stay equal in every document and different ones stay different, and nothing has to be looked up: the
 operator is one projection without a shuffle.
 
+The key is the caller's: whoever has it can undo the network. Queries take it from the session's setting
+spark.graphloom.pii.secret; where none is set, each driver process draws a key of its own and forgets it,
+so pseudonyms link within what that process writes and nobody can undo them.
+
 Defined results: a null text stays null, an empty text stays empty, all other columns pass unchanged,
 repeated rows get the same pseudonyms, an empty table gives an empty one. Digits that fail validation
 are no personal number and stay. Of a run of digits and capitals, each part from the start of one group
 of characters to the end of one is validated; the longest valid parts that don't overlap are replaced,
-IBANs, dates, addresses and social security numbers before the others.
+IBANs, dates, addresses and social security numbers before the others. Runs of more than BLOCK characters
+are worked through block by block, from left to right, a part belonging to the block it starts in: no valid
+value is passed over unless it overlaps a replaced one, and work grows linearly with a run. The local part
+of an address is at most its last 64 characters, its domain at most 126 labels.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import secrets
+from functools import cache
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import let, table
 
-KEY = "graphloom-demo-key"
+SETTING = "spark.graphloom.pii.secret"
 ROUNDS = 8
+#: Characters of a run that are looked at together.
+BLOCK = 256
 #: Days from 1900-01-01 to 2099-12-31: 73,049 = 17 x 4,297, so that a network over the two factors permutes exactly these days.
 FIRST_DAY, DAYS_HIGH, DAYS_LOW = "1900-01-01", 17, 4297
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 
 #: Candidates, the more specific first; a candidate counts once it is validated.
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}+\.){1,126}[A-Za-z]{2,63}",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
     "date": r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}[./]\d{2}[./]\d{4})(?![\d/-])(?!\.\d)",
     "ip": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d)(?!\.\d)",
@@ -193,23 +205,33 @@ def new_email(x: Column, key: str) -> Column:
     return F.concat(permuted_letters(F.substring_index(x, "@", 1), key), F.lit("@"), F.substring_index(x, "@", -1))
 
 
-def pseudonym(x: Column, alone: Column, key: str = KEY) -> Column:
+@cache
+def _own_key() -> str:
+    return secrets.token_hex(32)
+
+
+def session_key(spark: SparkSession) -> str:
+    """The key that the session names, else this process's own."""
+    return spark.conf.get(SETTING, None) or _own_key()
+
+
+def pseudonym(x: Column, alone: Column, key: str) -> Column:
     """The pseudonym of one candidate, by its kind. Alone: no separator and digit are beside it; dates, addresses and short numbers must be."""
     whole = lambda kind: x.rlike(f"^(?:{PATTERNS[kind]})$")
-    cases = F.when(F.instr(x, "@") > 0, new_email(x, key)).when(whole("iban"), new_iban(x, key))
+    cases = F.when(whole("iban"), new_iban(x, key))
     for kind, new in (("date", new_date), ("ip", new_ip), ("ssn", new_ssn)):
         cases = cases.when(alone & whole(kind), new(x, key))
     return cases.when((alone | x.startswith("+")) & whole("phone"), new_phone(x, key)).when(whole("card"), new_card(x, key)).otherwise(x)
 
 
-def valid_parts(x: Column, key: str = KEY) -> Column:
-    """array of struct(i, j, new): the first and last place and the pseudonym of the values in a run, in their order."""
-    whole = lambda n: F.array(F.struct(F.lit(1).alias("i"), n.alias("j")))
+def valid_parts(x: Column, low: Column, high: Column, key: str) -> Column:
+    """array of struct(i, j, new): the first and last place and the pseudonym of the values that start at low to high, in their order."""
 
     def windows(c: Column) -> Column:
-        """All parts between the starts and ends of groups, linear in the run's length."""
+        """All parts between the starts and ends of groups."""
         word = lambda k: F.coalesce(F.get(c, k - 1).rlike("[A-Za-z0-9]"), F.lit(False))
-        starts = F.filter(F.sequence(F.lit(1), F.size(c)), lambda i: (word(i) | F.get(c, i - 1).isin("+", "(")) & ~word(i - 1) & ~F.coalesce(F.get(c, i - 2) == "+", F.lit(False)))
+        places = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+        starts = F.filter(places, lambda i: (word(i) | F.get(c, i - 1).isin("+", "(")) & ~word(i - 1) & ~F.coalesce(F.get(c, i - 2) == "+", F.lit(False)))
         ends = lambda i: F.filter(F.sequence(i, F.least(i + LONGEST - 1, F.size(c))), lambda j: (j >= i + 6) & word(j) & ~word(j + 1))
         return F.flatten(F.transform(starts, lambda i: F.transform(ends(i), lambda j: F.struct(i.alias("i"), j.alias("j")))))
 
@@ -228,21 +250,40 @@ def valid_parts(x: Column, key: str = KEY) -> Column:
         free = lambda got, v: ~F.exists(got, lambda g: (g["i"] <= v["j"]) & (v["i"] <= g["j"]))
         return F.array_sort(F.aggregate(order, none, lambda got, v: F.when(free(got, v), F.concat(got, F.array(F.struct(v["i"].alias("i"), v["j"].alias("j"), v["new"].alias("new"))))).otherwise(got)))
 
-    found = F.when(F.instr(x, "@") > 0, whole(F.length(x))).otherwise(let(F.split(x, ""), windows))
-    return let(F.filter(F.transform(found, made), lambda v: v["new"] != v["old"]), chosen)
+    return let(F.filter(F.transform(let(F.split(x, ""), windows), made), lambda v: v["new"] != v["old"]), chosen)
+
+
+def renewed(x: Column, key: str) -> Column:
+    """struct(t, n) of a run: its text with the values' pseudonyms, and how many it had. A block sees two characters before it and as many after it as a value that starts in it may need."""
+
+    def step(blocks: Column):
+        def of(s: Column, k: Column) -> Column:
+            before, own = F.coalesce(F.right(F.get(blocks, k - 1), F.lit(2)), F.lit("")), F.get(blocks, k)
+            seen = F.concat(before, own, F.coalesce(F.left(F.get(blocks, k + 1), F.lit(LONGEST + 2)), F.lit("")))
+            return let(F.struct(seen.alias("x"), F.length(before).alias("off"), (F.length(before) + F.length(own)).alias("end")), lambda b: written(s, b))
+
+        return of
+
+    def written(s: Column, b: Column) -> Column:
+        put = lambda w, v: F.struct(F.concat(w["t"], F.substr(b["x"], w["at"], v["i"] - w["at"]), v["new"]).alias("t"), (v["j"] + 1).alias("at"))
+        parts = valid_parts(b["x"], b["off"] + s["skip"] + 1, b["end"], key)
+        rest = lambda w: F.when(w["at"] <= b["end"], F.substr(b["x"], w["at"], b["end"] - w["at"] + 1)).otherwise(F.lit(""))
+        done = lambda p: F.aggregate(p, F.struct(F.lit("").alias("t"), (b["off"] + s["skip"] + 1).alias("at")), put, lambda w: F.struct(F.concat(w["t"], rest(w)).alias("t"), F.greatest(w["at"] - b["end"] - 1, F.lit(0)).alias("skip"), F.size(p).alias("n")))
+        return let(parts, lambda p: let(done(p), lambda d: F.struct(F.concat(s["t"], F.array(d["t"])).alias("t"), d["skip"].alias("skip"), (s["n"] + d["n"]).alias("n"))))
 
+    def in_blocks(blocks: Column) -> Column:
+        start = F.struct(F.array().cast("array<string>").alias("t"), F.lit(0).alias("skip"), F.lit(0).alias("n"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(blocks) - 1), start, step(blocks), lambda s: F.struct(F.array_join(s["t"], "").alias("t"), s["n"].alias("n")))
 
-def replaced(x: Column, parts: Column) -> Column:
-    """The run with its values' pseudonyms."""
-    step = lambda s, v: F.struct(F.concat(s["t"], F.substr(x, s["at"], v["i"] - s["at"]), v["new"]).alias("t"), (v["j"] + 1).alias("at"))
-    return F.aggregate(parts, F.struct(F.lit("").alias("t"), F.lit(1).alias("at")), step, lambda s: F.concat(s["t"], F.substr(x, s["at"], F.length(x))))
+    address = F.struct(new_email(x, key).alias("t"), F.lit(1).alias("n"))
+    return F.when(F.instr(x, "@") > 0, address).otherwise(let(F.regexp_extract_all(x, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)), in_blocks))
 
 
-def pseudonymised(text: Column, key: str = KEY) -> Column:
+def pseudonymised(text: Column, key: str) -> Column:
     """struct(text, n_values): the text with each validated value replaced, and how many were."""
 
     def of(found: Column) -> Column:
-        new = F.transform(found, lambda x: let(valid_parts(x, key), lambda p: F.struct(replaced(x, p).alias("t"), F.size(p).alias("n"))))
+        new = F.transform(found, lambda x: renewed(x, key))
         whole = lambda n: F.array_join(F.zip_with(F.split(text, ANY, -1), n["t"], lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
         return let(new, lambda n: F.struct(whole(n).alias("text"), F.aggregate(n["n"], F.lit(0).cast("long"), lambda a, b: a + b).alias("n_values")))
 
@@ -250,11 +291,11 @@ def pseudonymised(text: Column, key: str = KEY) -> Column:
     return F.when(text.isNull() | ~text.rlike(HINT), kept).otherwise(let(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda found: F.when(F.size(found) == 0, kept).otherwise(of(found))))
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """The same rows and columns, with the texts' personal values replaced."""
     return docs.withColumn("text", pseudonymised(F.col("text"), key)["text"])
 
 
 def op3_feistel_pii(spark, sf_dir: str) -> DataFrame:
-    done = pseudonymised(F.col("text"))
+    done = pseudonymised(F.col("text"), session_key(spark))
     return table(spark, sf_dir, "documents").select("doc_id", done.alias("r")).select("doc_id", "r.text", "r.n_values")

@@ -46,7 +46,7 @@ def test_awkward_and_empty_tables_pass_every_operator(spark, odd):
     runs = [
         lambda d: spotsigs.fingerprint_edits(d),
         lambda d: wordbpe.count_tokens(d, path, 1000, 50),
-        lambda d: pii.pseudonymise(d),
+        lambda d: pii.pseudonymise(d, "k"),
         lambda d: bytebpe.encode_decode(d, wordbpe.vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN),
         lambda d: ngram_join.join(d),
         lambda d: quality_rules.apply_rules(d),
@@ -90,7 +90,7 @@ def test_op3_keeps_format_links_and_validity(spark):
     values = ["4111 1111 1111 1111", "+1 (343) 555-6039", "79.197.74.40", "1999-12-31", "31.12.1999", "DE89 3704 0044 0532 0130 00", "that.92@mail2.example.com", "123-45-6789"]
     text = " and ".join(values)
     rows = spark.createDataFrame([(1, text), (2, text), (3, "order 1234567890123456 of 2024, 3.14"), (4, None), (5, "")], "doc_id long, text string")
-    got = {r.doc_id: r.text for r in pii.pseudonymise(rows).collect()}
+    got = {r.doc_id: r.text for r in pii.pseudonymise(rows, "k").collect()}
     assert got[1] == got[2] and got[3] == "order 1234567890123456 of 2024, 3.14" and got[4] is None and got[5] == ""
     shape = lambda x: re.sub(r"\d", "0", re.sub("[a-z]", "a", x))
     new = got[1].split(" and ")
@@ -104,7 +104,7 @@ def test_op3_values_beside_other_digits_and_capitals(spark):
     cases = [(f"{card} 123", [card]), ("4111111111111111 12/26", ["4111111111111111"]), ("room 12 4111111111111111", ["4111111111111111"]), (f"{iban} BIC", [iban]), ("BE68539007547034 EUR", ["BE68539007547034"]), ("+49 30 1234 5678 2024 1201", ["+49 30 1234 5678"]), ("+49 30 1234 5678 2024 1200", ["1234 5678 2024 1200"])]  # the last passes Luhn
     cases += [(f"1234 {card} 123 4", [card]), (f"{card} 5500 0000 0000 0004", [card, "5500 0000 0000 0004"]), (f"{iban} {card}", [iban, card]), ("1200 123-45-6789 1999-12-31", ["123-45-6789", "1999-12-31"]), ("4111111111111111 31/12/1999, 10.0.0.1", ["4111111111111111", "31/12/1999", "10.0.0.1"])]
     rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "id int, text string")
-    for r in rows.withColumn("r", pii.pseudonymised(F.col("text"))).collect():
+    for r in rows.withColumn("r", pii.pseudonymised(F.col("text"), "k")).collect():
         text, values = cases[r.id]
         rest = re.split("|".join(map(re.escape, values)), text)
         assert r.r.n_values == len(values) and len(r.r.text) == len(text) and all(v not in r.r.text for v in values), r
@@ -156,7 +156,7 @@ def test_op6_against_all_pairs_with_tiles(spark):
 def test_op6_one_of_each_class_with_null_and_shared_ids(spark):
     words = lambda k: " ".join(f"{k}w{i}" for i in range(40))
     rows = [(1, words("a")), (1, words("b")), (1, words("b")), (2, words("a")), (None, words("c")), (None, words("d")), (None, words("c")), (None, words("a")), (3, words("e") + " end"), (4, words("e"))]
-    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, __own0 string")
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, __keep0 string")
     got = ngram_join.one_of_each_class(docs)
     assert got.columns == docs.columns
     assert sorted((r.doc_id or 0, r.text) for r in got.collect()) == sorted([(1, words("a")), (1, words("b")), (0, words("c")), (0, words("d")), (3, words("e") + " end")])
