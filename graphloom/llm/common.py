@@ -27,15 +27,25 @@ def id_and_text(docs: DataFrame) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Sets the session's batch size, for good: plans read it when they run, after the operator has returned."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only where the cluster names none (tests) a local one is made."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="graphloom-"))
-    return (named or spark.sparkContext.getCheckpointDir()).rstrip("/")
+    """The folder that driver and executors share, from spark.checkpoint.dir. Only a local session, where both are one process, may name none and gets one."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if context.getCheckpointDir() is None:
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="graphloom-"))
+    return (named or context.getCheckpointDir()).rstrip("/")
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Removes a folder of intermediate rows that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fresh_dir(spark: SparkSession, what: str) -> str:

@@ -1,16 +1,19 @@
 """Best-fit packing by bin completion: documents' tokens into as few sequences of fixed length as can be.
 
 Tokens are made once, in one pass over the texts; from then on only (document, piece, length) moves.
-Pieces are dealt by a hash into groups of a bounded number, so no task ever gets more than a group and a
-hot document or source spreads evenly. Each group is packed on its own (it costs at most one sequence
-that isn't full for a group of thousands):
+Pieces as long as a sequence are one. All others are dealt by a hash of their place into groups of a bounded number,
+so no task ever gets more than about a group, and neither a hot document or source nor repeated rows meet in one. Each group is packed on its own:
 
 * best-fit decreasing gives the incumbent, and total / capacity with the number of pieces over half a
   sequence a lower bound; where they meet the packing is proven best.
 * else branch and bound over bin completions: the largest piece left opens a sequence, its undominated
   maximal fillings are enumerated by least waste, a branch is cut as soon as its waste exceeds what a
-  packing with one sequence less could waste, and each better packing becomes the incumbent. NODES bounds the
-  search of a group; the incumbent stands when it is spent.
+  packing with one sequence less could waste, and each better packing becomes the incumbent. The search is a heuristic
+  where NODES (branches of a group), BRANCHES (fillings tried at a node) or STEPS (of one enumeration) cut it short; the
+  incumbent stands then, and bin_completion says that it isn't proven. With these at their highest the search is complete.
+
+The OPEN emptiest sequences of every group are taken apart and their pieces packed once more, in groups again,
+until they are one group: what the borders of groups waste doesn't grow with the number of groups.
 
 Defined results: a null or empty text is one piece that holds only the closing id 0. Repeated rows are
 packed one by one. An empty table gives no pieces.
@@ -19,19 +22,22 @@ packed one by one. An empty table gives no pieces.
 from __future__ import annotations
 
 import zlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, small_batches, table
+from .common import cut, id_and_text, small_batches, table
 from .wordbpe import LIMIT, of_worker, vocabulary
 
 GROUP_ROWS = 8192
 NODES = 8_000
-#: Fillings tried at a node, by least waste.
-BRANCHES = 4
+#: Fillings tried at a node, by least waste, and steps of their enumeration.
+BRANCHES, STEPS = 4, 60
+#: Sequences of a group that are packed again with those of other groups.
+OPEN = 4
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -57,10 +63,10 @@ def best_fit(counts: list[int], capacity: int) -> list[list[int]]:
     return out
 
 
-def fillings(counts: list[int], present: int, room: int, most_waste: int, most: int = BRANCHES, steps: int = 60) -> list[list[int]]:
-    """Undominated maximal fillings of the room, by least waste: a filling falls if one piece could stand for two of its own and still fit, or if a piece left over would fit too.
+def fillings(counts: list[int], present: int, room: int, most_waste: int, most: int = BRANCHES, steps: int = STEPS) -> tuple[list[list[int]], bool]:
+    """Undominated maximal fillings of the room, by least waste, and whether they are all: a filling falls if one piece could stand for two of its own and still fit, or if a piece left over would fit too.
 
-    present: a bitmap of the lengths of which pieces are left. steps bounds the enumeration.
+    present: a bitmap of the lengths of which pieces are left. steps bounds the enumeration, most what comes out.
     """
     found: list[tuple[int, list[int]]] = []
     left = steps
@@ -69,18 +75,17 @@ def fillings(counts: list[int], present: int, room: int, most_waste: int, most:
         nonlocal left
         left -= 1
         fit = present & ((2 << min(largest, room)) - 1)
-        tried = 0
-        while fit and tried < 6 and left > 0 and not (found and found[0][0] == 0 and len(found) >= most):
+        tried = False
+        while fit and left > 0 and not (len(found) >= most and all(waste == 0 for waste, _ in found)):
             n = fit.bit_length() - 1
             fit ^= 1 << n
             if counts[n] > chosen.count(n):
-                tried += 1
+                tried = True
                 grow([*chosen, n], room - n, n)
                 if n == room:
                     return  # it fills the room: nothing with the same start is better
         if not tried and room <= most_waste and not spare_piece(chosen, 1, room) and not dominated(chosen, room):
             found.append((room, chosen))
-            found.sort(key=lambda x: x[0])
 
     def spare_piece(chosen: list[int], low: int, high: int) -> bool:
         """Whether a piece of low to high tokens is left over."""
@@ -96,11 +101,13 @@ def fillings(counts: list[int], present: int, room: int, most_waste: int, most:
         return any(spare_piece(chosen, x + y, x + y + waste) for i, x in enumerate(chosen) for y in chosen[i + 1 :])
 
     grow([], room, room)
-    return [x for _, x in found[:most]]
+    found.sort(key=lambda x: x[0])
+    return [x for _, x in found[:most]], left > 0 and len(found) < most
 
 
-def bin_completion(counts: list[int], capacity: int, nodes: int = NODES) -> list[list[int]]:
-    """A packing of the pieces as lists of lengths: the best found, proven best if it meets the bound."""
+def bin_completion(counts: list[int], capacity: int, nodes: int = NODES, branches: int = BRANCHES, steps: int = STEPS) -> tuple[list[list[int]], bool]:
+    """A packing of the pieces as lists of lengths, the best found, and whether it is proven best: it meets the bound, or the whole search found no better one."""
+    whole = True
     incumbent = best_fit(counts, capacity)
     total = sum(n * c for n, c in enumerate(counts))
     least = max(-(-total // capacity), sum(counts[capacity // 2 + 1 :]))
@@ -124,7 +131,9 @@ def bin_completion(counts: list[int], capacity: int, nodes: int = NODES) -> list
             nodes -= 1
             n = present.bit_length() - 1
             take([n], 1)
-            options = [[n, *x] for x in fillings(left, present, capacity - n, spare - waste)]
+            options, all_of_them = fillings(left, present, capacity - n, spare - waste, branches, steps)
+            whole = whole and all_of_them
+            options = [[n, *x] for x in options]
             take([n], -1)
             stack.append([options, None, waste])  # the fillings not tried yet, the one in place, the waste before it
             while stack:
@@ -143,9 +152,9 @@ def bin_completion(counts: list[int], capacity: int, nodes: int = NODES) -> list
             if not stack:
                 break
         if found is None or len(found) >= len(incumbent):
-            break
-        incumbent = found
-    return incumbent
+            return incumbent, whole and nodes > 0
+        incumbent, whole = found, True
+    return incumbent, len(incumbent) <= least
 
 
 def pack(lengths: np.ndarray, capacity: int = LIMIT, nodes: int = NODES) -> tuple[np.ndarray, np.ndarray]:
@@ -153,7 +162,7 @@ def pack(lengths: np.ndarray, capacity: int = LIMIT, nodes: int = NODES) -> tupl
     counts = np.bincount(lengths, minlength=capacity + 1).tolist()
     by_length = [list(x) for x in np.split(np.argsort(lengths, kind="stable"), np.cumsum(counts)[:-1])]
     where, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-    for k, bin_ in enumerate(bin_completion(counts, capacity, nodes)):
+    for k, bin_ in enumerate(bin_completion(counts, capacity, nodes)[0]):
         at = 0
         for n in bin_:
             i = by_length[n].pop()
@@ -162,6 +171,15 @@ def pack(lengths: np.ndarray, capacity: int = LIMIT, nodes: int = NODES) -> tupl
     return where, offset
 
 
+def emptiest(lengths: np.ndarray, where: np.ndarray, capacity: int, most: int = OPEN) -> np.ndarray:
+    """Which pieces lie in one of the sequences with most room; beyond the first only as long as they are a quarter of all pieces at most."""
+    filled, held = np.bincount(where, weights=lengths), np.bincount(where)
+    order = np.argsort(filled, kind="stable")[:most]
+    fits = np.cumsum(held[order]) <= len(lengths) // 4
+    fits[0] = True
+    return np.isin(where, order[fits & (filled[order] < capacity)])
+
+
 def pieces(docs: DataFrame, path: str, capacity: int = LIMIT) -> DataFrame:
     """Each document's ids with a closing 0, cut only where longer than a sequence."""
     small_batches(docs.sparkSession)
@@ -184,16 +202,35 @@ def pieces(docs: DataFrame, path: str, capacity: int = LIMIT) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = LIMIT, group_rows: int = GROUP_ROWS, nodes: int = NODES) -> DataFrame:
-    """All pieces with their sequence and place. One shuffle, of the pieces' numbers only."""
-    groups = max(1, -(-docs.count() // group_rows))
-    dealt = pieces(docs, path, capacity).withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
-
-    def run(group: pa.Table) -> pa.Table:
-        where, offset = pack(group.column("length").to_numpy(), capacity, nodes)
-        ids = (group.column("g").to_numpy() << 32) + where
-        return group.drop_columns(["g"]).append_column("sequence_id", pa.array(ids)).append_column("offset", pa.array(offset))
-
-    return dealt.groupBy("g").applyInArrow(run, PIECES + ", sequence_id long, offset long")
+    """All pieces with their sequence and place. The pieces' numbers are written once and shuffled once, those of the emptiest sequences again."""
+
+    def in_group(level: int, last: bool):
+        def run(group: pa.Table) -> pa.Table:
+            lengths = group.column("length").to_numpy()
+            where, offset = pack(lengths, capacity, nodes)
+            again = np.zeros(len(lengths), bool) if last else emptiest(lengths, where, capacity)
+            ids = (level << 56) + (group.column("g").to_numpy() << 24) + where
+            return group.drop_columns(["g"]).append_column("sequence_id", pa.array(ids)).append_column("offset", pa.array(offset)).append_column("again", pa.array(again))
+
+        return run
+
+    made = cut(pieces(docs, path, capacity)).withColumn("r", F.monotonically_increasing_id())  # of written rows, so a rerun gives the same
+    whole = F.col("length") == capacity
+    left, level = made.where(~whole), 0
+    done = [made.where(whole).select("*", (-1 - F.col("r")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
+    rows = left.count()
+    shrinks = True
+    while rows:
+        groups = -(-rows // group_rows)
+        last = groups == 1 or not shrinks
+        packed = left.withColumn("g", F.pmod(F.xxhash64("r", F.lit(level)), F.lit(groups))).groupBy("g").applyInArrow(in_group(level, last), PIECES + ", r long, sequence_id long, offset long, again boolean")
+        if not last:
+            packed = cut(packed)
+        done.append(packed.where("not again").drop("again"))
+        left, level = packed.where("again").select(*made.columns), level + 1
+        before, rows = rows, 0 if last else left.count()
+        shrinks = 2 * rows <= before  # else a sequence holds most of a group's pieces, and the next level is the last one
+    return reduce(DataFrame.unionByName, done).drop("r")
 
 
 def op8_best_fit_packing(spark, sf_dir: str) -> DataFrame:

@@ -27,8 +27,6 @@ STOP_WORDS = (
     "auf aus das dem den der die ein eine einen er für im ist mit nicht sich sie und von zu "
     "con del el es esta las los no para por se su una y"
 ).split()
-#: Positions of word windows share a long with their hash: 28 bits hold any text that fits a row.
-_POS = (1 << 28) - 1
 
 #: measure, least, most: a document keeps its place if every measure lies in its range.
 RULES: tuple[tuple[str, float | None, float | None], ...] = (
@@ -58,21 +56,17 @@ def repeated_words(ws: Column) -> Column:
     """How many words lie in a 3-word window that the text holds twice or more.
 
     Windows are hashed to 64 bits. A text whose hashes are all different is done. Else they are sorted
-    with their position in the low bits, and neighbours with the same full hash mark each other: n log n
-    for any text, without a row per window.
+    with their position, and neighbours with the same hash mark each other: n log n for any text,
+    without a row per window.
     """
-    low = F.lit(_POS).cast("long")
-    position = lambda x: x.bitwiseAND(low).cast("int")
-    prefix = lambda x: F.shiftright(x, 28)
 
     def of_hashes(h: Column) -> Column:
-        packed = F.sort_array(F.transform(h, lambda x, i: F.bitwise_not(low).bitwiseAND(x).bitwiseOR(i.cast("long"))))
-        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(let(packed, lambda s: of_sorted(h, s)))
+        placed = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(let(placed, of_sorted))
 
-    def of_sorted(h: Column, s: Column) -> Column:
-        same = lambda x, y: (prefix(x) == prefix(y)) & (F.get(h, position(x)) == F.get(h, position(y)))
-        marked = F.filter(s, lambda x, k: same(x, F.get(s, k - 1)) | same(x, F.get(s, k + 1)))
-        return let(F.sort_array(F.transform(marked, position)), covered)
+    def of_sorted(s: Column) -> Column:
+        marked = F.filter(s, lambda x, k: (x["h"] == F.get(s, k - 1)["h"]) | (x["h"] == F.get(s, k + 1)["h"]))
+        return let(F.sort_array(F.transform(marked, lambda x: x["i"])), covered)
 
     def covered(p: Column) -> Column:
         """Each marked window adds its three words, less those the window before it has."""

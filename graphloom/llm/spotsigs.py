@@ -1,10 +1,13 @@
 """Document fingerprints: SpotSigs.
 
 A spot signature is a common word (the anchor) with the CHAIN content words that follow it, common words
-skipped. A document's fingerprint is the set of its signatures, as 32-bit hashes, sorted, in base64.
+skipped. Where none of the GAP words before a content word is an anchor (lists, names, other languages), it stands in for one itself:
+its chain begins with it. A document's fingerprint is the set of its signatures, as 32-bit hashes, sorted, in base64.
 Sets are compared by Jaccard likeness; sizes alone bound it (|A| / |B| for the smaller A), so fingerprints
 are partitioned by set length such that sets alike enough lie in the same or neighbouring partitions, and
-a comparison stops where its bound falls below what is asked.
+a comparison stops where its bound falls below what is asked. `near_copies` finds all documents alike that way: equal sets are one
+first; of the others each meets, in its own and the next length partition, those with which it shares one of its rarest signatures, as
+many of them as any set alike enough must share one of; a bucket of more than TILE sets is compared in pairs of tiles, each a task.
 
 Defined results: a null text counts as empty. A text without a signature is its content words' one chain,
 one without words is its characters, so equal texts always have equal fingerprints and only empty texts
@@ -24,10 +27,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_and_text, small_batches, table
+from .common import cut, id_and_text, small_batches, table
+from .ngram_join import SALTS, components
 from .runs import chained, runs
 
-CHAIN = 2
+CHAIN, GAP = 2, 8
 NEAR = 0.8
 #: Anchors, the commonest function words of English, French, German and Spanish.
 ANCHORS = frozenset(
@@ -38,6 +42,7 @@ ANCHORS = frozenset(
 )
 _EDGE = ".,;:!?\"'()[]{}<>|*#$%&-_/\\«»„“”¿¡…"
 KEPT = 400_000
+TILE = 512
 
 
 class Words(dict):
@@ -66,14 +71,16 @@ def signatures(texts: pa.Array, chain: int = CHAIN) -> list[np.ndarray]:
     hashes, doc = hashes[keep], doc[keep]
     anchor = (hashes & np.uint64(1)).astype(bool)
     content = np.nonzero(~anchor)[0]
-    # for each anchor the first content word after it, and the chain that starts there, within the text
-    spots = np.nonzero(anchor)[0]
+    # for each anchor the first content word after it, and the chain that starts there, within the text; a word that stands in for an anchor is its own first one
+    place = np.arange(len(hashes))
+    last = np.maximum.accumulate(np.where(anchor, place, -1)) if len(place) else place
+    spots = np.nonzero(anchor | (last < 0) | (place - last > GAP) | (doc[last] != doc))[0]
     first = np.searchsorted(content, spots)
     inside = first + chain <= len(content)
     spots, first = spots[inside], first[inside]
     inside = doc[content[first + chain - 1]] == doc[spots] if len(spots) else np.zeros(0, bool)
     spots, first = spots[inside], first[inside]
-    sigs = (chained([hashes[spots], *(hashes[content[first + k]] for k in range(chain))]) >> np.uint64(32)) if len(spots) else np.zeros(0, np.uint64)
+    sigs = (chained([np.where(anchor[spots], hashes[spots], np.uint64(3)), *(hashes[content[first + k]] for k in range(chain))]) >> np.uint64(32)) if len(spots) else np.zeros(0, np.uint64)
     both = np.unique((doc[spots].astype(np.uint64) << np.uint64(32)) | sigs)
     cuts = np.searchsorted(both, np.arange(len(texts) + 1, dtype=np.uint64) << np.uint64(32))
     out = [both[a:b].astype(np.uint32) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
@@ -120,6 +127,70 @@ def fingerprints(docs: DataFrame, chain: int = CHAIN) -> DataFrame:
     return id_and_text(docs).mapInArrow(run, "doc_id long, fingerprint string, n_signatures long, length_partition int")
 
 
+def tied(rows: pa.Table, least: float) -> pa.Table:
+    """node and root, the first one of the same bucket it is alike to, directly or through others. Sets are compared by length, the shortest first, as long as lengths allow, and only where no link is known yet."""
+    nodes, roots = [], []
+    key, side, sets = rows.column("node").to_pylist(), rows.column("side").to_pylist(), [np.asarray(x) for x in rows.column("sigs").to_numpy()]
+    by: dict[tuple, list[int]] = {}
+    for i, bucket in enumerate(zip(rows.column("sig").to_pylist(), rows.column("bucket").to_pylist(), strict=True)):
+        by.setdefault(bucket, []).append(i)
+    for members in by.values():
+        members.sort(key=lambda i: (len(sets[i]), key[i]))
+        crossed, parent = any(side[i] for i in members), {i: i for i in members}
+
+        def top(x: int, parent=parent) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        for n, i in enumerate(members):
+            for j in members[n + 1 :]:
+                if len(sets[i]) < least * len(sets[j]):
+                    break
+                if (not crossed or side[i] != side[j]) and top(i) != top(j) and likeness(sets[i], sets[j], least):
+                    parent[top(j)] = top(i)
+        for i in members:
+            if top(i) != i:
+                nodes.append(key[i])
+                roots.append(key[top(i)])
+    return pa.table([pa.array(nodes, pa.string()), pa.array(roots, pa.string())], ["node", "root"])
+
+
+def near_copies(docs: DataFrame, least: float = NEAR, chain: int = CHAIN, tile: int = TILE) -> DataFrame:
+    """doc_id and class_id of every document: the least doc_id among those it is alike to, directly or through others."""
+    prints = cut(fingerprints(docs, chain))
+    reps = prints.groupBy(F.col("fingerprint").alias("node")).agg(F.first("n_signatures").alias("n"), F.first("length_partition").alias("part"))
+    small_batches(docs.sparkSession)
+
+    def decoded(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("node", "n", "part")), pa.array([np.frombuffer(base64.b64decode(x), "<u4").astype(np.int64) for x in b.column("node").to_pylist()], pa.list_(pa.int64()))], ["node", "n", "part", "sigs"])
+
+    sets = cut(reps.where("n > 0").mapInArrow(decoded, "node string, n long, part int, sigs array<long>").withColumn("id", F.sha2("node", 256)))
+    one = sets.select("id", F.explode("sigs").alias("sig")).withColumn("s", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    often = one.groupBy("sig", "s").agg(F.count("*").alias("c")).groupBy("sig").agg(F.sum("c").alias("df"), F.collect_list("s").alias("s"))
+    # a signature of one set alone leads nowhere, but takes a place among the rarest
+    rare = one.join(often.select("sig", "df", F.explode("s").alias("s")), ["sig", "s"]).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "sig"))).alias("order"))
+    some = F.size("order") - F.ceil(F.lit(least) * F.size("order") - 1e-9).cast("int") + 1
+    prefix = rare.select("id", F.explode(F.slice("order", 1, some)).alias("x")).where("x.df > 1").select("id", F.col("x.sig").alias("sig"))
+    met = sets.select("id", "part").join(prefix, "id").select("id", "sig", F.explode(F.array("part", F.col("part") + 1)).alias("bucket"))
+    met = cut(met.withColumn("s", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")))
+    sizes = met.groupBy("sig", "bucket", "s").agg(F.count("*").alias("c")).groupBy("sig", "bucket").agg(F.sum("c").alias("size"), F.collect_list("s").alias("s")).where("size > 1")
+    full = met.join(sizes.select("sig", "bucket", "size", F.explode("s").alias("s")), ["sig", "bucket", "s"])
+    tiles = F.ceil(F.col("size") / tile).cast("int")
+    own = F.pmod(F.xxhash64("id"), tiles).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), tiles - 1), lambda t: F.struct(F.least(own, t).alias("x"), F.greatest(own, t).alias("y"), F.when(own > t, 1).otherwise(0).alias("side")))
+    dealt = full.withColumn("at", F.explode(pairs)).select("id", "sig", "bucket", "at.*")
+    groups = max(1, met.count() // 2_000 + 1)
+    g = F.when((F.col("x") == 0) & (F.col("y") == 0), F.pmod(F.xxhash64("sig", "bucket"), F.lit(groups))).otherwise(F.xxhash64("sig", "bucket", "x", "y"))
+    work = dealt.withColumn("g", g).join(sets.select("id", F.col("id").alias("node"), "sigs"), "id").select("g", "node", "sig", "bucket", "side", "sigs")
+    ties = cut(work.groupBy("g").applyInArrow(lambda t: tied(t, least), "node string, root string"))
+    comp = components(ties, "node", "root")
+    member = prints.select("doc_id", F.sha2("fingerprint", 256).alias("node")).join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    return member.join(member.groupBy("comp").agg(F.min("doc_id").alias("class_id")), "comp").select("doc_id", "class_id")
+
+
 def edited(text: str, following: str) -> str:
     """The text with its last half replaced by as many first characters (or all) of the following one."""
     half = len(text) // 2

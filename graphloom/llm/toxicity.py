@@ -4,15 +4,16 @@ Labels are given for documents, so token labels come first: a token's features a
 4, 5 and 6 letters (inflected forms share them); candidates are features far more frequent in toxic than in
 other training documents; those with significant support among toxic documents that are no copies of one
 another (a word that only rides along in copies of one document has next to none) mark the labelled tokens. The field has two states, a weight for each candidate, a constant one, and transition
-weights; it is trained on windows around candidates and elsewhere by forward-backward.
+weights; it is trained by forward-backward on windows around all candidates and elsewhere, equal windows counted on the executors.
 
 Scoring is exact over whole texts: words without a weight of their own share one transfer matrix, so a
 stretch of g of them is that matrix to the power g, and only candidates are visited one by one. A document's
 score is a logistic function of its highest marginal and its expected number of toxic words, and the
 offending offsets are the words with a marginal of at least 1/2.
 
-Bounds, as parameters: TOXIC_ROWS and OTHER_ROWS labelled training documents (by hash of doc_id),
-CANDIDATES words, WINDOWS windows a document. Only these go to the driver. Learning uses no row whose
+Bounds, as parameters: TOXIC_ROWS and OTHER_ROWS labelled training documents (by hash of doc_id); the link from marginals to the
+score weighs both kinds by all their labels, so its 1/2 means the same however large the corpus. Only the
+sample's candidates and different windows go to the driver. Learning uses no row whose
 crc32(doc_id) mod 5 is 0; neither lang, source nor doc_id is an input of a score.
 
 Defined results: a null or empty text has no words and gets the background score. Without toxic training
@@ -37,11 +38,11 @@ from .common import cut, id_and_text, small_batches, table, whole_text
 from .runs import runs
 
 TOXIC_ROWS, OTHER_ROWS = 4_000, 8_000
-CANDIDATES, LEAST_DOCS, LEAST_RATIO = 3_000, 3, 20.0
+LEAST_DOCS, LEAST_RATIO = 3, 20.0
 PREFIXES = (4, 5, 6)
 #: The least share of a feature's toxic documents that must be no copies of one another.
 COPIES = 0.3
-WINDOW, WINDOWS = 8, 4
+WINDOW = 8
 EDGE = ".,;:!?\"'()[]{}<>|*#$%&-_/\\«»„“”¿¡…"
 
 
@@ -175,28 +176,32 @@ def spans(text: str, places: list[int], marginals: list[float], least: float = 0
     return out
 
 
-def training_rows(labels: DataFrame, toxic_rows: int = TOXIC_ROWS, other_rows: int = OTHER_ROWS) -> DataFrame:
-    """doc_id and toxic of a bounded number of labelled rows outside the held-out fifth."""
+def training_rows(labels: DataFrame, toxic_rows: int = TOXIC_ROWS, other_rows: int = OTHER_ROWS) -> tuple[DataFrame, dict[int, float]]:
+    """doc_id and toxic of a bounded number of labelled rows outside the held-out fifth, and for each kind how many labelled rows one of the sample stands for."""
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null and crc32(cast(doc_id as string)) % 5 != 0")
     rows = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("h", F.xxhash64("doc_id", F.lit(9)))
     kept = [rows.where(c).orderBy("h", "doc_id").limit(n).select("doc_id", "toxic") for c, n in (("toxic = 1", toxic_rows), ("toxic = 0", other_rows))]
     ids = kept[0].unionByName(kept[1]).collect()
-    return labels.sparkSession.createDataFrame([(r.doc_id, r.toxic) for r in ids], "doc_id long, toxic int")
+    total = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    for_each = {k: total.get(k, 0) / max(1, sum(r.toxic == k for r in ids)) for k in (0, 1)}
+    return labels.sparkSession.createDataFrame([(r.doc_id, r.toxic) for r in ids], "doc_id long, toxic int"), for_each
 
 
-def fit_field(ids: np.ndarray, states: np.ndarray, mask: np.ndarray, features: int, rounds: int = 60, ridge: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+def fit_field(ids: np.ndarray, states: np.ndarray, mask: np.ndarray, times: np.ndarray, features: int, rounds: int = 60, ridge: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
     """Weights of the features (0: the constant) and transitions, by gradient ascent (Adam) on the windows' likelihood.
 
     ids, states, mask: a row for each window; ids has each token's features, -1 where there are fewer; mask is 0 beyond a window's end.
+    times: how often each window stands.
     """
     weight, trans = np.zeros(features + 1), np.zeros(4)  # the last stands for no feature and stays 0
     moment = [np.zeros(features + 5), np.zeros(features + 5)]
     n, width = mask.shape
     seen, ids = mask.astype(bool), np.where(ids < 0, features, ids)
     per = ids.shape[2]
-    summed = lambda x: np.bincount(ids[seen].ravel(), weights=np.repeat(x, per), minlength=features + 1)
+    often = np.broadcast_to(times[:, None], mask.shape)[seen].astype(float)
+    summed = lambda x: np.bincount(ids[seen].ravel(), weights=np.repeat(x * often, per), minlength=features + 1)
     counts, ones = summed(np.ones(int(seen.sum()))), summed(states[seen].astype(float))
-    pair = mask[:, 1:] * mask[:, :-1]
+    pair = mask[:, 1:] * mask[:, :-1] * times[:, None]
     told = np.array([(pair * (states[:, :-1] == a) * (states[:, 1:] == b)).sum() for a in (0, 1) for b in (0, 1)])
     for r in range(1, rounds + 1):
         step = np.exp(trans).reshape(2, 2)
@@ -247,8 +252,8 @@ def supported(found: list[tuple[int, list[str]]], share: float) -> set[str]:
 def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, other_rows: int = OTHER_ROWS) -> Field:
     """A field and its score's link from the labelled rows among docs."""
     small_batches(docs.sparkSession)
-    rows = training_rows(labels, toxic_rows, other_rows)
-    sample = cut(id_and_text(docs).join(F.broadcast(rows), "doc_id").select("doc_id", "toxic", "text"))
+    rows, for_each = training_rows(labels, toxic_rows, other_rows)
+    sample = cut(id_and_text(docs).join(F.broadcast(rows), "doc_id").select("toxic", "text"))
 
     def words(batches):
         for b in batches:
@@ -261,28 +266,40 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, othe
         return Field()
     seen = sample.mapInArrow(words, "toxic int, words array<string>").select("toxic", F.explode("words").alias("w")).groupBy("w").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
     likely = seen.where((F.col("t") >= LEAST_DOCS) & (F.col("t") / totals[1] > LEAST_RATIO * (F.col("c") + 0.5) / max(1, totals.get(0, 0))))
-    found = likely.orderBy(F.desc("t"), "w").limit(CANDIDATES).collect()
-    candidates = {r.w for r in found}
+    candidates = {r.w for r in likely.select("w").collect()}
+
+    def told(words: list[str]) -> list[list[str]]:
+        return [[f for f in token_features(x) if f in candidates] for x in words]
 
     def windows(batches):
+        """Of each text the windows that hold all its candidates, none twice, and one of its middle."""
+        for b in batches:
+            kinds, out = [], []
+            for toxic, text in zip(b.column("toxic").to_pylist(), b.column("text").to_pylist(), strict=True):
+                ws, end = told(text.lower().split()), 0
+                for i, w in enumerate(ws):
+                    if w and i >= end:
+                        low, end = max(end, i - WINDOW), i + WINDOW + 1
+                        kinds.append(toxic)
+                        out.append([" ".join(x) for x in ws[low:end]])
+                if ws:
+                    kinds.append(toxic)
+                    out.append([" ".join(x) for x in ws[max(0, len(ws) // 2 - WINDOW) : len(ws) // 2 + WINDOW + 1]])
+            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(out, pa.list_(pa.string()))], ["toxic", "window"])
+
+    def spots(batches):
+        """Of each text its candidates, and a key that near copies mostly share."""
         for b in batches:
-            out = []
-            for doc, toxic, text in zip(b.column("doc_id").to_pylist(), b.column("toxic").to_pylist(), b.column("text").to_pylist(), strict=True):
-                ws = [[f for f in token_features(x) if f in candidates] for x in text.lower().split()]
-                spots = [i for i, w in enumerate(ws) if w]
-                apart = spots[:: -(-len(spots) // WINDOWS)] if spots else []  # evenly over the whole text
-                for k, i in enumerate([*apart, len(ws) // 2] if ws else []):
-                    low = max(0, i - WINDOW)
-                    out.append((doc, toxic, [" ".join(w) for w in ws[low : i + WINDOW + 1]], sorted({f for j in spots for f in ws[j]}) if toxic and not k else [], min((zlib.crc32(x.encode()) for x in set(text.lower().split()) if len(x) > 5), default=0) if toxic and not k else 0))
-            columns = list(zip(*out, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.string()), pa.int64()), strict=True)], ["doc_id", "toxic", "window", "spots", "copy"])
-
-    got = sample.mapInArrow(windows, "doc_id long, toxic int, window array<string>, spots array<string>, copy long").toPandas()
-    toxic_features = supported([(k, list(x)) for k, x in zip(got["copy"], got["spots"], strict=True) if len(x)], totals[1] / sum(totals.values()))
+            texts = [t.lower().split() for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([min((zlib.crc32(x.encode()) for x in set(ws) if len(x) > 5), default=0) for ws in texts], pa.int64()), pa.array([sorted({f for x in told(ws) for f in x}) for ws in texts], pa.list_(pa.string()))], ["copy", "spots"])
+
+    got = sample.mapInArrow(windows, "toxic int, window array<string>").groupBy("toxic", "window").agg(F.count("*").alias("times")).orderBy("toxic", "window").toPandas()
+    held = sample.where("toxic = 1").select("text").mapInArrow(spots, "copy long, spots array<string>").collect()
+    toxic_features = supported([(r.copy, r.spots) for r in held if r.spots], totals[1] / sum(totals.values()))
     number = {w: i for i, w in enumerate(["", *sorted(candidates)])}
     width, per = 2 * WINDOW + 1, 2 + len(PREFIXES)
-    ids = np.full((len(got), width, per), -1, np.int64)
-    states, mask = np.zeros((len(got), width), np.int64), np.zeros((len(got), width), np.int64)
+    ids = np.full((len(got), width, per), -1, np.int32)
+    states, mask = np.zeros((len(got), width), np.int8), np.zeros((len(got), width), np.int8)
     for k, (toxic, window) in enumerate(zip(got["toxic"], got["window"], strict=True)):
         mask[k, : len(window)] = 1
         ids[k, : len(window), 0] = 0
@@ -291,14 +308,14 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, othe
                 fs = w.split(" ")
                 ids[k, i, 1 : 1 + len(fs)] = [number[f] for f in fs]
                 states[k, i] = int(bool(toxic) and not toxic_features.isdisjoint(fs))
-    weight, trans = fit_field(ids, states, mask, len(number))
+    weight, trans = fit_field(ids, states, mask, got["times"].to_numpy(), len(number))
     # features that hardly speak for toxicity are left to the background
     model = Field({w: float(weight[i]) for w, i in number.items() if w and weight[i] > 0.5}, float(weight[0]), tuple(map(float, trans)))
-    return Field(model.words, model.other, model.trans, _link(sample, model))
+    return Field(model.words, model.other, model.trans, _link(sample, model, for_each))
 
 
-def _link(sample: DataFrame, model: Field) -> tuple[float, float, float]:
-    """Logistic regression of the label on the two features, over the sample (Newton steps, a small ridge)."""
+def _link(sample: DataFrame, model: Field, for_each: dict[int, float]) -> tuple[float, float, float]:
+    """Logistic regression of the label on the two features, over the sample, each row weighed by the labelled rows it stands for (Newton steps, a small ridge)."""
     background = model.background()
 
     def run(batches):
@@ -308,10 +325,11 @@ def _link(sample: DataFrame, model: Field) -> tuple[float, float, float]:
 
     rows = sample.mapInArrow(run, "toxic int, x double, y double").collect()
     x, y = np.array([[r.x, r.y, 1.0] for r in rows]), np.array([r.toxic for r in rows], float)
-    w = np.zeros(3)
+    w, times = np.zeros(3), np.where(y == 1, for_each[1], for_each[0])
+    times = times / times.mean()
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w += np.linalg.solve(x.T @ (x * (p * (1 - p) + 1e-6)[:, None]) + 0.1 * np.eye(3), x.T @ (y - p) - 0.1 * w)
+        w += np.linalg.solve(x.T @ (x * (times * p * (1 - p) + 1e-6)[:, None]) + 0.1 * np.eye(3), x.T @ (times * (y - p)) - 0.1 * w)
     return tuple(map(float, w))
 
 

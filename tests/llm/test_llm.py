@@ -186,7 +186,8 @@ def test_op8_bin_completion_beats_best_fit():
     counts = [0] * 101
     for n in (60, 50, 40, 30, 30, 30, 30, 20, 10):
         counts[n] += 1
-    done = packing.bin_completion(counts, 100)
+    done, proven = packing.bin_completion(counts, 100)
+    assert proven
     assert len(done) == 3 and sorted(x for b in done for x in b) == sorted([60, 50, 40, 30, 30, 30, 30, 20, 10])
 
 
