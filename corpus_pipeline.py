@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.llm import importance, ngram_join, packing, pii, toxicity
-from graphloom.llm.common import fresh_dir, table
+from graphloom.llm.common import fresh_dir, remove, table
 from graphloom.llm.wordbpe import vocabulary
 
 
@@ -47,17 +47,20 @@ STAGES = [
     ("best-fit packing", pack),
 ]
 
-#: SQL cannot express the trained models, the tokenizer or the packing; tests compare each stage with a brute-force version.
+#: SQL cannot express the trained models, the tokenizer or the packing; tests/llm compares each stage with what a plainer version of it keeps or makes.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows over the table documents."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             folder = fresh_dir(spark, f"stage{k}")
             docs.write.parquet(folder)
             docs = spark.read.parquet(folder)
+            if before:
+                remove(spark, before)
+            before = folder
     return docs
