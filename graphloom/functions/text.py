@@ -73,32 +73,56 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
+def _common(a: str, b: str) -> int:
+    """The length of the longest common subsequence, all places of a at once as the bits of one number."""
+    at: dict[str, int] = {}
+    for i, x in enumerate(a):
+        at[x] = at.get(x, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    open_ = full
+    for y in b:
+        hit = open_ & at.get(y, 0)
+        open_ = (open_ + hit | open_ - hit) & full
+    return len(a) - open_.bit_count()
+
+
 def _indel(a: str, b: str) -> float:
     """200 * longest common subsequence / total length: the indel similarity in percent."""
-    if not a and not b:
-        return 100.0
-    row = [0] * (len(b) + 1)
-    for x in a:
-        before = 0
-        for j, y in enumerate(b, 1):
-            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
-    return 200.0 * row[-1] / (len(a) + len(b))
+    return 100.0 if not a and not b else 200.0 * _common(a, b) / (len(a) + len(b))
+
+
+def _partial(a: str, b: str) -> float:
+    """The best similarity of the shorter text to a stretch of the longer of its length."""
+    x, y = sorted((a, b), key=len)
+    if x in y:
+        return 100.0 if x or not y else 0.0
+    return max(_indel(x, y[i : i + len(x)]) for i in range(len(y) - len(x) + 1))
+
+
+def _of_pairs(measure):
+    """A vectorised function of two columns of texts; each different pair of a batch is measured once."""
 
+    @F.pandas_udf(T.DoubleType())
+    def measured(a: pd.Series, b: pd.Series) -> pd.Series:
+        known: dict[tuple[str, str], float] = {}
+        out = []
+        for p in zip(a, b, strict=True):
+            p = (p[0] or "", p[1] or "")
+            if p not in known:
+                known[p] = measure(*p)
+            out.append(known[p])
+        return pd.Series(out, dtype="float64")
 
-@F.pandas_udf(T.DoubleType())
-def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([_indel(x or "", y or "") for x, y in zip(a, b, strict=True)])
+    return measured
 
 
-@F.pandas_udf(T.DoubleType())
-def partial_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """The best ratio of the shorter text to a stretch of the longer of its length."""
+def _sorted_words(x: str) -> str:
+    return " ".join(sorted(x.lower().split()))
 
-    def best(x: str, y: str) -> float:
-        x, y = sorted((x or "", y or ""), key=len)
-        return max((_indel(x, y[i : i + len(x)]) for i in range(len(y) - len(x) + 1)), default=0.0)
 
-    return pd.Series([best(x, y) for x, y in zip(a, b, strict=True)])
+ratio = _of_pairs(_indel)
+partial_ratio = _of_pairs(_partial)
+partial_token_sort_ratio = _of_pairs(lambda a, b: _partial(_sorted_words(a), _sorted_words(b)))
 
 
 def date_format_of(c: Column) -> Column:

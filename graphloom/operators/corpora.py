@@ -12,8 +12,8 @@ from graphloom.sources.tabular import with_surrogate_key
 
 
 def _numbered(rows: DataFrame, order: Column) -> DataFrame:
-    """Rows with __i from 0 in an order; numbered in range partitions, so no task sees them all. Written once, as both sides of a join read it."""
-    return cut(with_surrogate_key(rows.withColumn("__k", order), "__k", "__i").withColumn("__i", F.col("__i").cast("long") - 1).drop("__k"))
+    """Rows with __i from 0 in an order; numbered in range partitions, so no task sees them all."""
+    return with_surrogate_key(rows.withColumn("__k", order), "__k", "__i").withColumn("__i", F.col("__i").cast("long") - 1).drop("__k")
 
 
 def _digest(seed: int, *columns: str) -> Column:
@@ -67,10 +67,10 @@ def subsumptions(mappings: DataFrame, target_edges: DataFrame) -> DataFrame:
 def assumed_disjoint(pairs: DataFrame, closed: DataFrame, instances: DataFrame) -> DataFrame:
     """Pairs x, y with no subsumption either way, no common descendant and no common instance. closed: reflexive closure; instances: node, instance."""
     below = closed.select(F.col("node").alias("n"), F.col("ancestor").alias("c"))
+    shares = lambda who, held: who.join(held.select(F.col("c").alias("x"), "n"), "x").join(held.select(F.col("c").alias("y"), "n"), ["y", "n"], "left_semi").select("x", "y").distinct()
     held = below.unionByName(instances.select(F.concat(F.lit("i:"), F.col("instance")).alias("n"), F.col("node").alias("m")).join(below.select(F.col("n").alias("m"), "c"), "m").select("n", "c")).distinct()
     x = pairs.select("x", "y").distinct()
-    shared = x.join(held.select(F.col("c").alias("x"), "n"), "x").join(held.select(F.col("c").alias("y"), F.col("n").alias("n2")), "y").where("n = n2").select("x", "y").distinct()
-    return x.join(shared, ["x", "y"], "left_anti")
+    return x.join(shares(x, held), ["x", "y"], "left_anti")
 
 
 def negatives_of(references: DataFrame, pool: DataFrame, closed: DataFrame, k: int, seed: int = 0) -> DataFrame:
@@ -92,17 +92,20 @@ def hops(edges: DataFrame, starts: DataFrame, k: int) -> DataFrame:
     return found.where("hop > 0")
 
 
-def upward_path(edges: DataFrame, labels: DataFrame, most: int = 8) -> DataFrame:
-    """node, path: labels from a node up to a root over its least parents, joined by a separator; cycles end at `most` steps. labels: entity, label (one each)."""
-    up = edges.groupBy("child").agg(F.min("parent").alias("parent"))
+def upward_path(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """node, path: labels from a node up to a root over its least parents, joined by a separator; on a cycle up to the first node met again. labels: entity, label (one each)."""
     one = labels.groupBy("entity").agg(F.min("label").alias("label"))
-    at = one.select(F.col("entity").alias("node"), F.col("entity").alias("here"), F.array("label").alias("path"))
+    up = edges.groupBy("child").agg(F.min("parent").alias("parent"))
     steps = up.join(one, up["parent"] == one["entity"]).select(F.col("child").alias("here"), F.col("parent").alias("above"), F.col("label").alias("name"))
-    for _ in range(most):
-        at = cut(at.join(steps, "here", "left").select("node", F.col("above").alias("here"), F.when(F.col("name").isNotNull(), F.concat("path", F.array("name"))).otherwise(F.col("path")).alias("path")))
-        if at.where("here is not null").isEmpty():
-            break
-    return at.select("node", F.array_join("path", " <SEP> ").alias("path"))
+    at = one.select(F.col("entity").alias("node"), F.col("entity").alias("here"), F.array("entity").alias("seen"), F.array("label").alias("path"))
+    done = []
+    while True:
+        next_ = at.join(steps, "here", "left").withColumn("above", F.when(~F.array_contains("seen", F.col("above")), F.col("above")))
+        next_ = cut(next_.select("node", F.col("above").alias("here"), F.when(F.col("above").isNotNull(), F.concat("seen", F.array("above"))).otherwise(F.col("seen")).alias("seen"), F.when(F.col("above").isNotNull(), F.concat("path", F.array("name"))).otherwise(F.col("path")).alias("path")))
+        done.append(next_.where("here is null").select("node", F.array_join("path", " <SEP> ").alias("path")))
+        at = next_.where("here is not null")
+        if at.isEmpty():
+            return reduce(DataFrame.unionByName, done)
 
 
 def with_article(c: Column) -> Column:

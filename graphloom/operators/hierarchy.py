@@ -8,18 +8,23 @@ from pyspark.sql import functions as F
 from graphloom.session import cut
 
 
-def closure(edges: DataFrame, reflexive: bool = True, most: int = 64) -> DataFrame:
-    """node, ancestor and least depth. edges: child, parent; cycles do no harm. A frontier loop, each round a join that meets only new pairs."""
+def closure(edges: DataFrame, reflexive: bool = True) -> DataFrame:
+    """node, ancestor and least depth. edges: child, parent; cycles do no harm.
+
+    Each round doubles the depth that is known: a shortest path of 2^k + j steps is one of exactly 2^k steps and one of at most 2^k. So the rounds grow with the
+    logarithm of the greatest depth, and a round joins only pairs at the greatest depth known.
+    """
     e = edges.select("child", "parent").distinct()
     found = cut(e.where("child <> parent").select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth")))
-    frontier, depth = found, 1
-    while depth < most:
-        depth += 1
-        step = frontier.join(e, frontier["ancestor"] == e["child"]).select("node", F.col("parent").alias("ancestor")).where("node <> ancestor").distinct()
-        frontier = cut(step.join(found, ["node", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
+    reach = 1
+    while True:
+        far = found.where(F.col("depth") == reach).select("node", F.col("ancestor").alias("mid"))
+        near = found.select(F.col("node").alias("mid"), "ancestor", (F.col("depth") + reach).alias("depth"))
+        step = far.join(near, "mid").where("node <> ancestor").groupBy("node", "ancestor").agg(F.min("depth").alias("depth"))
+        new = cut(step.join(found, ["node", "ancestor"], "left_anti"))
+        if new.isEmpty():
             break
-        found = found.unionByName(frontier)
+        found, reach = cut(found.unionByName(new)), 2 * reach
     if not reflexive:
         return found
     nodes = e.select(F.col("child").alias("node")).union(e.select("parent")).distinct()
@@ -57,29 +62,45 @@ def siblings(edges: DataFrame) -> DataFrame:
     return edges.groupBy("parent").agg(F.array_join(F.array_sort(F.collect_set("child")), ",").alias("children"), F.countDistinct("child").alias("n")).where("n > 1")
 
 
-def prune(edges: DataFrame, gone: DataFrame, most: int = 64) -> DataFrame:
-    """The hierarchy without the nodes gone: their children become children of their nearest remaining ancestors."""
-    removed = gone.select(F.col("node").alias("x"))
-    for _ in range(most):
-        lost = edges.join(removed, edges["parent"] == removed["x"], "left_semi")
-        if lost.isEmpty():
-            break
-        up = edges.select(F.col("child").alias("parent"), F.col("parent").alias("up"))
-        edges = cut(edges.join(removed, edges["parent"] == removed["x"], "left_anti").unionByName(lost.join(up, "parent").select("child", F.col("up").alias("parent"))).distinct())
-    return edges.join(removed, edges["child"] == removed["x"], "left_anti")
-
-
-def connected(edges: DataFrame, most: int = 64) -> DataFrame:
-    """node and the least node of its part, by alternating label spreading and shortcuts; edges: a, b."""
-    e = cut(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct())
-    labels = e.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp"))
-    for _ in range(most):
-        near = e.join(labels, e["b"] == labels["node"]).select(F.col("a").alias("node"), "comp")
-        spread = near.unionByName(labels).groupBy("node").agg(F.min("comp").alias("comp"))
-        via = spread.select(F.col("node").alias("comp"), F.col("comp").alias("better"))
-        new = cut(spread.join(via, "comp", "left").select("node", F.least("comp", "better").alias("comp")))
-        changed = not new.join(labels, ["node", "comp"], "left_anti").isEmpty()
-        labels = new
-        if not changed:
+def prune(edges: DataFrame, gone: DataFrame) -> DataFrame:
+    """The hierarchy without the nodes gone: their children become children of their nearest remaining ancestors, however long the chain of nodes gone."""
+    removed = gone.select(F.col("node").alias("x")).distinct()
+    left = edges.select("child", "parent").join(removed, F.col("child") == F.col("x"), "left_anti")
+    up = edges.select(F.col("child").alias("x"), F.col("parent").alias("up")).join(removed, "x")
+    inside = closure(up.join(removed.withColumnRenamed("x", "up"), "up").select(F.col("x").alias("child"), F.col("up").alias("parent")))
+    beyond = up.join(removed.select(F.col("x").alias("up")), "up", "left_anti")
+    through = inside.select(F.col("node").alias("parent"), F.col("ancestor").alias("x")).unionByName(removed.select(F.col("x").alias("parent"), "x")).join(beyond, "x").select("parent", "up").distinct()
+    moved = left.join(through, "parent").select("child", F.col("up").alias("parent"))
+    return left.join(removed, F.col("parent") == F.col("x"), "left_anti").unionByName(moved).where("child <> parent").distinct()
+
+
+#: Parts that the edges of one node are dealt in.
+SALTS = 256
+
+
+def with_least(edges: DataFrame) -> DataFrame:
+    """a, b and m, the least b of each a. A node's edges are dealt in SALTS parts, of which only those there come back with m, so no task holds all edges of a node."""
+    dealt = edges.withColumn("s", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+    parts = dealt.groupBy("a", "s").agg(F.min("b").alias("m")).groupBy("a").agg(F.min("m").alias("m"), F.collect_list("s").alias("s"))
+    return dealt.join(parts.select("a", "m", F.explode("s").alias("s")), ["a", "s"]).select("a", "b", "m")
+
+
+def connected(edges: DataFrame) -> DataFrame:
+    """node and the least node of its part; edges: a, b.
+
+    Large and small stars in turn, until nothing changes: first each node's greater neighbours are tied to its least one, then its lesser ones. Edges never
+    become more, and the rounds grow with the logarithm of a part's size.
+    """
+    alone = edges.where("a = b").select(F.col("a").alias("node"))
+    now, state = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()), None
+    while True:
+        both = with_least(now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+        large = both.where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
+        tied = F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))
+        now = cut(with_least(large).select(F.inline(tied)).where("a <> b").distinct())
+        before, state = state, now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if state == before:
             break
-    return labels
+    comp = now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("comp"))
+    roots = now.select(F.col("b").alias("node")).unionByName(alone).distinct().join(comp, "node", "left_anti")
+    return comp.unionByName(roots.withColumn("comp", F.col("node")))

@@ -9,40 +9,50 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.text import is_not_null
 
-BASE = "http://www.example.net/ontologies/Dataset.owl/"
+BASE = "urn:graphloom:"
 #: The XSD type of a column kind.
 XSD = {"int": "xsd:integer", "long": "xsd:integer", "double": "xsd:decimal", "string": "xsd:string", "time": "xsd:dateTime"}
 
 
-def row_uri(table: str, rank: int, keys: list[str]) -> Column:
-    return F.concat(F.lit(f"{BASE}{table}_{rank}_"), F.concat_ws("|", *(F.col(k).cast("string") for k in keys)))
+def key_text(keys: list[str]) -> Column:
+    """The key's values, told apart: bars and backslashes within them are escaped, a null is one escape."""
+    one = lambda k: F.coalesce(F.replace(F.replace(F.col(k).cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|")), F.lit("\\0"))
+    return F.concat_ws("|", *map(one, keys))
 
 
-def triples(table: str, rows: DataFrame, rank: int, keys: list[str], attributes: dict[str, str], fks: dict[str, tuple[str, int, str]], others: dict[str, DataFrame]) -> DataFrame:
+def row_uri(table: str, rank: int, keys: list[str], base: str = BASE) -> Column:
+    return F.concat(F.lit(f"{base}{table}_{rank}_"), key_text(keys))
+
+
+def triples(table: str, rows: DataFrame, rank: int, keys: list[str], attributes: dict[str, str], fks: dict[str, tuple[str, int, str]], others: dict[str, DataFrame], base: str = BASE, unique: bool = True) -> DataFrame:
     """s, p, o, o_kind, datatype of every row: its type, its attributes and its foreign keys both ways.
 
-    Type and attributes come from one pass over the rows. A foreign key that the target holds is an edge; the join moves the two keys only.
+    Type and attributes come from one pass over the rows. A foreign key that the target holds is an edge; the join moves the two keys only. unique says that the
+    keys are a key (checked before, as a surrogate key is by its making): then no triple can come twice and nothing is shuffled to find such ones.
     """
     triple = lambda p, o, kind, datatype: F.struct(F.lit(p).alias("p"), o.alias("o"), F.lit(kind).alias("o_kind"), F.lit(datatype).cast("string").alias("datatype"))
-    parts = [triple("rdf:type", F.lit(BASE + table), "iri", None)]
+    parts = [triple("rdf:type", F.lit(base + table), "iri", None)]
     for c, kind in attributes.items():
         value = (F.col(c).cast("decimal(18,2)") if kind == "double" else F.col(c)).cast("string")
         parts.append(triple(f"has_{c}", F.when(is_not_null(F.col(c)), value), "lit", XSD[kind]))
-    out = [rows.select(row_uri(table, rank, keys).alias("s"), F.inline(F.filter(F.array(*parts), lambda x: x["o"].isNotNull())))]
+    out = [rows.select(row_uri(table, rank, keys, base).alias("s"), F.inline(F.filter(F.array(*parts), lambda x: x["o"].isNotNull())))]
     for c, (other, other_rank, key) in fks.items():
-        held = rows.join(others[other].select(key).distinct(), F.col(c) == F.col(key), "left_semi")
-        them = F.concat(F.lit(f"{BASE}{other}_{other_rank}_"), F.col(c).cast("string"))
-        me = row_uri(table, rank, keys)
+        held = rows.join(others[other].select(F.col(key).alias("__key")).distinct(), F.col(c) == F.col("__key"), "left_semi")
+        me, them = row_uri(table, rank, keys, base), row_uri(other, other_rank, [c], base)
         edge = lambda s, p, o: F.struct(s.alias("s"), F.lit(p).alias("p"), o.alias("o"), F.lit("iri").alias("o_kind"), F.lit(None).cast("string").alias("datatype"))
         out.append(held.select(F.inline(F.array(edge(me, f"p_{table}_{other}", them), edge(them, f"p_{other}_{table}", me)))))
-    return reduce(DataFrame.unionByName, out).distinct()
+    both = reduce(DataFrame.unionByName, out)
+    return both if unique else both.distinct()
 
 
 def ntriples(t: DataFrame) -> DataFrame:
-    """One line for each triple."""
-    iri = lambda c: F.concat(F.lit("<"), c, F.lit(">"))
-    escaped = F.replace(F.replace(F.col("o"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    o = F.when(F.col("o_kind") == "iri", iri(F.col("o"))).otherwise(F.concat(F.lit('"'), escaped, F.lit('"^^'), iri(F.col("datatype"))))
+    """One line for each triple; literals and names are escaped as the format asks, so no line holds a break."""
+    iri = lambda c: F.concat(F.lit("<"), F.regexp_replace(F.regexp_replace(c, r"\\", r"\\\\"), r"[\x00-\x20<>\"{}|^`]", "_"), F.lit(">"))
+    escaped = F.col("o")
+    for char, written in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        escaped = F.replace(escaped, F.lit(char), F.lit(written))
+    typed = F.when(F.col("datatype").isNotNull(), F.concat(F.lit("^^"), iri(F.col("datatype")))).otherwise(F.lit(""))
+    o = F.when(F.col("o_kind") == "iri", iri(F.col("o"))).otherwise(F.concat(F.lit('"'), escaped, F.lit('"'), typed))
     return t.select(F.concat(iri(F.col("s")), F.lit(" "), iri(F.col("p")), F.lit(" "), o, F.lit(" .")).alias("line"))
 
 
@@ -59,7 +69,13 @@ def most_specific(closed: DataFrame, matches: DataFrame) -> DataFrame:
     return matches.distinct().join(above, ["table", "column", "match"], "left_anti")
 
 
+def ends_in(names: DataFrame, column: str, suffixes: DataFrame) -> DataFrame:
+    """The rows whose name ends in one of the suffixes: each name's own endings are looked up, so it is a join on equality."""
+    met = names.select(F.col(column).alias("__n")).distinct().select("__n", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("__n"), F.lit(1))), lambda i: F.substr(F.col("__n"), i))).alias("suffix"))
+    return names.join(met.join(suffixes.select("suffix"), "suffix", "left_semi").select("__n").distinct(), F.col(column) == F.col("__n"), "left_semi")
+
+
 def append_notified(found: DataFrame, columns: DataFrame, suffixes: DataFrame) -> DataFrame:
     """Columns whose name ends in a notified one count as personal unless they are found already."""
-    told = columns.join(F.broadcast(suffixes), F.col("column").endswith(F.col("suffix"))).select("table", "column").distinct()
+    told = ends_in(columns, "column", suffixes).select("table", "column").distinct()
     return found.unionByName(told.join(found, ["table", "column"], "left_anti").withColumn("is_personal", F.lit(True)))

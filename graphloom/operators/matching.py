@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import levenshtein_similarity, tokens
+from graphloom.session import cut
 
 
 def label_index(rows: DataFrame, entity: str, label: str) -> DataFrame:
@@ -22,23 +25,64 @@ def inverted_index(post: DataFrame) -> DataFrame:
     return post.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
 
 
-def idf_pool(queries: DataFrame, post: DataFrame, n_entities: Column, k: int, most_share: float = 1.0) -> DataFrame:
-    """The k entities of the highest sum of log10(D / df) over common tokens, for each query: src, entity, score, rank.
+def idf_pool(queries: DataFrame, post: DataFrame, n_entities: DataFrame, k: int, blocks: int = 64) -> DataFrame:
+    """The k entities of the highest sum of log10(D / df) over common tokens, for each query: src, entity, score, rank. queries: src, token; every token counts.
+
+    Postings are made once, of the queries' tokens only. A token's postings are dealt in blocks by entity, so a token that all entities have is the work of many tasks; a block that holds
+    an entity holds all its postings, so scores are whole there and only the best k of a block are ranked with those of others.
+    """
+    asked = queries.groupBy("src", "token").agg(F.count("*").alias("times"))
+    held = cut(post.select("token", "entity").join(asked.select("token").distinct(), "token", "left_semi").withColumn("block", F.pmod(F.xxhash64("entity"), F.lit(blocks)).cast("int")))
+    counts = held.groupBy("token", "block").agg(F.count("*").alias("c")).groupBy("token").agg(F.sum("c").alias("df"))
+    weights = asked.join(counts, "token").crossJoin(F.broadcast(n_entities)).select("src", "token", (F.col("times") * F.log10(F.col("d") / F.col("df"))).alias("w"))
+    weights = weights.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    scored = held.join(weights, ["token", "block"]).groupBy("src", "entity", "block").agg(F.round(F.sum("w"), 6).alias("score"))
+    own, all_ = (Window.partitionBy(*p).orderBy(F.desc("score"), "entity") for p in (("src", "block"), ("src",)))
+    best = scored.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k)
+    return best.withColumn("rank", F.row_number().over(all_)).where(F.col("rank") <= k).drop("block")
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, most_queries: int = 20_000) -> DataFrame:
+    """The k vectors of the highest cosine for each query, other than itself: src, tgt, sim, k. Both: vec_id, embedding.
 
-    queries: src, token. Tokens of more than most_share of all entities are left out (they would join everything with everything). The rank limit
-    is pushed below the shuffle, so each task sends k rows a query at most.
+    The queries go to every task, in parts of at most most_queries; each batch of vectors is one matrix product with them, of which the best k a query leave the task.
     """
-    df = post.groupBy("token").agg(F.count("*").alias("df"))
-    weights = df.crossJoin(F.broadcast(n_entities)).where(F.col("df") <= F.col("d") * most_share).select("token", F.log10(F.col("d") / F.col("df")).alias("idf"))
-    scored = queries.join(weights, "token").join(post.select("token", "entity"), "token").groupBy("src", "entity").agg(F.round(F.sum("idf"), 6).alias("score"))
-    w = Window.partitionBy("src").orderBy(F.desc("score"), "entity")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    spark = vectors.sparkSession
+    ids = queries.select(F.col("vec_id").cast("long").alias("src")).distinct()
+    parts = max(1, -(-ids.count() // most_queries))
+    found = []
+    for part in range(parts):
+        rows = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(parts)) == part).select("vec_id", "embedding").collect()
+        own = spark.sparkContext.broadcast(([r.vec_id for r in rows], [r.embedding for r in rows]))
+
+        def run(batches, own=own):
+            import numpy as np
+            import pyarrow as pa
+
+            unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+            if not own.value[0]:
+                return
+            src, q = np.array(own.value[0], np.int64), unit(np.array(own.value[1], np.float64))
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                tgt = b.column("vec_id").to_numpy()
+                sim = np.round(q @ unit(np.stack(b.column("embedding").to_numpy(zero_copy_only=False)).astype(np.float64)).T, 5)
+                sim[src[:, None] == tgt[None, :]] = -9
+                order = np.lexsort((np.broadcast_to(tgt, sim.shape), -sim), axis=1)[:, :k]
+                rows, columns = np.repeat(np.arange(len(src)), order.shape[1]), order.ravel()
+                keep = sim[rows, columns] > -9
+                yield pa.RecordBatch.from_arrays([pa.array(src[rows][keep]), pa.array(tgt[columns][keep]), pa.array(sim[rows, columns][keep])], ["src", "tgt", "sim"])
+
+        found.append(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(run, "src long, tgt long, sim double"))
+    w = Window.partitionBy("src").orderBy(F.desc("sim"), "tgt")
+    return reduce(DataFrame.unionByName, found).withColumn("k", F.row_number().over(w).cast("long")).where(F.col("k") <= k)
 
 
 def exact_match(src: DataFrame, tgt: DataFrame) -> DataFrame:
     """Equal labels; the least target of a source. src, tgt: entity, label."""
-    pairs = src.alias("a").join(tgt.alias("b"), F.col("a.label") == F.col("b.label")).select(F.col("a.entity").alias("src"), F.col("b.entity").alias("tgt"))
-    return pairs.groupBy("src").agg(F.min("tgt").alias("tgt")).withColumn("score", F.lit(1.0))
+    first = tgt.groupBy("label").agg(F.min("entity").alias("tgt"))
+    return src.join(first, "label").groupBy(F.col("entity").alias("src")).agg(F.min("tgt").alias("tgt")).withColumn("score", F.lit(1.0))
 
 
 def best_similarity(pairs: DataFrame) -> DataFrame:

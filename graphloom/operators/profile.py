@@ -24,32 +24,35 @@ def candidate_keys(df: DataFrame, table: str) -> DataFrame:
     return out.select(F.lit(table).alias("table"), "column", "n_rows", "n_values", (F.col("n_rows") == F.col("n_values")).alias("is_key"))
 
 
-def missing_values(src: DataFrame, column: str, tgt: DataFrame, key: str) -> DataFrame:
-    """How many different non-null source values have no match in the target: 0 means inclusion."""
-    own = src.select(F.col(column).alias("v")).where(is_not_null(F.col("v"))).distinct()
-    return own.join(tgt.select(F.col(key).alias("v")).distinct(), "v", "left_anti").agg(F.count("*").alias("missing"))
-
-
-def unmatched_both(src: DataFrame, column: str, tgt: DataFrame, key: str) -> DataFrame:
-    """Different values found on one side only; both 0 means equal sets."""
-    a = src.select(F.col(column).alias("v")).distinct().withColumn("l", F.lit(1))
-    b = tgt.select(F.col(key).alias("v")).distinct().withColumn("r", F.lit(1))
-    return a.join(b, "v", "full").agg(F.count_if(F.col("r").isNull()).alias("only_source"), F.count_if(F.col("l").isNull()).alias("only_target"))
-
-
-def discover_fks(tables: dict[str, DataFrame]) -> DataFrame:
-    """Columns whose name, less its table prefix, is that of a key column of another table that holds all their values."""
-    bare = lambda c: c.split("_", 1)[1] if "_" in c else c
-    keys = reduce(DataFrame.unionByName, [candidate_keys(df, t) for t, df in tables.items()])
-    found = []
-    for s, src in tables.items():
-        for c in src.columns:
-            for t, tgt in tables.items():
-                for k in tgt.columns:
-                    if s != t and bare(c) == bare(k) and bare(c).endswith("key"):
-                        found.append(missing_values(src, c, tgt, k).select(F.lit(s).alias("src_table"), F.lit(c).alias("src_column"), F.lit(t).alias("table"), F.lit(k).alias("column"), "missing"))
-    pairs = reduce(DataFrame.unionByName, found)
-    return pairs.where("missing = 0").join(keys.where("is_key"), ["table", "column"]).select("src_table", "src_column", F.col("table").alias("tgt_table"), F.col("column").alias("tgt_column"))
+Pair = tuple[tuple[str, str], tuple[str, str]]
+
+
+def overlaps(tables: dict[str, DataFrame], pairs: list[Pair]) -> DataFrame:
+    """Of each pair of (table, column) how many different values, null tokens apart, the source and the target have, and how many they share: src_table, src_column, tgt_table, tgt_column, n_src, n_tgt, shared.
+
+    One pass over all columns: each different value is met once with the columns that hold it, whatever the number of pairs.
+    """
+    number = {c: i for i, c in enumerate(sorted({c for p in pairs for c in p}))}
+    spark = next(iter(tables.values())).sparkSession
+    cells = [tables[t].select(F.inline(F.array(*(F.struct(F.lit(number[t, c]).alias("c"), F.col(c).cast("string").alias("v")) for c in tables[t].columns if (t, c) in number)))) for t in {t for t, _ in number}]
+    held = reduce(DataFrame.unionByName, cells).where(is_not_null(F.col("v"))).groupBy("v").agg(F.collect_set("c").alias("in"))
+    sizes = {r.c: r.n for r in held.select(F.explode("in").alias("c")).groupBy("c").agg(F.count("*").alias("n")).collect()}  # one row for each column
+    both = F.array(*(F.struct(F.lit(number[a]).alias("a"), F.lit(number[b]).alias("b")) for a, b in pairs))
+    met = held.select(F.inline(F.filter(both, lambda p: F.array_contains("in", p["a"]) & F.array_contains("in", p["b"])))).groupBy("a", "b").agg(F.count("*").alias("shared"))
+    rows = [(number[a], number[b], *a, *b, sizes.get(number[a], 0), sizes.get(number[b], 0)) for a, b in pairs]
+    all_pairs = spark.createDataFrame(rows, "a int, b int, src_table string, src_column string, tgt_table string, tgt_column string, n_src long, n_tgt long")
+    return all_pairs.join(met, ["a", "b"], "left").drop("a", "b").withColumn("shared", F.coalesce("shared", F.lit(0).cast("long")))
+
+
+def discover_fks(tables: dict[str, DataFrame], name=lambda c: c) -> DataFrame:
+    """Columns with the name of another table's candidate key that holds all their values. name: what of a column's name is compared."""
+    pairs = [((s, c), (t, k)) for s in tables for c in tables[s].columns for t in tables if s != t for k in tables[t].columns if name(c) == name(k)]
+    if not pairs:
+        return next(iter(tables.values())).sparkSession.createDataFrame([], "src_table string, src_column string, tgt_table string, tgt_column string")
+    wanted = {t: sorted({k for _, (u, k) in pairs if u == t}) for t in tables}
+    keys = reduce(DataFrame.unionByName, [candidate_keys(tables[t].select(*ks), t) for t, ks in wanted.items() if ks]).where("is_key")
+    held = overlaps(tables, pairs).where("n_src > 0 and shared = n_src")
+    return held.join(keys.select(F.col("table").alias("tgt_table"), F.col("column").alias("tgt_column")), ["tgt_table", "tgt_column"]).select("src_table", "src_column", "tgt_table", "tgt_column")
 
 
 def type_votes(df: DataFrame, table: str) -> DataFrame:

@@ -4,41 +4,67 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.operators.hierarchy import connected
 
-def table_stats(catalog: DataFrame) -> DataFrame:
-    pk, fk = F.col("is_pk") == 1, F.col("fk_table").isNotNull()
-    return catalog.groupBy("table").agg(F.count_if(pk).alias("n_pk"), F.count("*").alias("n"), F.count_if(pk & fk).alias("n_pkfk"), F.count_if(fk).alias("n_fk"), F.count_if(~pk & ~fk).alias("n_simple"))
+PK, FK = "is_pk = 1", "fk_table is not null"
 
 
-def class_rules(catalog: DataFrame) -> DataFrame:
-    """merge: the key is one foreign key and nothing else; class: one key column, a partly foreign key, or a foreign key with attributes; else a link table."""
+def table_stats(catalog: DataFrame) -> DataFrame:
+    """Per table the size of its key, of the foreign part of it, and whether key and foreign keys are equal sets, the key lies within the foreign keys, and there is a plain attribute."""
+    counts = catalog.groupBy("table").agg(F.count("*").alias("n"), F.expr(f"count_if({PK}) as n_pk"), F.expr(f"count_if({PK} and {FK}) as n_both"), F.expr(f"count_if({FK}) as n_fk"), F.expr("count_if(is_pk = 0 and fk_table is null) as n_simple"))
     n = F.col
-    merge = (n("n_pk") == n("n_pkfk")) & (n("n_fk") == n("n_pk")) & (n("n_simple") == 0) & (n("n_pk") == 1)
-    own = (n("n_pk") == 1) | ((n("n_pkfk") > 0) & (n("n_pkfk") < n("n_pk"))) | ((n("n_pk") == n("n_pkfk")) & (n("n_simple") > 0))
-    return table_stats(catalog).select("table", F.when(merge, "merge").when(own, "class").otherwise("link").alias("verdict"))
+    return counts.select("table", "n", "n_pk", "n_both", ((n("n_pk") == n("n_both")) & (n("n_fk") == n("n_both")) & (n("n_fk") > 0)).alias("equal"), (n("n_pk") == n("n_both")).alias("within"), (n("n_simple") > 0).alias("simple"))
+
+
+def stem_of(names: Column) -> Column:
+    """The longest stretch of the first name that all names hold, of equal ones the foremost; all names joined if there is none."""
+    first = F.get(names, 0)
+    cut_at = lambda i: F.transform(F.sequence(F.lit(1), F.length(first) - i + 1), lambda k: F.struct((-k).alias("n"), i.alias("i"), F.substr(first, i, k).alias("s")))
+    stems = F.flatten(F.transform(F.sequence(F.lit(1), F.length(first)), cut_at))
+    held = F.filter(stems, lambda x: F.forall(names, lambda n: F.contains(n, x["s"])))
+    return F.when(F.length(first) > 0, F.coalesce(F.array_min(held)["s"], F.array_join(names, "_"))).otherwise(F.array_join(names, "_"))
+
+
+def classes(catalog: DataFrame) -> DataFrame:
+    """table, class and rule of the tables that stand for a class.
+
+    Rule 1: a table whose key is its foreign keys merges with the tables they point to; a whole merged group is one class, named by what its names share.
+    Rule 2: of the others those with one key column, a partly foreign key, or attributes beside a key of foreign keys.
+    """
+    stats = table_stats(catalog)
+    merged = catalog.where(FK).join(stats.where("equal"), "table").select(F.col("table").alias("a"), F.col("fk_table").alias("b"))
+    groups = connected(merged)
+    names = groups.groupBy("comp").agg(F.array_sort(F.collect_set("node")).alias("names")).select("comp", stem_of(F.col("names")).alias("class"))
+    one = groups.join(names, "comp").select(F.col("node").alias("table"), "class", F.lit(1).alias("rule"))
+    own = stats.where("n_pk = 1 or n_both >= 1 or (simple and within)").join(one, "table", "left_anti")
+    return one.unionByName(own.select("table", F.col("table").alias("class"), F.lit(2).alias("rule")))
 
 
 def object_property_rules(catalog: DataFrame) -> DataFrame:
-    """rule, src, tgt: one row for each object property a rule gives."""
-    c = catalog.join(table_stats(catalog), "table")
-    pk, fk = F.col("is_pk") == 1, F.col("fk_table").isNotNull()
-    link = (F.col("n_pk") == F.col("n_pkfk")) & (F.col("n_pk") > 1)
+    """rule, src, tgt: one row for each object property between classes that a rule gives."""
+    known = classes(catalog).select("table", "class")
+    keys = catalog.where(PK).select(F.col("table").alias("fk_table"), F.col("column").alias("fk_column"), F.lit(True).alias("to_key"))
+    stats = table_stats(catalog)
+    fks = catalog.where(FK).join(stats, "table").join(known.select("table", F.col("class").alias("here")), "table", "left")
+    fks = fks.join(known.select(F.col("table").alias("fk_table"), F.col("class").alias("there")), "fk_table", "left").join(keys, ["fk_table", "fk_column"], "left").withColumn("to_key", F.coalesce("to_key", F.lit(False)))
+    both = fks.where("here is not null and there is not null and here <> there")
     rows = lambda df, rule, src, tgt: df.select(F.lit(rule).alias("rule"), F.col(src).alias("src"), F.col(tgt).alias("tgt"))
-    plain = c.where(~pk & fk & (F.col("fk_table") != F.col("table")))
-    keys = c.where(pk & fk)
-    a, b = keys.where(link).select("table", "column", F.col("fk_table").alias("src")), keys.where(link).select("table", F.col("column").alias("other"), F.col("fk_table").alias("tgt"))
-    shared = c.where(~pk & fk).select(F.col("table").alias("src"), "fk_table", "fk_column")
+    plain = both.where("is_pk = 0 and to_key")
+    link = fks.where("within and there is not null")
+    shared = fks.where("is_pk = 0 and here is not null").select("table", "here", "fk_table", "fk_column")
+    round_ = fks.where(PK).where("within and n_pk % 2 = 0").groupBy("table").agg(F.collect_set(F.coalesce("there", F.lit(""))).alias("c")).where("size(c) = 1").select(F.get("c", 0).alias("there")).where("there <> ''")
     found = [
-        rows(plain, "r1", "table", "fk_table"),
-        rows(plain, "r1inv", "fk_table", "table"),
-        rows(keys.where((F.col("n_pk") > 1) & (F.col("n") > F.col("n_pk"))), "r2", "table", "fk_table"),
-        rows(a.join(b, "table").where("column <> other and src <> tgt"), "r3", "src", "tgt"),
-        rows(keys.where(link), "r4", "fk_table", "table"),
-        rows(c.where(F.col("fk_table") == F.col("table")), "r7", "table", "table"),
-        rows(shared.join(shared.withColumnRenamed("src", "tgt"), ["fk_table", "fk_column"]).where("src <> tgt"), "r8", "src", "tgt"),
+        rows(plain, "r1", "here", "there"),
+        rows(plain, "r1inv", "there", "here"),
+        rows(both.where(PK).where("n_pk > 1 and n > n_pk"), "r2", "here", "there"),
+        rows(link.select("table", "there").join(link.select("table", F.col("there").alias("other")), "table").where("there <> other"), "r3", "there", "other"),
+        rows(both.where("within"), "r4", "there", "here"),
+        rows(round_, "r6", "there", "there"),
+        rows(fks.where("here is not null and fk_table = table and to_key"), "r7", "here", "here"),
+        rows(shared.join(shared.select(F.col("here").alias("other"), "fk_table", "fk_column"), ["fk_table", "fk_column"]).where("here <> other"), "r8", "here", "other"),
     ]
     return reduce(DataFrame.unionByName, found).distinct()
 
@@ -55,9 +81,7 @@ def data_property_rules(catalog: DataFrame, attributes_to_classes: bool = True)
     return cols.select("domain", has.alias("prop"), F.col("a").alias("range")).unionByName(values)
 
 
-def common_stem(names: DataFrame, first: str) -> DataFrame:
-    """The longest stretch of the first name that all contain; of equal ones the least."""
-    stems = sorted({first[i:j] for i in range(len(first)) for j in range(i + 1, len(first) + 1)}, key=lambda x: (-len(x), x))
-    held = F.filter(F.array(*map(F.lit, stems)), lambda x: F.contains(F.col("name"), x))
-    per = names.select(F.explode(held).alias("stem")).groupBy("stem").agg(F.count("*").alias("n")).crossJoin(F.broadcast(names.agg(F.count("*").alias("all")))).where("n = all")
-    return per.orderBy(F.desc(F.length("stem")), "stem").limit(1).select("stem")
+def merged_properties(properties: DataFrame) -> DataFrame:
+    """One row for each property: the sets of its domains, ranges, rules and fields. properties: prop, domain, range, rule, field."""
+    whole = lambda c: F.array_sort(F.collect_set(c)).alias(f"{c}s")
+    return properties.groupBy("prop").agg(whole("domain"), whole("range"), whole("rule"), whole("field"))

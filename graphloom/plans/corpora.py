@@ -7,38 +7,58 @@ from pyspark.sql import functions as F
 from graphloom.operators import corpora as C, hierarchy as H
 from graphloom.registry import query, table
 
-_L = "l AS (SELECT DISTINCT p_brand AS entity, p_name AS label FROM part), syn AS (SELECT DISTINCT x.label AS a, y.label AS b FROM l x JOIN l y USING (entity))"
-_FEW = _L.replace("FROM part)", "FROM part WHERE p_size <= 2)", 1)
+#: Labels of an entity: a brand of a type and size. With so many entities each has few labels, and negatives are left without any filter.
+_ENTITY = "p_brand || '/' || p_type || '/' || p_size"
+_L = f"l AS (SELECT DISTINCT {_ENTITY} AS entity, p_name AS label FROM part), syn AS (SELECT DISTINCT x.label AS a, y.label AS b FROM l x JOIN l y USING (entity))"
+_B = "l AS (SELECT DISTINCT p_brand AS entity, p_name AS label FROM part), syn AS (SELECT DISTINCT x.label AS a, y.label AS b FROM l x JOIN l y USING (entity))"
 _E = "e AS (SELECT DISTINCT p_type AS parent, p_brand AS child FROM part)"
+_BELOW = f"e AS (SELECT DISTINCT p_type AS parent, {_ENTITY} AS child FROM part)"
 
 
-def _labels(s, d, most=50):
-    """The names of parts up to a size; small ones have few synonyms, so that negatives are left."""
-    return table(s, d, "part").where(F.col("p_size") <= most).select(F.col("p_brand").alias("entity"), F.col("p_name").alias("label")).distinct()
+def _entity():
+    return F.concat_ws("/", "p_brand", "p_type", F.col("p_size").cast("string"))
 
 
-def _edges(s, d):
-    return table(s, d, "part").select(F.col("p_brand").alias("child"), F.col("p_type").alias("parent")).distinct()
+def _labels(s, d, entity=None):
+    return table(s, d, "part").select((F.col("p_brand") if entity is None else entity).alias("entity"), F.col("p_name").alias("label")).distinct()
 
 
-@query("soft_negatives", f"WITH {_FEW}, o AS (SELECT *, row_number() OVER (ORDER BY md5(entity || '|' || label || '|0')) - 1 AS i, count(*) OVER () AS n FROM l) SELECT DISTINCT x.label AS a, y.label AS b FROM o x, unnest([1, 2]) u(k), o y WHERE y.i = (x.i + k) % x.n AND x.entity <> y.entity AND NOT EXISTS (SELECT 1 FROM syn WHERE syn.a = x.label AND syn.b = y.label)")
+def _edges(s, d, child=None):
+    return table(s, d, "part").select((F.col("p_brand") if child is None else child).alias("child"), F.col("p_type").alias("parent")).distinct()
+
+
+@query(
+    "soft_negatives",
+    f"""WITH {_L}, o AS (SELECT *, row_number() OVER (ORDER BY md5(entity || '|' || label || '|0')) - 1 AS i, count(*) OVER () AS n FROM l)
+SELECT DISTINCT x.label AS a, y.label AS b FROM (SELECT *, unnest([1, 2]) AS k FROM o) x JOIN o y ON y.i = (x.i + k) % x.n
+WHERE x.entity <> y.entity AND NOT EXISTS (SELECT 1 FROM syn WHERE syn.a = x.label AND syn.b = y.label)""",
+)
 def _(s, d):
-    return C.soft_negatives(_labels(s, d, 2), 2)
+    return C.soft_negatives(_labels(s, d, _entity()), 2)
 
 
-@query("hard_negatives", f"WITH {_FEW}, {_E}, o AS (SELECT parent, entity, label, row_number() OVER (PARTITION BY parent ORDER BY md5(entity || '|' || label || '|0')) AS i FROM e JOIN l ON child = entity) SELECT DISTINCT x.label AS a, y.label AS b FROM o x JOIN o y ON x.parent = y.parent AND y.i - x.i IN (1, 2) AND x.entity <> y.entity WHERE NOT EXISTS (SELECT 1 FROM syn WHERE syn.a = x.label AND syn.b = y.label)")
+@query(
+    "hard_negatives",
+    f"""WITH {_L}, {_BELOW}, o AS (SELECT parent, entity, label, row_number() OVER (PARTITION BY parent ORDER BY md5(entity || '|' || label || '|0')) AS i FROM e JOIN l ON child = entity)
+SELECT DISTINCT x.label AS a, y.label AS b FROM (SELECT *, unnest([1, 2]) AS k FROM o) x JOIN o y ON x.parent = y.parent AND y.i = x.i + x.k
+WHERE x.entity <> y.entity AND NOT EXISTS (SELECT 1 FROM syn WHERE syn.a = x.label AND syn.b = y.label)""",
+)
 def _(s, d):
-    return C.hard_negatives(_labels(s, d, 2), _edges(s, d), 2)
+    return C.hard_negatives(_labels(s, d, _entity()), _edges(s, d, _entity()), 2)
 
 
-@query("cross_synonyms", "WITH m AS (SELECT DISTINCT p_brand AS src, p_type AS tgt FROM part), a AS (SELECT DISTINCT p_brand, p_name FROM part WHERE p_size < 3), b AS (SELECT DISTINCT p_type, p_name FROM part WHERE p_size > 48), x AS (SELECT a.p_name AS a, b.p_name AS b FROM m JOIN a ON src = p_brand JOIN b ON tgt = p_type WHERE a.p_name <> b.p_name) SELECT a, b FROM x UNION SELECT b, a FROM x")
+@query(
+    "cross_synonyms",
+    f"""WITH m AS (SELECT DISTINCT {_ENTITY} AS src, s_suppkey AS tgt FROM part JOIN supplier ON p_size = s_suppkey), a AS (SELECT DISTINCT {_ENTITY} AS e, p_name FROM part),
+x AS (SELECT a.p_name AS a, s_name AS b FROM m JOIN a ON src = e JOIN supplier ON tgt = s_suppkey WHERE a.p_name <> s_name) SELECT a, b FROM x UNION SELECT b, a FROM x""",
+)
 def _(s, d):
-    p = table(s, d, "part")
-    side = lambda w, e: p.where(w).select(F.col(e).alias("entity"), F.col("p_name").alias("label")).distinct()
-    return C.cross_synonyms(p.select(F.col("p_brand").alias("src"), F.col("p_type").alias("tgt")).distinct(), side("p_size < 3", "p_brand"), side("p_size > 48", "p_type"))
+    supplier = table(s, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("entity"), F.col("s_name").alias("label"), "s_suppkey")
+    maps = table(s, d, "part").join(supplier, F.col("p_size") == F.col("s_suppkey")).select(_entity().alias("src"), F.col("entity").alias("tgt")).distinct()
+    return C.cross_synonyms(maps, _labels(s, d, _entity()), supplier.select("entity", "label"))
 
 
-@query("pair_corpus", f"WITH {_L}, neg AS (SELECT DISTINCT x.label AS a, y.label AS b FROM l x JOIN l y ON x.entity < y.entity AND x.label < y.label AND left(x.entity, 7) = left(y.entity, 7)) SELECT a, b, true AS is_synonym FROM syn UNION ALL SELECT a, b, false FROM (SELECT * FROM neg EXCEPT SELECT * FROM syn)")
+@query("pair_corpus", f"WITH {_B}, neg AS (SELECT DISTINCT x.label AS a, y.label AS b FROM l x JOIN l y ON x.entity < y.entity AND x.label < y.label AND left(x.entity, 7) = left(y.entity, 7)) SELECT a, b, true AS is_synonym FROM syn UNION ALL SELECT a, b, false FROM (SELECT * FROM neg EXCEPT SELECT * FROM syn)")
 def _(s, d):
     t = _labels(s, d).withColumn("g", F.left("entity", F.lit(7)))
     neg = t.alias("x").join(t.alias("y"), F.col("x.g") == F.col("y.g")).where("x.entity < y.entity and x.label < y.label").select(F.col("x.label").alias("a"), F.col("y.label").alias("b"))
@@ -51,13 +71,20 @@ def _(s, d):
     return C.subsumptions(e.select(F.concat(F.lit("own "), "child").alias("src"), F.col("child").alias("tgt")).distinct(), e)
 
 
-@query("assumed_disjoint", "WITH n AS (SELECT 'n' || n_nationkey AS node, 'r' || n_regionkey AS up FROM nation), g AS (SELECT node FROM n UNION SELECT up FROM n), p AS (SELECT a.node AS x, b.node AS y FROM g a, g b WHERE a.node < b.node), i AS (SELECT 'n' || c_nationkey AS node, c_custkey % 40 AS instance FROM customer WHERE c_custkey <= 80) SELECT x, y FROM p WHERE NOT EXISTS (SELECT 1 FROM n WHERE (node = x AND up = y) OR (node = y AND up = x)) AND NOT EXISTS (SELECT 1 FROM i a JOIN i b USING (instance) LEFT JOIN n na ON na.node = a.node LEFT JOIN n nb ON nb.node = b.node WHERE x IN (a.node, na.up) AND y IN (b.node, nb.up))")
+@query(
+    "assumed_disjoint",
+    """WITH n AS (SELECT 'n' || n_nationkey AS node, 'r' || n_regionkey AS up FROM nation), below AS (SELECT node AS n, up AS c FROM n UNION SELECT node, node FROM n UNION SELECT up, up FROM n),
+p AS (SELECT 'n' || c_nationkey AS x, 'r' || (c_custkey % 5) AS y, c_custkey FROM customer UNION ALL SELECT 'n' || c_nationkey, 'n' || (c_custkey % 25), c_custkey FROM customer),
+i AS (SELECT DISTINCT 'n' || c_nationkey AS node, 'i:' || CASE WHEN c_nationkey < 5 THEN c_mktsegment ELSE c_custkey::VARCHAR END AS instance FROM customer),
+held AS (SELECT n, c FROM below UNION SELECT instance, c FROM i JOIN below ON node = n)
+SELECT DISTINCT x, y FROM p WHERE NOT EXISTS (SELECT 1 FROM held a JOIN held b ON a.n = b.n WHERE a.c = p.x AND b.c = p.y)""",
+)
 def _(s, d):
-    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
-    closed = H.closure(table(s, d, "nation").select(name("n", "n_nationkey").alias("child"), name("r", "n_regionkey").alias("parent")))
-    nodes = closed.select("node").distinct()
-    pairs = nodes.select(F.col("node").alias("x")).join(nodes.select(F.col("node").alias("y")), F.col("x") < F.col("y"))
-    held = table(s, d, "customer").where("c_custkey <= 80").select(name("n", "c_nationkey").alias("node"), (F.col("c_custkey") % 40).cast("string").alias("instance"))
+    name = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    closed = H.closure(table(s, d, "nation").select(name("n", F.col("n_nationkey")).alias("child"), name("r", F.col("n_regionkey")).alias("parent")))
+    c = table(s, d, "customer")
+    pairs = c.select(name("n", F.col("c_nationkey")).alias("x"), name("r", F.col("c_custkey") % 5).alias("y")).union(c.select(name("n", F.col("c_nationkey")), name("n", F.col("c_custkey") % 25)))
+    held = c.select(name("n", F.col("c_nationkey")).alias("node"), F.when(F.col("c_nationkey") < 5, F.col("c_mktsegment")).otherwise(F.col("c_custkey").cast("string")).alias("instance")).distinct()
     return C.assumed_disjoint(pairs, closed, held)
 
 

@@ -14,9 +14,9 @@ def _(s, d):
     return R.imports(table(s, d, "pages").select(F.array("url").alias("match"), F.lit(None).cast("array<string>").alias("path")))
 
 
-@query("extension_hierarchy", "WITH m AS (SELECT p_brand, list_sort(list(DISTINCT p_type)) AS t FROM part WHERE p_size < 3 GROUP BY 1) SELECT p_brand AS s, 'rdfs:subClassOf' AS p, CASE WHEN len(t) = 1 THEN t[1] ELSE '_:' || sha256(array_to_string(t, '|')) END AS o FROM m")
+@query("extension_hierarchy", "WITH m AS (SELECT p_brand, list_sort(list(DISTINCT p_type)) AS t FROM part GROUP BY 1) SELECT p_brand AS s, 'rdfs:subClassOf' AS p, CASE WHEN len(t) = 1 THEN t[1] ELSE '_:' || sha256(array_to_string(t, '|')) END AS o FROM m")
 def _(s, d):
-    m = table(s, d, "part").where("p_size < 3").groupBy(F.col("p_brand").alias("element")).agg(F.collect_list("p_type").alias("match"))
+    m = table(s, d, "part").groupBy(F.col("p_brand").alias("element")).agg(F.collect_list("p_type").alias("match"))
     return R.hierarchy(m.withColumn("kind", F.lit("class")))
 
 

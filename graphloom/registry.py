@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import text as X
 from graphloom.operators import hierarchy as H
-from graphloom.operators import kg, matching as M, profile as P, rules as R
+from graphloom.operators import kg, matching as M, profile as P
 
 _queries: dict[str, Callable] = {}
 _sql: dict[str, str] = {}
@@ -114,73 +114,6 @@ def _(s, d):
     return votes.select("table", "column", (F.col("type") == "boolean").alias("is_boolean"))
 
 
-# --- keys and inclusion ----------------------------------------------------------------------------
-
-_COLUMNS = {"region": "r_regionkey r_name", "nation": "n_nationkey n_name n_regionkey", "customer": "c_custkey c_name c_nationkey c_mktsegment", "supplier": "s_suppkey s_name s_nationkey", "part": "p_partkey p_name p_brand p_type p_size", "orders": "o_orderkey o_custkey o_orderstatus o_orderpriority"}
-
-
-@query("candidate_keys", " UNION ALL ".join(f"SELECT '{t}' AS \"table\", '{c}' AS \"column\", count(*) AS n_rows, count(DISTINCT {c}) AS n_values, count(*) = count(DISTINCT {c}) AS is_key FROM {t}" for t, cs in _COLUMNS.items() for c in cs.split()))
-def _(s, d):
-    return union([P.candidate_keys(table(s, d, t).select(*cs.split()), t) for t, cs in _COLUMNS.items()])
-
-
-@query("fk_inclusion", " UNION ALL ".join(f"SELECT '{a}' AS src, '{b}' AS tgt, count(DISTINCT {x}) FILTER ({x} NOT IN (SELECT {y} FROM {b})) AS missing FROM {a}" for a, x, b, y in FKS))
-def _(s, d):
-    return union([P.missing_values(table(s, d, a), x, table(s, d, b), y).select(F.lit(a).alias("src"), F.lit(b).alias("tgt"), "missing") for a, x, b, y in FKS])
-
-
-@query("fk_set_equality", " UNION ALL ".join(f"SELECT '{a}' AS src, '{b}' AS tgt, count(DISTINCT {x}) FILTER ({x} NOT IN (SELECT {y} FROM {b})) AS only_source, (SELECT count(DISTINCT {y}) FROM {b} WHERE {y} NOT IN (SELECT {x} FROM {a})) AS only_target FROM {a}" for a, x, b, y in FKS))
-def _(s, d):
-    return union([P.unmatched_both(table(s, d, a), x, table(s, d, b), y).select(F.lit(a).alias("src"), F.lit(b).alias("tgt"), "only_source", "only_target") for a, x, b, y in FKS])
-
-
-@query("fk_discovery", "SELECT * FROM (VALUES ('nation','n_regionkey','region','r_regionkey'), ('customer','c_nationkey','nation','n_nationkey'), ('supplier','s_nationkey','nation','n_nationkey'), ('orders','o_custkey','customer','c_custkey')) v(src_table, src_column, tgt_table, tgt_column)")
-def _(s, d):
-    return P.discover_fks({t: table(s, d, t).select(*_COLUMNS[t].split()) for t in STAR})
-
-
-# --- schema to ontology ----------------------------------------------------------------------------
-
-#: A catalog with a link table, a self reference and an extension table: table, column, is_pk, fk_table, fk_column.
-CATALOG = (("person", "id", 1, None, None), ("person", "name", 0, None, None), ("person", "boss", 0, "person", "id"), ("pupil", "id", 1, "person", "id"), ("course", "id", 1, None, None), ("course", "title", 0, None, None), ("takes", "pid", 1, "person", "id"), ("takes", "cid", 1, "course", "id"), ("exam", "pid", 1, "person", "id"), ("exam", "day", 1, None, None), ("exam", "mark", 0, None, None), ("room", "id", 1, None, None), ("room", "course", 0, "course", "id"), ("book", "id", 1, None, None), ("book", "course", 0, "course", "id"))
-_CATALOG_SQL = "(VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else repr(v) for v in r) + ")" for r in CATALOG) + ') c("table", "column", is_pk, fk_table, fk_column)'
-
-
-def catalog(s: SparkSession) -> DataFrame:
-    return s.createDataFrame(CATALOG, "table string, column string, is_pk int, fk_table string, fk_column string")
-
-
-_STATS = f'WITH c AS (SELECT * FROM {_CATALOG_SQL}), t AS (SELECT "table", sum(is_pk) AS n_pk, count(*) AS n, count(*) FILTER (is_pk = 1 AND fk_table IS NOT NULL) AS n_pkfk, count(*) FILTER (fk_table IS NOT NULL) AS n_fk, count(*) FILTER (is_pk = 0 AND fk_table IS NULL) AS n_simple FROM c GROUP BY 1)'
-
-
-@query("class_rules", _STATS + " SELECT \"table\", CASE WHEN n_pk = n_pkfk AND n_fk = n_pk AND n_simple = 0 AND n_pk = 1 THEN 'merge' WHEN n_pk = 1 OR (n_pkfk > 0 AND n_pkfk < n_pk) OR (n_pk = n_pkfk AND n_simple > 0) THEN 'class' ELSE 'link' END AS verdict FROM t")
-def _(s, d):
-    return R.class_rules(catalog(s))
-
-
-@query("object_property_rules", _STATS + " SELECT 'r1' AS rule, \"table\" AS src, fk_table AS tgt FROM c WHERE is_pk = 0 AND fk_table <> \"table\" UNION SELECT 'r1inv', fk_table, \"table\" FROM c WHERE is_pk = 0 AND fk_table <> \"table\" UNION SELECT 'r2', c.\"table\", fk_table FROM c JOIN t USING (\"table\") WHERE is_pk = 1 AND fk_table IS NOT NULL AND n_pk > 1 AND n > n_pk UNION SELECT 'r3', a.fk_table, b.fk_table FROM c a JOIN c b ON a.\"table\" = b.\"table\" AND a.\"column\" <> b.\"column\" JOIN t ON t.\"table\" = a.\"table\" WHERE a.is_pk = 1 AND b.is_pk = 1 AND a.fk_table <> b.fk_table AND n_pk = n_pkfk AND n_pk > 1 UNION SELECT 'r4', fk_table, c.\"table\" FROM c JOIN t USING (\"table\") WHERE is_pk = 1 AND fk_table IS NOT NULL AND n_pk = n_pkfk AND n_pk > 1 UNION SELECT 'r7', \"table\", \"table\" FROM c WHERE fk_table = \"table\" UNION SELECT 'r8', a.\"table\", b.\"table\" FROM c a JOIN c b ON a.fk_table = b.fk_table AND a.fk_column = b.fk_column AND a.\"table\" <> b.\"table\" WHERE a.is_pk = 0 AND b.is_pk = 0")
-def _(s, d):
-    return R.object_property_rules(catalog(s))
-
-
-@query("data_property_rules", f"WITH c AS (SELECT * FROM {_CATALOG_SQL}), k AS (SELECT \"table\", CASE WHEN \"column\" IN (SELECT \"table\" FROM c) THEN \"column\" || '_ATTR' ELSE \"column\" END AS a FROM c WHERE is_pk = 0 AND fk_table IS NULL) SELECT \"table\" AS domain, 'has_' || a AS prop, a AS range FROM k UNION ALL SELECT a, 'has_' || a || '_VALUE', 'xsd:string' FROM k")
-def _(s, d):
-    return R.data_property_rules(catalog(s), attributes_to_classes=True)
-
-
-@query("property_union", f"SELECT 'p_' || coalesce(fk_table, 'none') AS prop, string_agg(DISTINCT \"table\", ',' ORDER BY \"table\") AS domains, count(DISTINCT \"column\") AS n_fields FROM {_CATALOG_SQL} GROUP BY 1")
-def _(s, d):
-    return catalog(s).groupBy(F.concat(F.lit("p_"), F.coalesce("fk_table", F.lit("none"))).alias("prop")).agg(F.array_join(F.array_sort(F.collect_set("table")), ",").alias("domains"), F.countDistinct("column").alias("n_fields"))
-
-
-_NAMES = ("account_person", "person_data", "the_persons")
-
-
-@query("common_stem", "WITH n AS (SELECT unnest(['account_person','person_data','the_persons']) AS n), f AS (SELECT 'account_person' AS f), s AS (SELECT DISTINCT substr(f, i::INT, l::INT) AS stem FROM f, range(1, 15) a(i), range(1, 15) b(l) WHERE i + l - 1 <= length(f)) SELECT stem FROM s WHERE (SELECT bool_and(contains(n, stem)) FROM n) ORDER BY length(stem) DESC, stem LIMIT 1")
-def _(s, d):
-    return R.common_stem(s.createDataFrame([(n,) for n in _NAMES], "name string"), _NAMES[0])
-
-
 @query("json_paths", "SELECT DISTINCT '/Record/' || key AS path, 'xsd:integer' AS type FROM (SELECT unnest(json_keys(props)) AS key FROM events)")
 def _(s, d):
     from graphloom.sources.json_tree import paths
@@ -274,19 +207,18 @@ def _(s, d):
     return M.inverted_index(M.postings(table(s, d, "documents"), "doc_id", "text"))
 
 
-@query("idf_pool", f"WITH {_POST}, f AS (SELECT token, log10((SELECT count(*) FROM documents) / count(*)) AS idf FROM post GROUP BY token HAVING count(*) <= 0.05 * (SELECT count(*) FROM documents)), q AS (SELECT item_id AS src, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM benchmark), r AS (SELECT src, entity, round(sum(idf), 6) AS score FROM q JOIN f USING (token) JOIN post USING (token) GROUP BY ALL), w AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, entity) AS rank FROM r) SELECT src, entity, score, rank FROM w WHERE rank <= 10")
-def _(s, d):
-    docs = table(s, d, "documents")
-    q = table(s, d, "benchmark").select(F.col("item_id").alias("src"), F.explode(X.tokens(F.col("text"))).alias("token"))
-    return M.idf_pool(q, M.postings(docs, "doc_id", "text"), docs.agg(F.count("*").alias("d")), 10, 0.05).withColumn("rank", F.col("rank").cast("long"))
+_IDF = f"""WITH {_POST},
+f AS (SELECT token, log10((SELECT count(*) FROM documents) / count(*)) AS idf FROM post GROUP BY token),
+q AS (SELECT item_id AS src, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM benchmark),
+r AS (SELECT src, entity, round(sum(idf), 6) AS score FROM q JOIN f USING (token) JOIN post USING (token) GROUP BY ALL)
+SELECT src, entity, score, k AS rank FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, entity) AS k FROM r) WHERE k <= 10"""
 
 
-@query("idf_pool_all")
+@query("idf_pool", _IDF)
 def _(s, d):
-    """idf_pool with the tokens of every share; a test compares it with brute force."""
     docs = table(s, d, "documents")
     q = table(s, d, "benchmark").select(F.col("item_id").alias("src"), F.explode(X.tokens(F.col("text"))).alias("token"))
-    return M.idf_pool(q, M.postings(docs, "doc_id", "text"), docs.agg(F.count("*").alias("d")), 10, 1.0).withColumn("rank", F.col("rank").cast("long"))
+    return M.idf_pool(q, M.postings(docs, "doc_id", "text"), docs.agg(F.count("*").alias("d")), 10).withColumn("rank", F.col("rank").cast("long"))
 
 
 _NAMES_SQL = "n AS (SELECT DISTINCT p_name FROM part), pairs AS (SELECT DISTINCT a.p_name AS src, b.p_name AS tgt FROM n a JOIN n b ON split_part(a.p_name, ' ', 1) = split_part(b.p_name, ' ', 1) OR split_part(a.p_name, ' ', 2) = split_part(b.p_name, ' ', 2) WHERE a.p_name <> b.p_name)"
@@ -422,12 +354,16 @@ def _(s, d):
     return h.select("header", F.explode(product).alias("expansion"))
 
 
-@query("cosine_topk", "WITH p AS (SELECT a.vec_id AS src, b.vec_id AS tgt, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS sim FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND a.label = b.label WHERE a.vec_id % 50 = 0) SELECT src, tgt, sim, k FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY sim DESC, tgt) AS k FROM p) WHERE k <= 5")
+@query(
+    "cosine_topk",
+    """WITH p AS (SELECT a.vec_id AS src, b.vec_id AS tgt, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS sim
+FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
+SELECT src, tgt, sim, k FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY sim DESC, tgt) AS k FROM p) WHERE k <= 5""",
+)
 def _(s, d):
-    """Queries are the ids divisible by 50, against all vectors of their label."""
+    """Queries are the ids divisible by 50, against all vectors, in blocks: each batch of vectors meets all queries at once and keeps its best."""
     e = table(s, d, "embeddings")
-    p = e.where("vec_id % 50 = 0").alias("a").join(e.alias("b"), (F.col("a.label") == F.col("b.label")) & (F.col("a.vec_id") != F.col("b.vec_id"))).select(F.col("a.vec_id").alias("src"), F.col("b.vec_id").alias("tgt"), F.round(X.cosine(F.col("a.embedding"), F.col("b.embedding")), 5).alias("sim"))
-    return p.withColumn("k", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("sim"), "tgt"))).where("k <= 5").withColumn("k", F.col("k").cast("long"))
+    return M.nearest(e.where("vec_id % 50 = 0"), e, 5)
 
 
 @query("tfidf_similarity", "WITH t AS (SELECT item_id, token, count(*) AS tf FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM benchmark) GROUP BY ALL), f AS (SELECT token, ln((1 + (SELECT count(*) FROM benchmark)) / (1 + count(*))) + 1 AS idf FROM t GROUP BY token), w AS (SELECT item_id, token, tf * idf AS x FROM t JOIN f USING (token)), n AS (SELECT item_id, sqrt(sum(x * x)) AS z FROM w GROUP BY 1) SELECT a.item_id AS a, b.item_id AS b, round(sum(a.x * b.x) / any_value(na.z) / any_value(nb.z), 5) AS sim FROM w a JOIN w b ON a.token = b.token AND a.item_id < b.item_id JOIN n na ON na.item_id = a.item_id JOIN n nb ON nb.item_id = b.item_id GROUP BY 1, 2")
@@ -511,4 +447,4 @@ def _(s, d):
 
 
 # Further queries register themselves.
-from graphloom.plans import abbreviations, corpora, dicom, refine, selection  # noqa: E402, F401
+from graphloom.plans import abbreviations, corpora, dicom, json, refine, schema, selection  # noqa: E402, F401

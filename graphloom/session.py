@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,9 +15,29 @@ def session(master: str = "local[*]", **conf: str) -> SparkSession:
     return b.getOrCreate()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows written to the folder in spark.checkpoint.dir; one of our own only where none is set."""
-    context = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from spark.checkpoint.dir. Only a local session, where both are one process, may name none and gets one."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphloom-"))
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="graphloom-"))
+    return (named or context.getCheckpointDir()).rstrip("/")
+
+
+def fresh_dir(spark: SparkSession, what: str) -> str:
+    """A new folder's name in the shared one."""
+    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows written to the shared folder: lineage ends here."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with a number where the frame has such a column already."""
+    taken = {c.lower() for c in df.columns}
+    return [next(c for c in (f"{n}{i or ''}" for i in range(len(taken) + 1)) if c.lower() not in taken) for n in names]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphloom.session import cut, unused
+
 
 def sniff(lines: DataFrame) -> DataFrame:
     """The most frequent character that no word has; of equal ones the first to get there. lines: line (one row)."""
@@ -42,10 +44,17 @@ def read(spark: SparkSession, path: str, delimiter: str | None = None) -> DataFr
     return body.fillna("")
 
 
-def with_surrogate_key(df: DataFrame, order: str, name: str = "PKCol") -> DataFrame:
-    """"1" to "n" in the given order. Rows are range-partitioned, numbered within, and lifted by the counts before: no task sees them all."""
-    parts = df.repartitionByRange(F.col(order)).withColumn("__p", F.spark_partition_id())
-    counts = parts.groupBy("__p").agg(F.count("*").alias("__n"))
-    before = counts.withColumn("__o", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    numbered = parts.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(order)))
-    return numbered.join(F.broadcast(before), "__p").withColumn(name, (F.col("__o") + F.col("__r")).cast("string")).drop("__p", "__r", "__o")
+def with_surrogate_key(df: DataFrame, order: str | list[str], name: str = "PKCol") -> DataFrame:
+    """"1" to "n" in the given order.
+
+    Rows are range-partitioned and sorted, and written once with their place in their partition; a row's number is that place and the counts of the
+    partitions before it. All of it is derived from the written rows, so it doesn't matter how often the plan runs; no task sees all rows.
+    """
+    place, part, before = unused(df, "__place", "__part", "__before")
+    keys = [order] if isinstance(order, str) else order
+    rows = cut(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(place, F.monotonically_increasing_id()))
+    rows = rows.withColumn(part, F.shiftright(place, 33))  # the upper bits are the partition's number, the lower ones the place in it
+    counts = rows.groupBy(part).agg(F.count("*").alias("n"))
+    sums = counts.select(part, F.coalesce(F.sum("n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(before))
+    number = F.col(before) + F.col(place).bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return rows.join(F.broadcast(sums), part).withColumn(name, number.cast("string")).drop(place, part, before)

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.session import cut
+from graphloom.session import fresh_dir
 
 SCHEMA = "metadata_id string, filename string, domain string, seq long"
 
@@ -26,19 +23,31 @@ def latest(state: DataFrame | None, batch: DataFrame) -> DataFrame:
 
 
 def run(spark: SparkSession, folder: str, checkpoint: str, files_per_batch: int = 1) -> DataFrame:
-    """Reads all notifications that are there, a micro-batch at a time, and returns the state after the last."""
-    held: dict[str, DataFrame | None] = {"state": None}
+    """Reads all notifications that are there, a micro-batch at a time, and returns the state after the last.
+
+    The state after each batch is a table named by the batch's number beside the stream's own checkpoint: a batch that is run again after a failure, by this or another
+    driver, starts from the table of the batch before it and replaces its own, so nothing is counted twice or forgotten.
+    """
+
+    def of(batch_id: int) -> str:
+        return f"{checkpoint}/state/{batch_id}"
+
+    def held(batch_id: int) -> DataFrame | None:
+        return spark.read.parquet(of(batch_id)) if batch_id >= 0 else None
 
-    def each(batch: DataFrame, _: int) -> None:
-        held["state"] = cut(latest(held["state"], batch))
+    def each(batch: DataFrame, batch_id: int) -> None:
+        latest(held(batch_id - 1), batch).write.mode("overwrite").parquet(of(batch_id))
 
     stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", files_per_batch).json(folder)
-    stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return held["state"] if held["state"] is not None else latest(None, spark.createDataFrame([], SCHEMA))
+    stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{checkpoint}/stream").trigger(availableNow=True).start().awaitTermination()
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/state")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    batches = [int(x.getPath().getName()) for x in fs.listStatus(path) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(x.getPath(), "_SUCCESS"))] if fs.exists(path) else []
+    return held(max(batches)) if batches else latest(None, spark.createDataFrame([], SCHEMA))
 
 
 def demo(spark: SparkSession, rows: DataFrame) -> DataFrame:
     """Notifications made of conversations, written in two parts and read as a stream."""
-    root = f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='graphloom-')).rstrip('/')}/notifications-{uuid.uuid4().hex}"
+    root = fresh_dir(spark, "notifications")
     rows.select(F.concat_ws("-", "conv_id", "turn").alias("metadata_id"), F.concat(F.lit("file"), (F.col("conv_id") % 7).cast("string")).alias("filename"), F.col("role").alias("domain"), (F.col("conv_id") * 1000 + F.col("turn")).alias("seq")).repartition(2).write.json(f"{root}/in")
     return run(spark, f"{root}/in", f"{root}/state")

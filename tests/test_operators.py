@@ -81,7 +81,7 @@ def test_suitability_scan_against_a_loop(spark):
     assert {(x.src, x.pos) for x in got} == want
 
 
-def test_idf_pool_all_against_brute_force(spark, tmp_path):
+def test_idf_pool_against_brute_force(spark, tmp_path):
     import math
 
     docs = {i: "the old " + ("red " if i % 2 else "") + ("blue " if i % 3 else "") + f"w{i % 7}" for i in range(1, 31)}
@@ -93,7 +93,7 @@ def test_idf_pool_all_against_brute_force(spark, tmp_path):
     for src, text in items.items():
         scores = {i: round(sum(math.log10(len(docs) / df(t)) for t in text.split() if t in x.split()), 6) for i, x in docs.items() if set(text.split()) & set(x.split())}
         want |= {(src, i, k + 1) for k, i in enumerate(sorted(scores, key=lambda i: (-scores[i], i))[:10])}
-    got = registry.queries()["idf_pool_all"](spark, str(tmp_path)).collect()
+    got = registry.queries()["idf_pool"](spark, str(tmp_path)).collect()
     assert {(r.src, r.entity, r["rank"]) for r in got} == want and {r.src for r in got} == {1, 2, 3}
 
 
