@@ -447,4 +447,4 @@ def _(s, d):
 
 
 # Further queries register themselves.
-from graphloom.plans import abbreviations, corpora, dicom, json, refine, schema, selection  # noqa: E402, F401
+from graphloom.plans import abbreviations, corpora, dicom, json, ontology, refine, schema, selection  # noqa: E402, F401
