@@ -115,3 +115,93 @@ def with_article(c: Column) -> Column:
 def prompt(sub: Column, sup: Column) -> Column:
     """The question form of a subsumption."""
     return F.concat(F.lit("It is "), with_article(sub), F.lit("? <MASK>, it is "), with_article(sup), F.lit("."))
+
+
+def intra_corpus(labels: DataFrame, edges: DataFrame, soft: int = 2, hard: int = 2, seed: int = 0) -> DataFrame:
+    """a, b, is_synonym of one ontology: its synonyms, and `soft` and `hard` negatives for each of them; where siblings give too few hard ones, soft ones make up for it.
+
+    labels: entity, label; edges: child, parent. Negatives are drawn by a digest, so that a rerun draws the same.
+    """
+    pos = cut(synonyms(labels))
+    n = pos.count()
+    hards = cut(hard_negatives(labels, edges, max(1, hard), seed)) if hard else pos.limit(0)
+    take = lambda d, k: d.withColumn("__d", _digest(seed, "a", "b")).orderBy("__d", "a", "b").limit(k).drop("__d")
+    got = min(hards.count(), hard * n)
+    wanted = soft * n + (hard * n - got)
+    labels_n = max(1, labels.select("entity", "label").distinct().count())
+    softs = soft_negatives(labels, max(1, -(-wanted // labels_n) + 1), seed)
+    return corpus([pos], [take(hards, hard * n), take(softs.join(hards, ["a", "b"], "left_anti"), wanted)])
+
+
+def lexicon_pairs(words: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """a, b, is_synonym of the words that a lexicon knows: their other lemmas, and the first antonym. words: word; lexicon: word, lemma, kind (synonym, antonym), rank."""
+    known = words.select("word").distinct().join(lexicon, "word")
+    same = known.where("kind = 'synonym' and lemma <> word").select(F.col("word").alias("a"), F.col("lemma").alias("b")).distinct().withColumn("is_synonym", F.lit(True))
+    other = known.where("kind = 'antonym'").groupBy(F.col("word").alias("a")).agg(F.min(F.struct("rank", "lemma")).alias("x")).select("a", F.col("x.lemma").alias("b"), F.lit(False).alias("is_synonym"))
+    return same.unionByName(other)
+
+
+def atomic_samples(closed: DataFrame, instances: DataFrame, k: int, seed: int = 0) -> DataFrame:
+    """sub, sup, is_subsumption: all subsumptions of the closure, and for each class up to k drawn classes that it is assumed to be disjoint from. closed: reflexive."""
+    pos = closed.where("depth > 0").select(F.col("node").alias("sub"), F.col("ancestor").alias("sup"), F.lit(True).alias("is_subsumption"))
+    nodes = closed.select("node").distinct()
+    rows = _numbered(nodes, _digest(seed, "node"))
+    n = rows.count()
+    mate = rows.select(F.col("node").alias("y"), F.col("__i").alias("__j"))
+    pairs = rows.withColumn("__s", F.explode(F.sequence(F.lit(1), F.lit(max(1, min(k, n - 1)))))).withColumn("__j", (F.col("__i") + F.col("__s")) % F.lit(max(n, 1))).join(mate, "__j").where("node <> y").select(F.col("node").alias("x"), "y")
+    neg = assumed_disjoint(pairs, closed, instances).select(F.col("x").alias("sub"), F.col("y").alias("sup"), F.lit(False).alias("is_subsumption"))
+    return pos.unionByName(neg)
+
+
+def corrupted(restrictions: DataFrame, closed: DataFrame, seed: int = 0) -> DataFrame:
+    """cls, prop, filler, kind (whole, corrupted) of complex classes: each restriction, and the same with another filler, drawn from those of its property, that neither is, lies above nor below the own one.
+
+    restrictions: cls, prop, filler; closed: reflexive.
+    """
+    whole = restrictions.select("cls", "prop", "filler").distinct()
+    fillers = whole.select("prop", F.col("filler").alias("other")).distinct()
+    size = fillers.groupBy("prop").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("prop").orderBy(_digest(seed, "prop", "other"), "other")
+    ring = fillers.withColumn("i", F.row_number().over(w) - 1).join(size, "prop")
+    at = whole.join(ring.select("prop", F.col("other").alias("filler"), "i", "n"), ["prop", "filler"])
+    mates = at.withColumn("j", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.lit(8), F.col("n") - 1))))).withColumn("at", (F.col("i") + F.col("j")) % F.col("n"))
+    drawn = mates.join(ring.select("prop", "other", F.col("i").alias("at")), ["prop", "at"]).where("other <> filler")
+    near = closed.where("depth > 0").select(F.col("node").alias("filler"), F.col("ancestor").alias("other"))
+    far = drawn.join(near.unionByName(near.select(F.col("other").alias("filler"), F.col("filler").alias("other"))), ["filler", "other"], "left_anti").join(whole.select("cls", "prop", F.col("filler").alias("other")), ["cls", "prop", "other"], "left_anti")
+    one = far.groupBy("cls", "prop", "filler").agg(F.min(F.struct("j", "other")).alias("x")).select("cls", "prop", F.col("x.other").alias("filler"), F.lit("corrupted").alias("kind"))
+    return whole.withColumn("kind", F.lit("whole")).unionByName(one)
+
+
+def contexts(edges: DataFrame, labels: DataFrame, k: int, most: int) -> DataFrame:
+    """node and text: its label and those of up to `most` neighbours within k steps, the nearest first, joined by a separator. labels: entity, label (one each)."""
+    one = labels.groupBy("entity").agg(F.min("label").alias("label"))
+    near = hops(edges, one.select(F.col("entity").alias("node")), k).join(one.select(F.col("entity").alias("other"), "label"), "other")
+    w = Window.partitionBy("node").orderBy("hop", "label", "other")
+    kept = near.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "label"))), lambda x: x["label"]).alias("l"))
+    own = one.select(F.col("entity").alias("node"), "label").join(kept, "node", "left")
+    return own.select("node", F.concat_ws(" <SEP> ", "label", F.array_join("l", " <SEP> ")).alias("text"))
+
+
+def sample_strings(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """sub, sup, a, b: pairs of classes, of one ontology or of two, with their texts. pairs: sub, sup; texts: node, text."""
+    t = lambda c, n: texts.select(F.col("node").alias(c), F.col("text").alias(n))
+    return pairs.join(t("sub", "a"), "sub").join(t("sup", "b"), "sup").select("sub", "sup", "a", "b")
+
+
+def neighbour_pool(references: DataFrame, edges: DataFrame, k: int) -> DataFrame:
+    """src, cand: the targets' neighbours within k steps."""
+    near = hops(edges, references.select(F.col("tgt").alias("node")).distinct(), k)
+    return references.join(near.select(F.col("node").alias("tgt"), F.col("other").alias("cand")), "tgt").select("src", "cand").distinct()
+
+
+def random_pool(references: DataFrame, targets: DataFrame, k: int, seed: int = 0) -> DataFrame:
+    """src, cand: for each source k targets from a shuffled ring, from a place that its own digest gives. targets: node."""
+    rows = _numbered(targets.select("node").distinct(), _digest(seed, "node"))
+    n = max(1, rows.count())
+    start = references.select("src").distinct().withColumn("__b", F.pmod(F.xxhash64("src", F.lit(seed)), F.lit(n)))
+    places = start.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(min(k, n) - 1)))).withColumn("__i", (F.col("__b") + F.col("__s")) % F.lit(n))
+    return places.join(rows, "__i").select("src", F.col("node").alias("cand"))
+
+
+#: Pools of negative candidates by strategy; idf pools come from the alignment's candidates.
+POOLS = {"random": random_pool, "neighbour": neighbour_pool}

@@ -14,10 +14,13 @@ BASE = "urn:graphloom:"
 XSD = {"int": "xsd:integer", "long": "xsd:integer", "double": "xsd:decimal", "string": "xsd:string", "time": "xsd:dateTime"}
 
 
+#: Characters that no name in a line may hold.
+_ILLEGAL = '<>"{}|^`\\ \t\n\r'
+
+
 def key_text(keys: list[str]) -> Column:
-    """The key's values, told apart: bars and backslashes within them are escaped, a null is one escape."""
-    one = lambda k: F.coalesce(F.replace(F.replace(F.col(k).cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|")), F.lit("\\0"))
-    return F.concat_ws("|", *map(one, keys))
+    """The key's values as a part of a name, told apart: each is encoded, semicolons part them, a null is a tilde."""
+    return F.concat_ws(";", *(F.coalesce(F.url_encode(F.col(k).cast("string")), F.lit("~")) for k in keys))
 
 
 def row_uri(table: str, rank: int, keys: list[str], base: str = BASE) -> Column:
@@ -45,15 +48,21 @@ def triples(table: str, rows: DataFrame, rank: int, keys: list[str], attributes:
     return both if unique else both.distinct()
 
 
-def ntriples(t: DataFrame) -> DataFrame:
-    """One line for each triple; literals and names are escaped as the format asks, so no line holds a break."""
-    iri = lambda c: F.concat(F.lit("<"), F.regexp_replace(F.regexp_replace(c, r"\\", r"\\\\"), r"[\x00-\x20<>\"{}|^`]", "_"), F.lit(">"))
+def ntriples(t: DataFrame, beside: str | None = None) -> DataFrame:
+    """One line for each triple, beside a column if asked; literals and names are escaped as the format asks, so no line holds a break."""
+    def iri(c: Column) -> Column:
+        for char in _ILLEGAL:
+            c = F.replace(c, F.lit(char), F.lit(f"%{ord(char):02X}"))
+        return F.when(c.startswith("_:"), c).otherwise(F.concat(F.lit("<"), c, F.lit(">")))
+
     escaped = F.col("o")
     for char, written in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
         escaped = F.replace(escaped, F.lit(char), F.lit(written))
     typed = F.when(F.col("datatype").isNotNull(), F.concat(F.lit("^^"), iri(F.col("datatype")))).otherwise(F.lit(""))
     o = F.when(F.col("o_kind") == "iri", iri(F.col("o"))).otherwise(F.concat(F.lit('"'), escaped, F.lit('"'), typed))
-    return t.select(F.concat(iri(F.col("s")), F.lit(" "), iri(F.col("p")), F.lit(" "), o, F.lit(" .")).alias("line"))
+    lang = F.when(F.col("lang").isNotNull(), F.concat(F.lit("@"), "lang")).otherwise(F.lit("")) if "lang" in t.columns else F.lit("")
+    end = F.when(F.col("o_kind") == "iri", F.lit(" .")).otherwise(F.concat(lang, F.lit(" .")))
+    return t.select(*([beside] if beside else []), F.concat(iri(F.col("s")), F.lit(" "), iri(F.col("p")), F.lit(" "), o, end).alias("line"))
 
 
 def pii_flags(closed: DataFrame, matches: DataFrame) -> DataFrame:

@@ -112,3 +112,67 @@ def _(s, d):
 @query("subsumption_prompts", "SELECT DISTINCT 'It is ' || CASE WHEN lower(p_brand[1]) IN ('a','e','i','o','u') THEN 'an ' ELSE 'a ' END || p_brand || '? <MASK>, it is ' || CASE WHEN lower(p_type[1]) IN ('a','e','i','o','u') THEN 'an ' ELSE 'a ' END || p_type || '.' AS prompt FROM part")
 def _(s, d):
     return _edges(s, d).select(C.prompt(F.col("child"), F.col("parent")).alias("prompt")).distinct()
+
+
+@query("intra_corpus", f"WITH {_L} SELECT true AS is_synonym, count(*) AS n FROM (SELECT DISTINCT a, b FROM syn)")
+def _(s, d):
+    """All synonyms are there; the negatives, drawn, are compared in a test."""
+    got = C.intra_corpus(_labels(s, d, _entity()), _edges(s, d, _entity()))
+    return got.where("is_synonym").groupBy("is_synonym").agg(F.count("*").alias("n"))
+
+
+@query("lexicon_pairs", "SELECT DISTINCT p_type AS a, p_brand AS b, true AS is_synonym FROM part WHERE p_size % 2 = 0 UNION ALL SELECT p_type, arg_min(p_name, (p_partkey, p_name)), false FROM part GROUP BY 1")
+def _(s, d):
+    p = table(s, d, "part")
+    lexicon = p.where("p_size % 2 = 0").select(F.col("p_type").alias("word"), F.col("p_brand").alias("lemma"), F.lit("synonym").alias("kind"), F.lit(0).cast("long").alias("rank")).union(p.select("p_type", "p_name", F.lit("antonym"), "p_partkey"))
+    return C.lexicon_pairs(p.select(F.col("p_type").alias("word")), lexicon)
+
+
+@query("atomic_samples", "SELECT 'n' || n_nationkey AS sub, 'r' || n_regionkey AS sup FROM nation")
+def _(s, d):
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    closed = H.closure(table(s, d, "nation").select(name("n", "n_nationkey").alias("child"), name("r", "n_regionkey").alias("parent")))
+    none = s.createDataFrame([], "node string, instance string")
+    return C.atomic_samples(closed, none, 3).where("is_subsumption").select("sub", "sup")
+
+
+@query("corrupted_classes", "SELECT DISTINCT p_brand AS cls, p_type AS prop, p_name AS filler FROM part")
+def _(s, d):
+    r = table(s, d, "part").select(F.col("p_brand").alias("cls"), F.col("p_type").alias("prop"), F.col("p_name").alias("filler"))
+    closed = H.closure(s.createDataFrame([("none", "top")], "child string, parent string"))
+    return C.corrupted(r, closed).where("kind = 'whole'").drop("kind")
+
+
+@query(
+    "context_texts",
+    """WITH e AS (SELECT 'n' || n_nationkey AS c, n_name, 'r' || n_regionkey AS p, r_name FROM nation JOIN region ON n_regionkey = r_regionkey),
+x AS (SELECT c AS node, n_name AS label, r_name AS l, 1 AS hop, p AS o FROM e UNION ALL SELECT a.c, a.n_name, b.n_name, 2, b.c FROM e a JOIN e b ON a.p = b.p AND a.c <> b.c UNION ALL SELECT p, r_name, n_name, 1, c FROM e),
+k AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY hop, l, o) AS r FROM x) SELECT node, min(label) || ' <SEP> ' || string_agg(l, ' <SEP> ' ORDER BY r) AS text FROM k WHERE r <= 3 GROUP BY node""",
+)
+def _(s, d):
+    n, r = table(s, d, "nation"), table(s, d, "region")
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    labels = n.select(name("n", "n_nationkey").alias("entity"), F.col("n_name").alias("label")).union(r.select(name("r", "r_regionkey"), "r_name"))
+    return C.contexts(n.select(name("n", "n_nationkey").alias("child"), name("r", "n_regionkey").alias("parent")), labels, 2, 3)
+
+
+@query("sample_strings", "SELECT 'n' || n_nationkey AS sub, 'r' || n_regionkey AS sup, n_name AS a, r_name AS b FROM nation JOIN region ON n_regionkey = r_regionkey")
+def _(s, d):
+    n, r = table(s, d, "nation"), table(s, d, "region")
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    texts = n.select(name("n", "n_nationkey").alias("node"), F.col("n_name").alias("text")).union(r.select(name("r", "r_regionkey"), "r_name"))
+    return C.sample_strings(n.select(name("n", "n_nationkey").alias("sub"), name("r", "n_regionkey").alias("sup")), texts)
+
+
+@query("neighbour_pool", "SELECT DISTINCT 'c' || c_custkey AS src, 'n' || b.n_nationkey AS cand FROM customer JOIN nation a ON c_nationkey = a.n_nationkey JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey UNION SELECT 'c' || c_custkey, 'r' || n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def _(s, d):
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    edges = table(s, d, "nation").select(name("n", "n_nationkey").alias("child"), name("r", "n_regionkey").alias("parent"))
+    return C.POOLS["neighbour"](table(s, d, "customer").select(name("c", "c_custkey").alias("src"), name("n", "c_nationkey").alias("tgt")), edges, 2)
+
+
+@query("random_pool", "SELECT 'c' || c_custkey AS src, 5 AS n FROM customer")
+def _(s, d):
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    pool = C.POOLS["random"](table(s, d, "customer").select(name("c", "c_custkey").alias("src")), table(s, d, "nation").select(name("n", "n_nationkey").alias("node")), 5)
+    return pool.groupBy("src").agg(F.countDistinct("cand").alias("n"))
