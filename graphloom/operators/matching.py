@@ -137,3 +137,35 @@ def precision_recall(predicted: DataFrame, reference: DataFrame, on: list[str])
     both = hit.crossJoin(predicted.agg(F.count("*").alias("p"))).crossJoin(reference.agg(F.count("*").alias("r")))
     p, r = F.try_divide("tp", "p"), F.try_divide("tp", "r")
     return both.select("tp", F.round(p, 3).alias("precision"), F.round(r, 3).alias("recall"), F.round(F.try_divide(2 * p * r, p + r), 3).alias("f1"))
+
+
+def exact_mapper(src: DataFrame, tgt: DataFrame, described: DataFrame) -> DataFrame:
+    """src, tgt, score: for each entity the target of its kind with a label in common; a data property without domain and range scores 0.5 and gives way to one that has them; of equal ones the least.
+
+    src, tgt: kind, entity, label; described: entity of the target properties with a domain or range.
+    """
+    known = described.select("entity", F.lit(True).alias("told")).distinct()
+    rows = tgt.join(known, "entity", "left").withColumn("score", F.when((F.col("kind") == "dataProperty") & F.col("told").isNull(), 0.5).otherwise(1.0))
+    best = rows.groupBy("kind", "label").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("entity").alias("tgt"))).alias("x"))
+    met = src.join(best, ["kind", "label"]).groupBy(F.col("entity").alias("src")).agg(F.min("x").alias("x"))
+    return met.select("src", "x.tgt", (-F.col("x.s")).alias("score"))
+
+
+def synonym_groups(labels: DataFrame) -> DataFrame:
+    """label and grp: labels that entities have in common make them one group, however many steps apart; grp is the least label. labels: entity, label."""
+    from graphloom.operators.hierarchy import connected
+
+    heads = labels.groupBy("entity").agg(F.min("label").alias("head"))
+    ties = labels.join(heads, "entity").select(F.col("label").alias("a"), F.col("head").alias("b")).distinct()
+    return connected(ties).select(F.col("node").alias("label"), F.col("comp").alias("grp"))
+
+
+def inventory_groups(inventory: DataFrame) -> DataFrame:
+    """sf and the sorted set of its full forms. inventory: sf, lf."""
+    return inventory.groupBy("sf").agg(F.array_sort(F.collect_set("lf")).alias("lfs"))
+
+
+def split_by_hash(rows: DataFrame, columns: list[str], share: float = 0.9, seed: int = 0) -> DataFrame:
+    """The rows with part: train for a share of them, val for the others, by a digest of the columns, so that a rerun splits alike."""
+    place = F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", *columns, F.lit(str(seed)))), 1, 8), 16, 10).cast("long"), F.lit(10_000))
+    return rows.withColumn("part", F.when(place < int(share * 10_000), "train").otherwise("val"))

@@ -86,3 +86,29 @@ def fk_paths(fks: DataFrame, found: DataFrame) -> DataFrame:
     """table, column, prop of foreign keys: those without a path of their own get the plain property. fks: table, column, ref; found: table, column, prop."""
     plain = fks.join(found, ["table", "column"], "left_anti").select("table", "column", F.concat_ws("_", F.lit("p"), "table", "ref").alias("prop"))
     return found.select("table", "column", "prop").unionByName(plain)
+
+
+def moved_domains(triples: DataFrame, changes: DataFrame) -> DataFrame:
+    """The triples once properties hang on other classes: in a property's domain, or in its union, the table's class gives way to the last class of the path, and with it goes the restriction on the property.
+
+    triples: s, p, o, a union being domain → node, node owl:unionOf each class, a restriction cls rdfs:subClassOf node, node owl:onProperty the property. changes: prop, old, new.
+    """
+    direct = triples.where(F.col("p") == DOMAIN).select(F.col("s").alias("prop"), F.col("o").alias("at"))
+    member = triples.where("p = 'owl:unionOf'").select(F.col("s").alias("at"), F.col("o").alias("old"))
+    hit = changes.join(direct, "prop")
+    single = hit.where("at = old").select(F.col("prop").alias("s"), F.lit(DOMAIN).alias("p"), F.col("old").alias("o"), "new")
+    inside = hit.join(member, ["at", "old"]).select(F.col("at").alias("s"), F.lit("owl:unionOf").alias("p"), F.col("old").alias("o"), "new")
+    on = triples.where("p = 'owl:onProperty'").select(F.col("s").alias("o"), F.col("o").alias("prop"))
+    bound = triples.where(F.col("p") == SUBCLASS).select(F.col("s").alias("old"), F.col("o")).join(on, "o").join(changes, ["prop", "old"]).select(F.col("old").alias("s"), F.lit(SUBCLASS).alias("p"), "o", "new")
+    swap_o = single.unionByName(inside).withColumnRenamed("new", "new_o")
+    swap_s = bound.withColumnRenamed("new", "new_s")
+    rows = triples.select("s", "p", "o").join(swap_o, ["s", "p", "o"], "left").join(swap_s, ["s", "p", "o"], "left")
+    return rows.select(F.coalesce("new_s", "s").alias("s"), "p", F.coalesce("new_o", "o").alias("o")).distinct()
+
+
+def changed_ranges(triples: DataFrame, changes: DataFrame) -> DataFrame:
+    """The triples with another range of properties, and the restrictions on them with it as their filler. changes: prop, range."""
+    on = triples.where("p = 'owl:onProperty'").select(F.col("s").alias("node"), F.col("o").alias("prop")).join(changes, "prop").select("node", "range")
+    direct = changes.select(F.col("prop").alias("s"), F.lit(RANGE).alias("p"), F.col("range").alias("new"))
+    filler = on.select(F.col("node").alias("s"), F.lit("owl:someValuesFrom").alias("p"), F.col("range").alias("new"))
+    return triples.select("s", "p", "o").join(direct.unionByName(filler).distinct(), ["s", "p"], "left").select("s", "p", F.coalesce("new", "o").alias("o")).distinct()

@@ -134,3 +134,26 @@ def select_triples(objects: DataFrame, classes: DataFrame, data: DataFrame, tabl
     found = cut(paths(objects, classes, data, ranges, uses, rel))
     rest = [x.join(found.select("key").distinct(), "key", "left_anti") for x in (objects, classes, data)]
     return select_paths(found, objects, classes, data, ranges, uses).unionByName(select_apart(*rest, tables, ranges, uses, rel))
+
+
+def compatible(closed: DataFrame, unions: DataFrame, disjoint: DataFrame | None = None, others: DataFrame | None = None) -> DataFrame:
+    """x, y that go together: related classes, members of a union standing for it; with others (x, y) given, also those of them that nothing says are disjoint. unions: node, member; disjoint: x, y."""
+    rel = related(closed)
+    member = unions.select(F.col("member").alias("m"), F.col("node").alias("u"))
+    lifted = rel.join(member, F.col("x") == F.col("m")).select(F.col("u").alias("x"), "y")
+    both = rel.unionByName(lifted).unionByName(lifted.select(F.col("y").alias("x"), F.col("x").alias("y")))
+    if others is not None and disjoint is not None:
+        apart = disjoint.select("x", "y").unionByName(disjoint.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct()
+        both = both.unionByName(others.select("x", "y").join(apart, ["x", "y"], "left_anti"))
+    return both.distinct()
+
+
+def used_properties(restrictions: DataFrame, domains: DataFrame, closed: DataFrame, closed_properties: DataFrame, rel: DataFrame) -> DataFrame:
+    """cls, prop: the data properties that a class uses: its domain goes with the class, or the class or an ancestor of it has a restriction on the property or on one above it.
+
+    restrictions: cls, prop; domains: prop, domain; closed, closed_properties: reflexive closures; rel: x, y.
+    """
+    by_domain = domains.join(rel.select(F.col("x").alias("domain"), F.col("y").alias("cls")), "domain").select("cls", "prop")
+    up = closed.select(F.col("node").alias("cls"), F.col("ancestor").alias("up")).join(restrictions.select(F.col("cls").alias("up"), F.col("prop").alias("above")), "up").select("cls", "above")
+    below = closed_properties.select(F.col("node").alias("prop"), F.col("ancestor").alias("above"))
+    return by_domain.unionByName(up.join(below, "above").select("cls", "prop")).distinct()

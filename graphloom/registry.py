@@ -447,4 +447,4 @@ def _(s, d):
 
 
 # Further queries register themselves.
-from graphloom.plans import abbreviations, alignment, corpora, dicom, documents, json, ontology, pii, refine, rows, schema, selection, values  # noqa: E402, F401
+from graphloom.plans import abbreviations, alignment, corpora, dicom, documents, json, more, ontology, pii, refine, rows, schema, selection, values  # noqa: E402, F401
