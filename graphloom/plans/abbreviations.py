@@ -29,13 +29,21 @@ def _inventory(s, d):
     return table(s, d, "part").select(F.left("p_name", F.lit(2)).alias("sf"), F.col("p_name").alias("lf")).distinct()
 
 
-@query("abbrev_lookups", "SELECT DISTINCT p_type AS header, left(p_type, 2) AS abbrev, lf FROM part JOIN (SELECT DISTINCT left(p_name, 2) AS sf, p_name AS lf FROM part) ON lower(sf) = lower(left(p_type, 2))")
+@query(
+    "abbrev_lookups",
+    """SELECT DISTINCT p_type AS header, left(p_type, 2) AS abbrev, lf FROM part JOIN (SELECT DISTINCT left(p_name, 2) AS sf, p_name AS lf
+FROM part) ON lower(sf) = lower(left(p_type, 2))""",
+)
 def _(s, d):
     headers = table(s, d, "part").select(F.col("p_type").alias("header"), F.array(F.left("p_type", F.lit(2)), F.lit("?")).alias("entries")).distinct()
     return A.lookups(headers, _inventory(s, d))
 
 
-@query("longest_prefix", "WITH i AS (SELECT DISTINCT left(p_name, k) AS sf FROM part, unnest([1, 3]) u(k)) SELECT p_name AS word, max(sf) AS sf FROM (SELECT DISTINCT p_name FROM part) JOIN i ON starts_with(p_name, sf) GROUP BY 1")
+@query(
+    "longest_prefix",
+    """WITH i AS (SELECT DISTINCT left(p_name, k) AS sf FROM part, unnest([1, 3]) u(k)) SELECT p_name AS word, max(sf) AS sf
+FROM (SELECT DISTINCT p_name FROM part) JOIN i ON starts_with(p_name, sf) GROUP BY 1""",
+)
 def _(s, d):
     names = table(s, d, "part").select("p_name").distinct()
     return A.longest_prefix(names.select(F.col("p_name").alias("word")), names.select(F.explode(F.array(F.left("p_name", F.lit(1)), F.left("p_name", F.lit(3)))).alias("sf")))
@@ -45,7 +53,8 @@ def _vectors(s, d):
     return table(s, d, "embeddings").select(F.col("vec_id").cast("string").alias("text"), F.col("embedding").alias("v"))
 
 
-_SCORED_SQL = "sc AS (SELECT a.label::VARCHAR AS abbrev, a.vec_id::VARCHAR AS lf, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score FROM embeddings a JOIN embeddings b ON b.vec_id = a.label)"
+_SCORED_SQL = """sc AS (SELECT a.label::VARCHAR AS abbrev, a.vec_id::VARCHAR AS lf, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score
+FROM embeddings a JOIN embeddings b ON b.vec_id = a.label)"""
 
 
 @query("abbrev_similarity", f"WITH {_SCORED_SQL} SELECT abbrev, lf, round(score, 6) AS score FROM sc")
@@ -54,7 +63,12 @@ def _(s, d):
     return A.similarities(found, _vectors(s, d)).select("abbrev", "lf", F.round("score", 6).alias("score"))
 
 
-@query("abbrev_seed_scores", "WITH s AS (SELECT label, vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 5 = 0) SELECT e.label::VARCHAR AS abbrev, e.vec_id::VARCHAR AS lf, round(avg(list_cosine_similarity(e.embedding::DOUBLE[], s.v)), 6) AS seed_score FROM embeddings e JOIN s ON s.label <> e.label GROUP BY ALL")
+@query(
+    "abbrev_seed_scores",
+    """WITH s AS (SELECT label, vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 5 = 0) SELECT e.label::VARCHAR AS abbrev, e.vec_id::VARCHAR
+AS lf, round(avg(list_cosine_similarity(e.embedding::DOUBLE[], s.v)), 6) AS seed_score FROM embeddings e
+JOIN s ON s.label <> e.label GROUP BY ALL""",
+)
 def _(s, d):
     e = table(s, d, "embeddings").select(F.col("label").cast("string").alias("abbrev"), F.col("vec_id").cast("string").alias("lf"), (F.col("vec_id") % 5 == 0).alias("sure"))
     return A.seed_scores(e, e.where("sure").select("abbrev", "lf"), _vectors(s, d)).select("abbrev", "lf", F.round("seed_score", 6).alias("seed_score"))
@@ -64,7 +78,11 @@ _SC = (("h1", "bp", "blood pressure", 0.9, 0.95), ("h2", "bp", "blood pressure",
 _SC_SQL = "sc AS (SELECT * FROM (VALUES " + ", ".join(map(str, _SC)) + ") v(header, abbrev, lf, score, local))"
 
 
-@query("abbrev_filter_rounds", f"WITH {_SC_SQL}, k AS (SELECT *, max(local) OVER (PARTITION BY abbrev, lf) AS m FROM sc WHERE local > 0.82 OR score > 0.82) SELECT header, abbrev, lf FROM k WHERE m >= 0.85 OR score >= 0.85")
+@query(
+    "abbrev_filter_rounds",
+    f"""WITH {_SC_SQL}, k AS (SELECT *, max(local) OVER (PARTITION BY abbrev, lf) AS m FROM sc WHERE local > 0.82 OR score > 0.82)
+SELECT header, abbrev, lf FROM k WHERE m >= 0.85 OR score >= 0.85""",
+)
 def _(s, d):
     return A.filtered(s.createDataFrame(_SC, "header string, abbrev string, lf string, score double, local double")).select("header", "abbrev", "lf")
 

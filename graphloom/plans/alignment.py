@@ -41,7 +41,11 @@ def _(s, d):
     return A.candidates(src.join(known, "entity", "left_anti"), tgt, 200)
 
 
-@query("label_pairs", f"WITH {_L} SELECT 's/' || x AS src, 't/' || x AS tgt, a.label AS a, b.label AS b FROM n JOIN a ON a.entity = 's/' || x JOIN b ON b.entity = 't/' || x")
+@query(
+    "label_pairs",
+    f"""WITH {_L} SELECT 's/' || x AS src, 't/' || x AS tgt, a.label AS a, b.label AS b FROM n JOIN a ON a.entity = 's/' || x
+JOIN b ON b.entity = 't/' || x""",
+)
 def _(s, d):
     src, tgt = _labels(s, d)
     return A.label_pairs(_names(s, d).select(F.concat(F.lit("s/"), "x").alias("src"), F.concat(F.lit("t/"), "x").alias("tgt")), src, tgt)
@@ -55,7 +59,11 @@ for _name, _agg, _mean in (("pair_scores_max", "max", False), ("pair_scores_mean
         return A.scored(_names(s, d).select(F.concat(F.lit("s/"), "x").alias("src"), F.concat(F.lit("t/"), "x").alias("tgt")), src, tgt, "levenshtein", mean)
 
 
-@query("alignment_predicted", f"WITH {_L}, {_STRING}, {_SCORED} SELECT src, tgt, 1.0::DOUBLE AS score, 'string' AS way FROM st UNION ALL SELECT src, tgt, score, 'scored' FROM sc WHERE score >= 0.85")
+@query(
+    "alignment_predicted",
+    f"""WITH {_L}, {_STRING}, {_SCORED} SELECT src, tgt, 1.0::DOUBLE AS score, 'string' AS way FROM st UNION ALL
+SELECT src, tgt, score, 'scored' FROM sc WHERE score >= 0.85""",
+)
 def _(s, d):
     """What string matches and the scorer give; what the scan for low scores adds is in alignment_low, a test compares it with a plain scan."""
     return A.predict(*_labels(s, d)).where("way <> 'low'").select("src", "tgt", "score", "way")
@@ -66,7 +74,11 @@ def _(s, d):
     return A.predict(*_labels(s, d)).where("way = 'low'").select("src", "tgt", "score", "rank")
 
 
-@query("alignment_kinds", f"WITH {_L}, {_STRING} SELECT src, tgt, 1.0::DOUBLE AS score, 'class' AS kind FROM st UNION ALL SELECT DISTINCT 'p/' || p_type, 'q/' || p_type, 1.0, 'objectProperty' FROM part")
+@query(
+    "alignment_kinds",
+    f"""WITH {_L}, {_STRING} SELECT src, tgt, 1.0::DOUBLE AS score, 'class' AS kind FROM st UNION ALL SELECT DISTINCT 'p/' || p_type, 'q/' || p_type, 1.0,
+'objectProperty' FROM part""",
+)
 def _(s, d):
     src, tgt = (x.withColumn("kind", F.lit("class")) for x in _labels(s, d))
     t = table(s, d, "part").select(F.col("p_type").alias("label")).distinct()
@@ -74,7 +86,9 @@ def _(s, d):
     return A.predict_kinds(src.unionByName(own("p/")), tgt.unionByName(own("q/"))).where("way = 'string'").select("src", "tgt", "score", "kind")
 
 
-_ALL = "la AS (SELECT * FROM a UNION SELECT 's:' || v, v FROM n), lb AS (SELECT * FROM b UNION SELECT 't:' || v, v FROM n), ea AS (SELECT DISTINCT 's/' || x AS child, 's:' || v AS parent FROM n), eb AS (SELECT DISTINCT 't/' || x AS child, 't:' || v AS parent FROM n)"
+_ALL = """la AS (SELECT * FROM a UNION SELECT 's:' || v, v FROM n), lb AS (SELECT * FROM b UNION SELECT 't:' || v, v
+FROM n), ea AS (SELECT DISTINCT 's/' || x AS child, 's:' || v AS parent FROM n), eb AS (SELECT DISTINCT 't/' || x AS child, 't:' || v AS parent
+FROM n)"""
 _EXTENDED = f"""WITH RECURSIVE {_L}, {_STRING}, {_ALL}, mean AS (SELECT a.entity AS src, b.entity AS tgt, round(avg({_SIM}), 6) AS score FROM la a, lb b GROUP BY ALL),
 step AS (SELECT src, tgt, p.src2, p.tgt2 FROM (SELECT x.child AS src, y.child AS tgt, x.parent AS src2, y.parent AS tgt2 FROM ea x, eb y UNION SELECT x.parent, y.parent, x.child, y.child FROM ea x, eb y) p),
 reach AS (SELECT src, tgt FROM st UNION SELECT s.src2, s.tgt2 FROM reach r JOIN step s ON s.src = r.src AND s.tgt = r.tgt JOIN mean m ON m.src = s.src2 AND m.tgt = s.tgt2 WHERE m.score >= 0.85 OR EXISTS (SELECT 1 FROM st WHERE st.src = s.src2 AND st.tgt = s.tgt2)),
@@ -132,7 +146,11 @@ def _(s, d):
     return rows.select("src", "tgt", "score", (F.col("score") >= how.extend).alias("extends"), (F.col("score") >= how.keep).alias("stays"))
 
 
-@query("low_score_ranks", "SELECT l_orderkey AS src, l_partkey AS tgt, l_discount AS score, CASE WHEN l_discount > 0 THEN dense_rank() OVER (PARTITION BY l_orderkey, l_discount > 0 ORDER BY l_discount DESC, l_quantity DESC) END AS rank FROM lineitem")
+@query(
+    "low_score_ranks",
+    """SELECT l_orderkey AS src, l_partkey AS tgt, l_discount AS score, CASE WHEN l_discount > 0 THEN dense_rank() OVER (PARTITION BY l_orderkey, l_discount
+> 0 ORDER BY l_discount DESC, l_quantity DESC) END AS rank FROM lineitem""",
+)
 def _(s, d):
     return A.low_score_ranks(table(s, d, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("tgt"), F.col("l_discount").alias("score"), F.col("l_quantity").alias("length"))).select("src", "tgt", "score", F.col("rank").cast("long").alias("rank"))
 
@@ -164,19 +182,34 @@ def _(s, d):
 _TOKENS = "SELECT entity, label, len(regexp_extract_all(lower(label), '[a-z0-9]+')) AS n FROM (SELECT doc_id AS entity, text AS label FROM documents)"
 
 
-@query("label_profile", f"WITH t AS ({_TOKENS}) SELECT count(DISTINCT entity) AS entities, count(*) AS labels, round(count(*) / count(DISTINCT entity), 3) AS per_entity, round(avg(n), 3) AS mean_tokens, max(n)::INTEGER AS max_tokens, round(avg((n <= 128)::INT), 3) AS within_128, round(avg((n <= 256)::INT), 3) AS within_256, round(avg((n <= 512)::INT), 3) AS within_512 FROM t")
+@query(
+    "label_profile",
+    f"""WITH t AS ({_TOKENS}) SELECT count(DISTINCT entity) AS entities, count(*) AS labels, round(count(*) / count(DISTINCT entity), 3) AS per_entity,
+round(avg(n), 3) AS mean_tokens, max(n)::INTEGER AS max_tokens, round(avg((n <= 128)::INT), 3) AS within_128, round(avg((n <= 256)::INT), 3) AS
+within_256, round(avg((n <= 512)::INT), 3) AS within_512 FROM t""",
+)
 def _(s, d):
     return A.label_profile(table(s, d, "documents").select(F.col("doc_id").alias("entity"), F.col("text").alias("label")))
 
 
-@query("decorated_matches", "SELECT o_custkey AS element, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS position, o_orderkey AS tgt, o_totalprice AS score, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority || '|' || lower(o_orderpriority) ELSE '' END AS labels FROM orders")
+@query(
+    "decorated_matches",
+    """SELECT o_custkey AS element, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS position, o_orderkey AS tgt,
+o_totalprice AS score, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority || '|' || lower(o_orderpriority) ELSE '' END AS labels
+FROM orders""",
+)
 def _(s, d):
     o = table(s, d, "orders")
     labels = o.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("entity"), F.explode(F.array("o_orderpriority", F.lower("o_orderpriority"))).alias("label"))
     return A.decorated(o.select(F.col("o_custkey").alias("element"), F.col("o_orderkey").alias("tgt"), F.col("o_totalprice").alias("score")), labels)
 
 
-@query("attached_results", "SELECT c_custkey AS element, coalesce((SELECT string_agg(k || ':' || o_orderkey, ',' ORDER BY k) FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders) x WHERE o_custkey = c_custkey), '') AS matches FROM customer")
+@query(
+    "attached_results",
+    """SELECT c_custkey AS element, coalesce((SELECT string_agg(k || ':' || o_orderkey, ',' ORDER BY k)
+FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k
+FROM orders) x WHERE o_custkey = c_custkey), '') AS matches FROM customer""",
+)
 def _(s, d):
     from pyspark.sql import Window
 
@@ -186,7 +219,11 @@ def _(s, d):
     return rows.select("element", F.array_join(F.transform("matches", lambda x: F.concat_ws(":", x["rank"].cast("string"), x["tgt"])), ",").alias("matches"))
 
 
-@query("set_matches", "SELECT c_custkey AS element, CASE WHEN c_custkey % 2 = 0 THEN 'a,b' ELSE 'old' END AS match, CASE WHEN c_custkey % 4 = 0 THEN 'x>y' ELSE '' END AS path, 'old' AS initial FROM customer")
+@query(
+    "set_matches",
+    """SELECT c_custkey AS element, CASE WHEN c_custkey % 2 = 0 THEN 'a,b' ELSE 'old' END AS match, CASE
+WHEN c_custkey % 4 = 0 THEN 'x>y' ELSE '' END AS path, 'old' AS initial FROM customer""",
+)
 def _(s, d):
     c = table(s, d, "customer").select(F.col("c_custkey").alias("element"))
     none = F.lit(None).cast("array<string>")
@@ -208,7 +245,12 @@ def _(s, d):
     return rows.select("element", F.get("match", 0).alias("match"), F.get("path", 0).alias("path"))
 
 
-@query("held_by_all_domains", "WITH e AS (SELECT DISTINCT p_type AS key, p_brand AS domain, p_name AS cand FROM part) SELECT key, cand FROM e GROUP BY 1, 2 HAVING count(DISTINCT domain) = (SELECT count(DISTINCT domain) FROM e x WHERE x.key = e.key) UNION ALL SELECT 'own', n_name FROM nation WHERE n_regionkey = 0")
+@query(
+    "held_by_all_domains",
+    """WITH e AS (SELECT DISTINCT p_type AS key, p_brand AS domain, p_name AS cand FROM part) SELECT key, cand
+FROM e GROUP BY 1, 2 HAVING count(DISTINCT domain) = (SELECT count(DISTINCT domain) FROM e x WHERE x.key = e.key)
+UNION ALL SELECT 'own', n_name FROM nation WHERE n_regionkey = 0""",
+)
 def _(s, d):
     p = table(s, d, "part").select(F.col("p_type").alias("key"), F.col("p_brand").alias("domain"), F.col("p_name").alias("cand"))
     n = table(s, d, "nation")
@@ -216,7 +258,12 @@ def _(s, d):
     return A.held_by_all(union([p, row("n_regionkey = 0", "a"), row("n_regionkey = 0", "b"), row("n_regionkey = 1", "a")]))
 
 
-@query("neighbour_difference", "SELECT DISTINCT 'n' || a.n_nationkey AS node, 'n' || b.n_nationkey AS other FROM nation a JOIN nation b USING (n_regionkey) WHERE a.n_nationkey <> b.n_nationkey AND NOT EXISTS (SELECT 1 FROM customer WHERE c_nationkey = a.n_nationkey AND c_custkey % 25 = b.n_nationkey)")
+@query(
+    "neighbour_difference",
+    """SELECT DISTINCT 'n' || a.n_nationkey AS node, 'n' || b.n_nationkey AS other FROM nation a JOIN nation b USING (n_regionkey)
+WHERE a.n_nationkey <> b.n_nationkey AND NOT EXISTS (SELECT 1 FROM customer WHERE c_nationkey = a.n_nationkey
+AND c_custkey % 25 = b.n_nationkey)""",
+)
 def _(s, d):
     name = lambda c: F.concat(F.lit("n"), c.cast("string"))
     e = table(s, d, "nation").select(name(F.col("n_nationkey")).alias("child"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("parent"))

@@ -58,7 +58,12 @@ def _(s, d):
     return C.cross_synonyms(maps, _labels(s, d, _entity()), supplier.select("entity", "label"))
 
 
-@query("pair_corpus", f"WITH {_B}, neg AS (SELECT DISTINCT x.label AS a, y.label AS b FROM l x JOIN l y ON x.entity < y.entity AND x.label < y.label AND left(x.entity, 7) = left(y.entity, 7)) SELECT a, b, true AS is_synonym FROM syn UNION ALL SELECT a, b, false FROM (SELECT * FROM neg EXCEPT SELECT * FROM syn)")
+@query(
+    "pair_corpus",
+    f"""WITH {_B}, neg AS (SELECT DISTINCT x.label AS a, y.label AS b FROM l x JOIN l y ON x.entity < y.entity
+AND x.label < y.label AND left(x.entity, 7) = left(y.entity, 7)) SELECT a, b, true AS is_synonym
+FROM syn UNION ALL SELECT a, b, false FROM (SELECT * FROM neg EXCEPT SELECT * FROM syn)""",
+)
 def _(s, d):
     t = _labels(s, d).withColumn("g", F.left("entity", F.lit(7)))
     neg = t.alias("x").join(t.alias("y"), F.col("x.g") == F.col("y.g")).where("x.entity < y.entity and x.label < y.label").select(F.col("x.label").alias("a"), F.col("y.label").alias("b"))
@@ -88,20 +93,35 @@ def _(s, d):
     return C.assumed_disjoint(pairs, closed, held)
 
 
-@query("negative_candidates", "WITH r AS (SELECT DISTINCT p_brand AS src, min(p_name) OVER (PARTITION BY p_brand) AS tgt FROM part), pool AS (SELECT DISTINCT p_brand AS src, p_name AS cand FROM part), k AS (SELECT pool.*, row_number() OVER (PARTITION BY src ORDER BY md5(src || '|' || cand || '|0'), cand) AS k FROM pool WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.src = pool.src AND r.tgt = pool.cand) AND cand <> 'none') SELECT src, cand FROM k WHERE k <= 5")
+@query(
+    "negative_candidates",
+    """WITH r AS (SELECT DISTINCT p_brand AS src, min(p_name) OVER (PARTITION BY p_brand) AS tgt FROM part), pool AS (SELECT DISTINCT p_brand AS src, p_name
+AS cand FROM part), k AS (SELECT pool.*, row_number() OVER (PARTITION BY src ORDER BY md5(src || '|' || cand || '|0'), cand) AS k
+FROM pool WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.src = pool.src AND r.tgt = pool.cand) AND cand <> 'none')
+SELECT src, cand FROM k WHERE k <= 5""",
+)
 def _(s, d):
     p = table(s, d, "part")
     closed = H.closure(s.createDataFrame([("none", "top")], "child string, parent string"))
     return C.negatives_of(p.groupBy(F.col("p_brand").alias("src")).agg(F.min("p_name").alias("tgt")), p.select(F.col("p_brand").alias("src"), F.col("p_name").alias("cand")), closed, 5)
 
 
-@query("k_hop", "WITH e AS (SELECT 'n' || n_nationkey AS a, 'r' || n_regionkey AS b FROM nation), one AS (SELECT a AS node, b AS other FROM e WHERE a <> 'n0') SELECT node, other, 1 AS hop FROM one UNION ALL SELECT x.a, y.a, 2 FROM e x JOIN e y USING (b) WHERE x.a <> y.a AND x.a <> 'n0'")
+@query(
+    "k_hop",
+    """WITH e AS (SELECT 'n' || n_nationkey AS a, 'r' || n_regionkey AS b FROM nation), one AS (SELECT a AS node, b AS other
+FROM e WHERE a <> 'n0') SELECT node, other, 1 AS hop FROM one UNION ALL SELECT x.a, y.a, 2 FROM e x
+JOIN e y USING (b) WHERE x.a <> y.a AND x.a <> 'n0'""",
+)
 def _(s, d):
     e = table(s, d, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("child"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("parent"))
     return C.hops(e, e.where("child <> 'n0'").select(F.col("child").alias("node")), 2)
 
 
-@query("upward_paths", "SELECT 'n' || n_nationkey AS node, n_name || ' <SEP> ' || r_name AS path FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT 'r' || r_regionkey, r_name FROM region")
+@query(
+    "upward_paths",
+    """SELECT 'n' || n_nationkey AS node, n_name || ' <SEP> ' || r_name AS path FROM nation JOIN region ON n_regionkey = r_regionkey
+UNION ALL SELECT 'r' || r_regionkey, r_name FROM region""",
+)
 def _(s, d):
     n, r = table(s, d, "nation"), table(s, d, "region")
     name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
@@ -109,7 +129,12 @@ def _(s, d):
     return C.upward_path(n.select(name("n", "n_nationkey").alias("child"), name("r", "n_regionkey").alias("parent")), labels)
 
 
-@query("subsumption_prompts", "SELECT DISTINCT 'It is ' || CASE WHEN lower(p_brand[1]) IN ('a','e','i','o','u') THEN 'an ' ELSE 'a ' END || p_brand || '? <MASK>, it is ' || CASE WHEN lower(p_type[1]) IN ('a','e','i','o','u') THEN 'an ' ELSE 'a ' END || p_type || '.' AS prompt FROM part")
+@query(
+    "subsumption_prompts",
+    """SELECT DISTINCT 'It is ' || CASE WHEN lower(p_brand[1]) IN ('a','e','i','o','u') THEN 'an ' ELSE 'a ' END || p_brand || '? <MASK>, it is ' ||
+CASE WHEN lower(p_type[1]) IN ('a','e','i','o','u') THEN 'an ' ELSE 'a ' END || p_type || '.' AS prompt
+FROM part""",
+)
 def _(s, d):
     return _edges(s, d).select(C.prompt(F.col("child"), F.col("parent")).alias("prompt")).distinct()
 
@@ -121,7 +146,11 @@ def _(s, d):
     return got.where("is_synonym").groupBy("is_synonym").agg(F.count("*").alias("n"))
 
 
-@query("lexicon_pairs", "SELECT DISTINCT p_type AS a, p_brand AS b, true AS is_synonym FROM part WHERE p_size % 2 = 0 UNION ALL SELECT p_type, arg_min(p_name, (p_partkey, p_name)), false FROM part GROUP BY 1")
+@query(
+    "lexicon_pairs",
+    """SELECT DISTINCT p_type AS a, p_brand AS b, true AS is_synonym FROM part WHERE p_size % 2 = 0 UNION ALL
+SELECT p_type, arg_min(p_name, (p_partkey, p_name)), false FROM part GROUP BY 1""",
+)
 def _(s, d):
     p = table(s, d, "part")
     lexicon = p.where("p_size % 2 = 0").select(F.col("p_type").alias("word"), F.col("p_brand").alias("lemma"), F.lit("synonym").alias("kind"), F.lit(0).cast("long").alias("rank")).union(p.select("p_type", "p_name", F.lit("antonym"), "p_partkey"))
@@ -164,7 +193,12 @@ def _(s, d):
     return C.sample_strings(n.select(name("n", "n_nationkey").alias("sub"), name("r", "n_regionkey").alias("sup")), texts)
 
 
-@query("neighbour_pool", "SELECT DISTINCT 'c' || c_custkey AS src, 'n' || b.n_nationkey AS cand FROM customer JOIN nation a ON c_nationkey = a.n_nationkey JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey UNION SELECT 'c' || c_custkey, 'r' || n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey")
+@query(
+    "neighbour_pool",
+    """SELECT DISTINCT 'c' || c_custkey AS src, 'n' || b.n_nationkey AS cand FROM customer JOIN nation a ON c_nationkey = a.n_nationkey
+JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey UNION SELECT 'c' || c_custkey, 'r' || n_regionkey
+FROM customer JOIN nation ON c_nationkey = n_nationkey""",
+)
 def _(s, d):
     name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     edges = table(s, d, "nation").select(name("n", "n_nationkey").alias("child"), name("r", "n_regionkey").alias("parent"))

@@ -8,7 +8,12 @@ from graphloom.operators import dicom as D
 from graphloom.registry import query, table
 
 
-@query("dicom_dates", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'none' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS da, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%f') AS dt, CASE WHEN o_orderkey % 2 = 0 THEN '12' ELSE strftime(o_orderdate, '%H:%M:%S') END AS tm FROM orders")
+@query(
+    "dicom_dates",
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'none' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS da, strftime(o_orderdate,
+'%Y-%m-%dT%H:%M:%S.%f') AS dt, CASE WHEN o_orderkey % 2 = 0 THEN '12' ELSE strftime(o_orderdate, '%H:%M:%S') END AS tm
+FROM orders""",
+)
 def _(s, d):
     k, t = F.col("o_orderkey"), F.col("o_orderdate")
     raw = table(s, d, "orders").select("o_orderkey", F.when(k % 3 == 0, "none").otherwise(F.date_format(t, "yyyyMMdd")).alias("da"), F.date_format(t, "yyyyMMddHHmmss.SSSSSS").alias("dt"), F.when(k % 2 == 0, "12").otherwise(F.date_format(t, "HHmmss.SSS")).alias("tm"))
@@ -23,7 +28,13 @@ def _tags(s, d):
     return top.unionByName(nested).unionByName(plain)
 
 
-@query("dicom_placement", "SELECT 'f' || o_custkey % 50 AS file, 'Patient' AS parent, '(0010,0010)' AS code, 'Patient Name' AS name, min(o_orderpriority) AS value FROM orders GROUP BY ALL UNION ALL SELECT 'f' || o_custkey % 50, 'Study/Series', '(0020,000D)', 'Study UID', min(o_orderstatus) FROM orders GROUP BY ALL UNION ALL SELECT DISTINCT 'f' || o_custkey % 50, 'Image', '(0099,0099)', 'Unknown Tag and Data', 'x' FROM orders")
+@query(
+    "dicom_placement",
+    """SELECT 'f' || o_custkey % 50 AS file, 'Patient' AS parent, '(0010,0010)' AS code, 'Patient Name' AS name, min(o_orderpriority) AS value
+FROM orders GROUP BY ALL UNION ALL SELECT 'f' || o_custkey % 50, 'Study/Series', '(0020,000D)', 'Study UID', min(o_orderstatus)
+FROM orders GROUP BY ALL UNION ALL SELECT DISTINCT 'f' || o_custkey % 50, 'Image', '(0099,0099)', 'Unknown Tag and Data', 'x'
+FROM orders""",
+)
 def _(s, d):
     names = s.createDataFrame([("(0010,0010)", "Patient Name"), ("(0020,000D)", "Study UID")], "code string, name string")
     tags = D.with_domain(D.named(_tags(s, d), names), s.createDataFrame([("(0020,000D)", "Study")], "code string, domain string"), s.createDataFrame([("Patient Name", "Patient")], "name string, domain string"))

@@ -13,7 +13,11 @@ from graphloom.sinks import files as S, messages as M
 from graphloom.sources import documents as D, mappings, rdf
 
 
-@query("table_round_trip", "SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_name || chr(10) || '\"x\", ' || p_brand AS text, CASE WHEN p_size % 2 = 0 THEN '' END AS blank FROM part")
+@query(
+    "table_round_trip",
+    """SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_name || chr(10) || '"x", ' || p_brand AS text,
+CASE WHEN p_size % 2 = 0 THEN '' END AS blank FROM part""",
+)
 def _(s, d):
     folder = fresh_dir(s, "table")
     S.write_table(table(s, d, "part").select("p_partkey", F.concat("p_name", F.lit('\n"x", '), "p_brand").alias("text"), F.when(F.col("p_size") % 2 == 0, "").alias("blank")), folder)
@@ -43,7 +47,12 @@ def _(s, d):
     return got.where("s is not null").select("s", F.replace("p", F.lit("urn:p:"), F.lit("")).alias("p"), "o", "o_kind")
 
 
-@query("rdf_xml_scan", "SELECT 'http://x/#n' || n_nationkey AS s, 'subClassOf' AS p, 'http://x/r' || n_regionkey AS o FROM nation UNION ALL SELECT 'http://x/#n' || n_nationkey, 'label', n_name FROM nation UNION ALL SELECT 'http://x/#n' || n_nationkey, 'type', 'http://www.w3.org/2002/07/owl#Class' FROM nation")
+@query(
+    "rdf_xml_scan",
+    """SELECT 'http://x/#n' || n_nationkey AS s, 'subClassOf' AS p, 'http://x/r' || n_regionkey AS o FROM nation
+UNION ALL SELECT 'http://x/#n' || n_nationkey, 'label', n_name FROM nation UNION ALL SELECT 'http://x/#n' || n_nationkey, 'type',
+'http://www.w3.org/2002/07/owl#Class' FROM nation""",
+)
 def _(s, d):
     one = F.concat(F.lit('<owl:Class rdf:about="#n'), F.col("n_nationkey").cast("string"), F.lit('"><rdfs:subClassOf rdf:resource="http://x/r'), F.col("n_regionkey").cast("string"), F.lit('"/><rdfs:label xml:lang="en">'), "n_name", F.lit("</rdfs:label></owl:Class>"))
     head = '<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:owl="http://www.w3.org/2002/07/owl#" xmlns:rdfs="http://www.w3.org/2000/01/rdf-schema#" xml:base="http://x/">'
@@ -93,7 +102,11 @@ def _(s, d):
     return S.unfinished(p.select(F.col("p_name").alias("src")).distinct(), folder)
 
 
-@query("corpus_written", "SELECT 'synonyms' AS kind, (SELECT count(*) FROM (SELECT DISTINCT a.p_name, b.p_name FROM (SELECT DISTINCT p_brand, p_name FROM part) a JOIN (SELECT DISTINCT p_brand, p_name FROM part) b USING (p_brand))) AS n")
+@query(
+    "corpus_written",
+    """SELECT 'synonyms' AS kind, (SELECT count(*) FROM (SELECT DISTINCT a.p_name, b.p_name FROM (SELECT DISTINCT p_brand, p_name
+FROM part) a JOIN (SELECT DISTINCT p_brand, p_name FROM part) b USING (p_brand))) AS n""",
+)
 def _(s, d):
     folder = fresh_dir(s, "corpus")
     labels = table(s, d, "part").select(F.col("p_brand").alias("entity"), F.col("p_name").alias("label")).distinct()
@@ -101,7 +114,11 @@ def _(s, d):
     return s.read.json(f"{folder}/summary").select("kind", "n")
 
 
-@query("score_lines", "SELECT l_orderkey || ',' || string_agg(CAST(CAST(l_quantity AS BIGINT) AS VARCHAR), ',' ORDER BY l_linenumber, l_partkey, l_quantity) AS line FROM lineitem GROUP BY l_orderkey")
+@query(
+    "score_lines",
+    """SELECT l_orderkey || ',' || string_agg(CAST(CAST(l_quantity AS BIGINT) AS VARCHAR), ',' ORDER BY l_linenumber, l_partkey, l_quantity) AS line
+FROM lineitem GROUP BY l_orderkey""",
+)
 def _(s, d):
     position = F.struct("l_linenumber", "l_partkey", "l_quantity")
     return S.score_lines(table(s, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("src"), position.alias("position"), F.col("l_quantity").cast("long").alias("score")))
@@ -153,7 +170,11 @@ def _(s, d):
     return D.read_inventory(s, folder, True)
 
 
-@query("expansions_scan", "SELECT DISTINCT p_brand AS header, lower(p_brand) AS tokenised, k - 1 AS rank, p_brand || ' ' || k AS expansion FROM part, range(1, 3) r(k) UNION ALL SELECT 'none', 'none', NULL, NULL")
+@query(
+    "expansions_scan",
+    """SELECT DISTINCT p_brand AS header, lower(p_brand) AS tokenised, k - 1 AS rank, p_brand || ' ' || k AS expansion
+FROM part, range(1, 3) r(k) UNION ALL SELECT 'none', 'none', NULL, NULL""",
+)
 def _(s, d):
     cand = lambda k: F.struct(F.concat("p_brand", F.lit(f" {k}")).alias("headerFF"), F.lit(k - 1).alias("rank"), F.lit(0.5).alias("localScore"))
     one = F.struct(F.lower("p_brand").alias("tokenised"), F.array("p_brand").alias("abbrevs"), F.array(cand(1), cand(2)).alias("headerCands"))
@@ -162,7 +183,12 @@ def _(s, d):
     return rows.withColumn("rank", F.col("rank").cast("long"))
 
 
-@query("mapping_document_scan", "SELECT p_brand AS \"table\", p_type AS \"column\", 'class' AS type, 'ex/' || p_type AS element, string_agg(DISTINCT p_name, ',' ORDER BY p_name) AS match, false AS is_pii FROM part GROUP BY ALL UNION ALL SELECT DISTINCT p_brand, NULL, 'class', 'ex/' || p_brand, '', false FROM part")
+@query(
+    "mapping_document_scan",
+    """SELECT p_brand AS "table", p_type AS "column", 'class' AS type, 'ex/' || p_type AS element, string_agg(DISTINCT p_name, ','
+ORDER BY p_name) AS match, false AS is_pii FROM part GROUP BY ALL UNION ALL SELECT DISTINCT p_brand, NULL, 'class', 'ex/' || p_brand, '', false
+FROM part""",
+)
 def _(s, d):
     none = F.array().cast("array<string>")
     m = lambda el, match: F.struct(F.lit("class").alias("type"), F.concat(F.lit("ex/"), el).alias("ontoEl"), match.alias("match"), none.alias("path"))
@@ -172,7 +198,11 @@ def _(s, d):
     return D.mapping_rows(doc).select("table", "column", "type", "element", F.array_join("match", ",").alias("match"), "is_pii")
 
 
-@query("page_tables", "SELECT n_nationkey AS page_id, 'N' || c_custkey AS sf, c_name || ' ' || k AS lf FROM nation JOIN customer ON c_nationkey = n_nationkey, range(1, 3) r(k)")
+@query(
+    "page_tables",
+    """SELECT n_nationkey AS page_id, 'N' || c_custkey AS sf, c_name || ' ' || k AS lf FROM nation JOIN customer ON c_nationkey = n_nationkey, range(1, 3)
+r(k)""",
+)
 def _(s, d):
     """Pages with a table of customers; each second cell has two lines. Tables of other classes and nested ones are passed over."""
     row = F.concat(F.lit("<tr><td> N"), F.col("c_custkey").cast("string"), F.lit("</td><td>"), "c_name", F.lit(" 1<br>"), "c_name", F.lit(" 2</td></tr>"))
@@ -181,7 +211,12 @@ def _(s, d):
     return D.page_tables(page.select("page_id", html.alias("html")))
 
 
-@query("image_tag_files", "SELECT 'f' || o_orderkey AS file, '' AS path, '00100010' AS tag, 'PN' AS vr, o_orderstatus AS value FROM orders UNION ALL SELECT 'f' || o_orderkey, '00400275/' || k, '00400007', 'LO', o_orderpriority || k FROM orders, range(2) r(k)")
+@query(
+    "image_tag_files",
+    """SELECT 'f' || o_orderkey AS file, '' AS path, '00100010' AS tag, 'PN' AS vr, o_orderstatus AS value
+FROM orders UNION ALL SELECT 'f' || o_orderkey, '00400275/' || k, '00400007', 'LO', o_orderpriority || k
+FROM orders, range(2) r(k)""",
+)
 def _(s, d):
     o = table(s, d, "orders")
     leaf = lambda vr, v: F.struct(F.lit(vr).alias("vr"), F.array(v).alias("Value"))
@@ -210,7 +245,11 @@ def _(s, d):
     return mappings.read_triples(s, folder).select("s", "p", "o")
 
 
-@query("deferred_updates", "SELECT 'UPDATE t SET c_nationkey = ''' || c_nationkey || ''' WHERE c_custkey = ''' || c_custkey || '''' AS statement FROM customer WHERE c_nationkey > 0")
+@query(
+    "deferred_updates",
+    """SELECT 'UPDATE t SET c_nationkey = ''' || c_nationkey || ''' WHERE c_custkey = ''' || c_custkey || '''' AS statement
+FROM customer WHERE c_nationkey > 0""",
+)
 def _(s, d):
     c = table(s, d, "customer").withColumn("c_nationkey", F.expr("nullif(c_nationkey, 0)"))
     return M.updates(c, "t", ["c_custkey"], ["c_nationkey"])
@@ -232,13 +271,21 @@ def _(s, d):
     return s.createDataFrame([(a.pool, a.best, a.extend, a.keep, c.dataset, len(a.properties))], "pool int, best int, extend double, keep double, dataset string, properties int")
 
 
-@query("mapper_switch", "SELECT p_brand AS src, min(p_type) AS tgt, 1.0::DOUBLE AS score FROM (SELECT DISTINCT p_brand, p_name FROM part) a JOIN (SELECT DISTINCT p_type, p_name FROM part) b USING (p_name) GROUP BY 1")
+@query(
+    "mapper_switch",
+    """SELECT p_brand AS src, min(p_type) AS tgt, 1.0::DOUBLE AS score FROM (SELECT DISTINCT p_brand, p_name
+FROM part) a JOIN (SELECT DISTINCT p_type, p_name FROM part) b USING (p_name) GROUP BY 1""",
+)
 def _(s, d):
     label = lambda c: table(s, d, "part").select(F.col(c).alias("entity"), F.col("p_name").alias("label")).distinct()
     return G.mapped("exact", label("p_brand"), label("p_type"), G.preset("default"))
 
 
-@query("named_aggregates", "SELECT p_brand, max(p_size) AS p_size, string_agg(DISTINCT p_type, ',' ORDER BY p_type) AS p_type, round(avg(p_retailprice), 4) AS p_retailprice FROM part GROUP BY 1")
+@query(
+    "named_aggregates",
+    """SELECT p_brand, max(p_size) AS p_size, string_agg(DISTINCT p_type, ',' ORDER BY p_type) AS p_type, round(avg(p_retailprice), 4) AS p_retailprice
+FROM part GROUP BY 1""",
+)
 def _(s, d):
     rows = G.aggregated(table(s, d, "part"), ["p_brand"], {"p_size": "max", "p_type": "set", "p_retailprice": "mean"})
     return rows.select("p_brand", "p_size", F.array_join("p_type", ",").alias("p_type"), F.round("p_retailprice", 4).alias("p_retailprice"))
@@ -250,6 +297,10 @@ def _(s, d):
     return names.named(table(s, d, "orders").select("o_orderkey", "o_orderstatus"), "o_orderstatus")
 
 
-@query("folder_connector", "SELECT 'nation' AS \"table\", unnest(['n_nationkey', 'n_name', 'n_regionkey']) AS \"column\" UNION ALL SELECT 'region', unnest(['r_regionkey', 'r_name'])")
+@query(
+    "folder_connector",
+    """SELECT 'nation' AS "table", unnest(['n_nationkey', 'n_name', 'n_regionkey']) AS "column" UNION ALL
+SELECT 'region', unnest(['r_regionkey', 'r_name'])""",
+)
 def _(s, d):
     return G.FolderConnector(s, d, ["nation", "region"]).catalog()

@@ -66,7 +66,11 @@ def _(s, d):
     return J.ontology(J.walk(_files(s, d)))
 
 
-@query("json_tables", "SELECT printf('f%09d', conv_id) AS file, path, class FROM (SELECT DISTINCT conv_id FROM conversations), (VALUES ('/talk', 'talk'), ('/talk/meta', 'meta'), ('/talk/turn', 'turn')) v(path, class)")
+@query(
+    "json_tables",
+    """SELECT printf('f%09d', conv_id) AS file, path, class FROM (SELECT DISTINCT conv_id FROM conversations), (VALUES ('/talk', 'talk'), ('/talk/meta',
+'meta'), ('/talk/turn', 'turn')) v(path, class)""",
+)
 def _(s, d):
     return J.table_paths(J.walk(_files(s, d)))
 

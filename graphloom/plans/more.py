@@ -35,7 +35,11 @@ def _image_ontology(s):
 _K = "k AS (SELECT DISTINCT o_custkey % 50 AS k FROM orders)"
 
 
-@query("image_entities", f"WITH {_K} SELECT 'f' || k AS file, 'img' || k % 3 AS cls, unnest(CASE WHEN k % 3 < 2 THEN ['e' || k % 3, 'shared', 'img' || k % 3, '#Unknown'] ELSE ['img2', '#Unknown'] END) AS entity FROM k")
+@query(
+    "image_entities",
+    f"""WITH {_K} SELECT 'f' || k AS file, 'img' || k % 3 AS cls, unnest(CASE WHEN k % 3 < 2 THEN ['e' || k % 3, 'shared', 'img' || k % 3, '#Unknown'] ELSE
+['img2', '#Unknown'] END) AS entity FROM k""",
+)
 def _(s, d):
     return D.entities_of(_image_tags(s, d), _image_ontology(s)).select("file", "cls", "entity")
 
@@ -54,14 +58,22 @@ def _(s, d):
     return D.tag_entities(tags, D.entities_of(tags, _image_ontology(s)), code, name)
 
 
-@query("image_item_rules", "SELECT p_type AS \"column\", 'hasItem>' || CASE WHEN p_type < 'M' THEN replace(any_value(p_type || ' Tag'), ' ', '') || 'Item' ELSE p_type || 'Item' END AS path FROM part GROUP BY p_type")
+@query(
+    "image_item_rules",
+    """SELECT p_type AS "column", 'hasItem>' || CASE WHEN p_type < 'M' THEN replace(any_value(p_type || ' Tag'), ' ', '') || 'Item' ELSE p_type || 'Item' END
+AS path FROM part GROUP BY p_type""",
+)
 def _(s, d):
     c = table(s, d, "part").select(F.col("p_type").alias("column"), F.concat("p_type", F.lit(" Tag")).alias("tag")).distinct()
     known = c.where("column < 'M'").select(F.concat("column", F.lit("TagItem")).alias("cls"))
     return D.item_rules(c, known)[0].select("column", F.array_join("path", ">").alias("path"))
 
 
-@query("image_item_tables", "SELECT DISTINCT p_type || 'Item' AS \"table\", p_type || 'Item' AS element, 'SequenceItem' AS match FROM part WHERE p_type >= 'M' UNION ALL SELECT x, x, x FROM (VALUES ('InformationEntity'), ('InformationObjectDefinition')) v(x)")
+@query(
+    "image_item_tables",
+    """SELECT DISTINCT p_type || 'Item' AS "table", p_type || 'Item' AS element, 'SequenceItem' AS match
+FROM part WHERE p_type >= 'M' UNION ALL SELECT x, x, x FROM (VALUES ('InformationEntity'), ('InformationObjectDefinition')) v(x)""",
+)
 def _(s, d):
     c = table(s, d, "part").select(F.col("p_type").alias("column"), F.concat("p_type", F.lit(" Tag")).alias("tag")).distinct()
     return D.item_rules(c, c.where("column < 'M'").select(F.concat("column", F.lit("TagItem")).alias("cls")))[1]
@@ -97,7 +109,11 @@ def _(s, d):
     return R.moved_domains(t, changes)
 
 
-@query("changed_ranges", f"WITH {_P} SELECT s, p, CASE WHEN o = 'xsd:string' AND (s < 'M' OR EXISTS (SELECT 1 FROM p WHERE t.s = '_:r' || cls || prop AND prop < 'M')) THEN 'xsd:integer' ELSE o END AS o FROM t")
+@query(
+    "changed_ranges",
+    f"""WITH {_P} SELECT s, p, CASE WHEN o = 'xsd:string' AND (s < 'M' OR EXISTS (SELECT 1 FROM p WHERE t.s = '_:r' || cls || prop
+AND prop < 'M')) THEN 'xsd:integer' ELSE o END AS o FROM t""",
+)
 def _(s, d):
     t = _properties(s, d)
     return R.changed_ranges(t, t.where("p = 'rdfs:range' and s < 'M'").select(F.col("s").alias("prop"), F.lit("xsd:integer").alias("range")))
@@ -115,7 +131,12 @@ def _(s, d):
     return M.exact_mapper(both(lambda k: F.concat(F.lit(k[0]), "p_brand")), both(lambda k: F.col("p_type")), p.where("p_type >= 'M'").select(F.col("p_type").alias("entity")))
 
 
-@query("synonym_groups", "WITH RECURSIVE l AS (SELECT DISTINCT p_partkey // 3 AS e, p_name AS x FROM part WHERE p_partkey % 7 < 2), r AS (SELECT x AS a, x AS b FROM l UNION SELECT r.a, y.x FROM r JOIN l ON l.x = r.b JOIN l y USING (e)) SELECT a AS label, min(b) AS grp FROM r GROUP BY 1")
+@query(
+    "synonym_groups",
+    """WITH RECURSIVE l AS (SELECT DISTINCT p_partkey // 3 AS e, p_name AS x FROM part WHERE p_partkey % 7 < 2), r AS (SELECT x AS a, x AS b
+FROM l UNION SELECT r.a, y.x FROM r JOIN l ON l.x = r.b JOIN l y USING (e)) SELECT a AS label, min(b) AS grp
+FROM r GROUP BY 1""",
+)
 def _(s, d):
     return M.synonym_groups(table(s, d, "part").where("p_partkey % 7 < 2").select(F.expr("p_partkey div 3").alias("entity"), F.col("p_name").alias("label")).distinct())
 
@@ -125,7 +146,11 @@ def _(s, d):
     return M.inventory_groups(table(s, d, "part").select(F.left("p_name", F.lit(3)).alias("sf"), F.col("p_name").alias("lf"))).select("sf", F.array_join("lfs", ",").alias("lfs"))
 
 
-@query("digest_split", "SELECT CASE WHEN ('0x' || substr(md5(p_partkey || '|0'), 1, 8))::BIGINT % 10000 < 9000 THEN 'train' ELSE 'val' END AS part, count(*) AS n FROM part GROUP BY 1")
+@query(
+    "digest_split",
+    """SELECT CASE WHEN ('0x' || substr(md5(p_partkey || '|0'), 1, 8))::BIGINT % 10000 < 9000 THEN 'train' ELSE 'val' END AS part, count(*) AS n
+FROM part GROUP BY 1""",
+)
 def _(s, d):
     rows = table(s, d, "part").select(F.col("p_partkey").cast("string").alias("k"))
     return M.split_by_hash(rows, ["k"]).groupBy("part").agg(F.count("*").alias("n"))
@@ -176,7 +201,11 @@ def _(s, d):
     return got.join(bad.select("src"), "src", "left_anti").groupBy("src").agg((F.count("*") == 4).alias("enough"))
 
 
-@query("tokenizer_switch", "SELECT p_partkey, len(string_split(lower(p_name), ' ')) AS words, length(regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g')) AS characters FROM part")
+@query(
+    "tokenizer_switch",
+    """SELECT p_partkey, len(string_split(lower(p_name), ' ')) AS words, length(regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g')) AS characters
+FROM part""",
+)
 def _(s, d):
     n = lambda t: F.size(A.TOKENIZERS[t](F.col("p_name"))).cast("long").alias(t)
     return table(s, d, "part").select("p_partkey", n("words"), n("characters"))

@@ -61,7 +61,11 @@ def _(s, d):
     return O.without_base(O.entities(_onto(s, d)).unionByName(more))
 
 
-@query("used_annotations", f"WITH {_ONTO} SELECT DISTINCT p FROM t WHERE p = 'rdfs:label' OR p = 'rdfs:seeAlso' OR p IN (SELECT s FROM t WHERE o = 'owl:AnnotationProperty')")
+@query(
+    "used_annotations",
+    f"""WITH {_ONTO} SELECT DISTINCT p FROM t WHERE p = 'rdfs:label' OR p = 'rdfs:seeAlso' OR p IN (SELECT s
+FROM t WHERE o = 'owl:AnnotationProperty')""",
+)
 def _(s, d):
     return O.used_annotations(_onto(s, d), ("rdfs:seeAlso", "skos:altLabel"))
 
@@ -96,7 +100,12 @@ def _(s, d):
     return O.display_labels(t.where("o = 'owl:Class' and s <> 'owl:Thing'").select(F.col("s").alias("entity")), t)
 
 
-@query("disjointness", "SELECT 'ex/n' || a.n_nationkey AS x, 'ex/n' || b.n_nationkey AS y, (a.n_nationkey + 1) % 25 = b.n_nationkey OR (b.n_nationkey + 1) % 25 = a.n_nationkey AS disjoint FROM nation a JOIN nation b USING (n_regionkey) WHERE a.n_nationkey < b.n_nationkey UNION ALL SELECT 'ex/n' || n_nationkey, 'ex/n' || ((n_nationkey + 1) % 25), true FROM nation")
+@query(
+    "disjointness",
+    """SELECT 'ex/n' || a.n_nationkey AS x, 'ex/n' || b.n_nationkey AS y, (a.n_nationkey + 1) % 25 = b.n_nationkey OR (b.n_nationkey + 1) % 25 =
+a.n_nationkey AS disjoint FROM nation a JOIN nation b USING (n_regionkey) WHERE a.n_nationkey < b.n_nationkey
+UNION ALL SELECT 'ex/n' || n_nationkey, 'ex/n' || ((n_nationkey + 1) % 25), true FROM nation""",
+)
 def _(s, d):
     n = table(s, d, "nation")
     name = lambda c: F.concat(F.lit("ex/n"), c.cast("string"))
@@ -114,7 +123,11 @@ def _(s, d):
     return found.select("node", F.array_join("parents", ",").alias("parents"), F.array_join("children", ",").alias("children"))
 
 
-@query("inferred_neighbours", f"WITH {_ONTO} SELECT n AS node, r AS other, 'super' AS side FROM n UNION ALL SELECT r, n, 'sub' FROM n UNION ALL SELECT n, 'ex/top', 'super' FROM n UNION ALL SELECT DISTINCT r, 'ex/top', 'super' FROM n")
+@query(
+    "inferred_neighbours",
+    f"""WITH {_ONTO} SELECT n AS node, r AS other, 'super' AS side FROM n UNION ALL SELECT r, n, 'sub' FROM n
+UNION ALL SELECT n, 'ex/top', 'super' FROM n UNION ALL SELECT DISTINCT r, 'ex/top', 'super' FROM n""",
+)
 def _(s, d):
     e = _edges(_onto(s, d))
     tops = e.select(F.col("parent").alias("child"), F.lit("ex/top").alias("parent")).distinct()
@@ -137,7 +150,11 @@ def _(s, d):
     return O.entailed(pairs, H.closure(_edges(t)), held)
 
 
-@query("common_descendants", "SELECT DISTINCT 'r' || a.n_regionkey AS x, 's' || (c_custkey % 3) AS y, 'n' || a.n_nationkey AS node FROM nation a JOIN customer ON c_nationkey = n_nationkey")
+@query(
+    "common_descendants",
+    """SELECT DISTINCT 'r' || a.n_regionkey AS x, 's' || (c_custkey % 3) AS y, 'n' || a.n_nationkey AS node
+FROM nation a JOIN customer ON c_nationkey = n_nationkey""",
+)
 def _(s, d):
     name = lambda p, x: F.concat(F.lit(p), x.cast("string"))
     n, c = table(s, d, "nation"), table(s, d, "customer")
@@ -157,7 +174,11 @@ def _(s, d):
     return O.subsumptions(_onto(s, d))
 
 
-@query("entity_replacement", f"WITH {_ONTO} SELECT CASE s WHEN 'ex/r1' THEN 'ex/own' ELSE s END AS s, CASE p WHEN 'rdfs:label' THEN 'ex/name' ELSE p END AS p, CASE o WHEN 'ex/r1' THEN 'ex/own' ELSE o END AS o FROM t")
+@query(
+    "entity_replacement",
+    f"""WITH {_ONTO} SELECT CASE s WHEN 'ex/r1' THEN 'ex/own' ELSE s END AS s, CASE p WHEN 'rdfs:label' THEN 'ex/name' ELSE p END AS p,
+CASE o WHEN 'ex/r1' THEN 'ex/own' ELSE o END AS o FROM t""",
+)
 def _(s, d):
     return O.replaced(_onto(s, d).select("s", "p", "o"), s.createDataFrame([("ex/r1", "ex/own"), ("rdfs:label", "ex/name")], "old string, new string"))
 
@@ -169,7 +190,11 @@ def _(s, d):
     return O.select(t, [("?who", "rdf:type", "?cls"), ("?cls", "rdfs:subClassOf+", "?above"), ("?cls", "rdfs:label", "?name")], {"rdfs:subClassOf": closed}).where("who <> name")
 
 
-@query("individuals_removed", f"WITH {_ONTO} SELECT s, p, o FROM t WHERE s NOT LIKE 'ex/i_' AND s NOT LIKE 'ex/i__' AND o NOT LIKE 'ex/i_' AND o NOT LIKE 'ex/i__' OR s = 'ex/in' OR (o = 'ex/in' AND s LIKE '#_:%' ESCAPE '#')")
+@query(
+    "individuals_removed",
+    f"""WITH {_ONTO} SELECT s, p, o FROM t WHERE s NOT LIKE 'ex/i_' AND s NOT LIKE 'ex/i__' AND o NOT LIKE 'ex/i_'
+AND o NOT LIKE 'ex/i__' OR s = 'ex/in' OR (o = 'ex/in' AND s LIKE '#_:%' ESCAPE '#')""",
+)
 def _(s, d):
     return O.without_individuals(_onto(s, d)).select("s", "p", "o")
 
@@ -224,7 +249,11 @@ def _(s, d):
     return got.select("table", "column", F.array_join(F.transform("mappings", lambda m: F.concat_ws(":", m["type"], m["element"])), "|").alias("mappings"), F.array_join("sources", ",").alias("sources"), "is_pii")
 
 
-@query("enriched_labels", f"WITH {_ONTO} SELECT DISTINCT r AS entity, n_name || ' ' || 'R' || n_regionkey AS label FROM n WHERE k % 2 = 1 UNION SELECT 'ex/in', n_name || ' in' FROM n WHERE k % 2 = 1")
+@query(
+    "enriched_labels",
+    f"""WITH {_ONTO} SELECT DISTINCT r AS entity, n_name || ' ' || 'R' || n_regionkey AS label FROM n WHERE k % 2 = 1
+UNION SELECT 'ex/in', n_name || ' in' FROM n WHERE k % 2 = 1""",
+)
 def _(s, d):
     n = table(s, d, "nation")
     name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))

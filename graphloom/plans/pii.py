@@ -11,7 +11,9 @@ from graphloom.registry import query, table
 _CROSS = {"Email": ["ring", "bolt"], "Health": ["gear"], "Name": ["red ring", "cog"], "Colour": ["blue bolt"]}
 _TAXONOMY = (("Email", "Contact"), ("Contact", "PersonalData"), ("Health", "SpecialCategoryPersonalData"), ("SpecialCategoryPersonalData", "PersonalData"), ("Name", "Identifying"), ("Identifying", "PersonalData"), ("Colour", "Thing"))
 _PAIRS = "(VALUES " + ", ".join(f"('{m}', '{k}')" for k, ms in _CROSS.items() for m in ms) + ") x(match, dpv)"
-_TAX = "tax AS (SELECT * FROM (VALUES " + ", ".join(map(str, _TAXONOMY)) + ") v(child, parent)), up AS (SELECT child AS node, parent AS ancestor, 1 AS depth FROM tax UNION ALL SELECT node, parent, depth + 1 FROM up JOIN tax ON ancestor = child), rup AS (SELECT * FROM up UNION ALL SELECT DISTINCT x, x, 0 FROM (SELECT child AS x FROM tax UNION SELECT parent FROM tax))"
+_TAX = "tax AS (SELECT * FROM (VALUES " + ", ".join(map(str, _TAXONOMY)) + """) v(child, parent)), up AS (SELECT child AS node, parent AS ancestor, 1 AS depth FROM tax UNION ALL
+SELECT node, parent, depth + 1 FROM up JOIN tax ON ancestor = child), rup AS (SELECT * FROM up UNION ALL
+SELECT DISTINCT x, x, 0 FROM (SELECT child AS x FROM tax UNION SELECT parent FROM tax))"""
 _FOUND = f"""m AS (SELECT DISTINCT p_brand AS "table", p_type AS "column", p_brand || '#' || p_type AS element, p_name AS match FROM part WHERE p_size <> 7 UNION SELECT DISTINCT p_brand, p_type, p_brand || '#' || p_type, p_name FROM part WHERE p_size = 7),
 a AS (SELECT "table", "column", element, match FROM m UNION SELECT "table", "column", element, split_part(match, ' ', 2) FROM m),
 found AS (SELECT DISTINCT "table", "column", element, dpv FROM a JOIN {_PAIRS} USING (match) UNION SELECT p_brand, p_type, p_brand || '#' || p_type, 'Name' FROM part WHERE p_size = 50)"""

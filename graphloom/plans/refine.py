@@ -14,7 +14,11 @@ def _(s, d):
     return R.imports(table(s, d, "pages").select(F.array("url").alias("match"), F.lit(None).cast("array<string>").alias("path")))
 
 
-@query("extension_hierarchy", "WITH m AS (SELECT p_brand, list_sort(list(DISTINCT p_type)) AS t FROM part GROUP BY 1) SELECT p_brand AS s, 'rdfs:subClassOf' AS p, CASE WHEN len(t) = 1 THEN t[1] ELSE '_:' || sha256(array_to_string(t, '|')) END AS o FROM m")
+@query(
+    "extension_hierarchy",
+    """WITH m AS (SELECT p_brand, list_sort(list(DISTINCT p_type)) AS t FROM part GROUP BY 1) SELECT p_brand AS s, 'rdfs:subClassOf' AS p,
+CASE WHEN len(t) = 1 THEN t[1] ELSE '_:' || sha256(array_to_string(t, '|')) END AS o FROM m""",
+)
 def _(s, d):
     m = table(s, d, "part").groupBy(F.col("p_brand").alias("element")).agg(F.collect_list("p_type").alias("match"))
     return R.hierarchy(m.withColumn("kind", F.lit("class")))
@@ -28,7 +32,9 @@ def _ontology(s, d):
     return below.unionByName(bound).unionByName(n.select(F.col("n").alias("s"), F.lit(R.SUBCLASS).alias("p"), F.concat(F.lit("_:"), "r").alias("o")))
 
 
-_ONTO = "n AS (SELECT 'n' || n_nationkey AS n, 'r' || n_regionkey AS r FROM nation), t AS (SELECT n AS s, 'rdfs:subClassOf' AS p, r AS o FROM n UNION ALL SELECT DISTINCT '_:' || r, 'owl:someValuesFrom', r FROM n UNION ALL SELECT n, 'rdfs:subClassOf', '_:' || r FROM n)"
+_ONTO = """n AS (SELECT 'n' || n_nationkey AS n, 'r' || n_regionkey AS r FROM nation), t AS (SELECT n AS s, 'rdfs:subClassOf' AS p, r AS o
+FROM n UNION ALL SELECT DISTINCT '_:' || r, 'owl:someValuesFrom', r FROM n UNION ALL SELECT n, 'rdfs:subClassOf', '_:' || r
+FROM n)"""
 
 
 @query("delete_class", f"WITH {_ONTO} SELECT * FROM t WHERE s NOT IN ('r1', 'n3', '_:r1') AND o NOT IN ('r1', 'n3', '_:r1')")
@@ -36,12 +42,22 @@ def _(s, d):
     return R.without(_ontology(s, d), s.createDataFrame([("r1",), ("n3",)], "element string"))
 
 
-@query("correct_domain", f"WITH {_ONTO} SELECT DISTINCT s, p, CASE WHEN p = 'rdfs:subClassOf' AND s = 'n0' AND o = 'r0' THEN 'r9' WHEN p = 'rdfs:subClassOf' AND s = 'n1' THEN 'any' ELSE o END AS o FROM t")
+@query(
+    "correct_domain",
+    f"""WITH {_ONTO} SELECT DISTINCT s, p, CASE WHEN p = 'rdfs:subClassOf' AND s = 'n0' AND o = 'r0' THEN 'r9'
+WHEN p = 'rdfs:subClassOf' AND s = 'n1' THEN 'any' ELSE o END AS o FROM t""",
+)
 def _(s, d):
     return R.replaced(_ontology(s, d), R.SUBCLASS, s.createDataFrame([("n0", "r0", "r9"), ("n1", None, "any")], "s string, old string, new string"))
 
 
-@query("path_properties", "WITH f AS (SELECT DISTINCT p_brand AS t, p_type AS c FROM part), x AS (SELECT *, 'p_' || t || '_' || c AS a, 'p_' || c || '_' || t AS b FROM f) SELECT a AS s, 'rdfs:domain' AS p, t AS o FROM x UNION SELECT a, 'rdfs:range', c FROM x UNION SELECT b, 'rdfs:domain', c FROM x UNION SELECT b, 'rdfs:range', t FROM x UNION SELECT a, 'owl:inverseOf', b FROM x")
+@query(
+    "path_properties",
+    """WITH f AS (SELECT DISTINCT p_brand AS t, p_type AS c FROM part), x AS (SELECT *, 'p_' || t || '_' || c AS a, 'p_' || c || '_' || t AS b
+FROM f) SELECT a AS s, 'rdfs:domain' AS p, t AS o FROM x UNION SELECT a, 'rdfs:range', c FROM x UNION
+SELECT b, 'rdfs:domain', c FROM x UNION SELECT b, 'rdfs:range', t FROM x UNION SELECT a, 'owl:inverseOf', b
+FROM x""",
+)
 def _(s, d):
     return R.path_properties(table(s, d, "part").select(F.col("p_brand").alias("table"), F.array("p_type", "p_name").alias("path")))
 
@@ -52,7 +68,12 @@ def _(s, d):
     return R.specialised(table(s, d, "part").select(F.col("p_partkey").alias("id"), F.array("p_brand", "p_type").alias("path")), own).select("id", F.array_join("path", "/").alias("path"))
 
 
-@query("column_paths", "SELECT * FROM (VALUES ('person','name',0,'Person',true),('person','name',1,'hasName',true),('person','name',2,'text',true),('person','mail',0,'Person',false),('person','mail',1,'hasContact',true),('person','mail',2,'Contact',true),('person','mail',3,'text',false),('firm','title',0,'text',true)) v(\"table\", \"column\", step, element, create_new)")
+@query(
+    "column_paths",
+    """SELECT * FROM (VALUES
+('person','name',0,'Person',true),('person','name',1,'hasName',true),('person','name',2,'text',true),('person','mail',0,'Person',false),('person','mail',1,'hasContact',true),('person','mail',2,'Contact',true),('person','mail',3,'text',false),('firm','title',0,'text',true))
+v("table", "column", step, element, create_new)""",
+)
 def _(s, d):
     rows = [("person", 1, "name", ["Person"], None, "hasName", None, None, "text"), ("person", 2, "mail", ["Person"], None, "hasContact", "Contact", None, "text"), ("firm", 1, "title", None, None, None, None, None, "text")]
     return R.column_paths(s.createDataFrame(rows, "table string, position int, column string, table_path array<string>, object_path array<string>, obj string, cls string, data_path array<string>, data string"))
@@ -84,7 +105,10 @@ _EXPRESSIONS = (
 )
 
 
-@query("verbalise_expressions", "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" for x in e) + ")" for e in _EXPRESSIONS) + ") v(expression, verbal)")
+@query(
+    "verbalise_expressions",
+    "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" for x in e) + ")" for e in _EXPRESSIONS) + """) v(expression, verbal)""",
+)
 def _(s, d):
     rows = s.createDataFrame([(e,) for e, _ in _EXPRESSIONS], "expression string").withColumn("iri", F.explode(entities(F.col("expression"))))
     names = s.createDataFrame(list(_NAMES.items()), "iri string, name string")

@@ -28,7 +28,11 @@ def _(s, d):
     return R.path_triples("orders", "Order", o, 2, ["o_orderkey"], _PATHS, _TYPES, {"o_custkey": ("Customer", "customer", 0)}, {"hasCost": "costOf"}).distinct()
 
 
-@query("path_report", "SELECT t AS \"table\", string_agg(c || ': ' || p, chr(10) ORDER BY c) AS report FROM (SELECT p_brand AS t, p_type AS c, string_agg(DISTINCT p_name, ' > ' ORDER BY p_name) AS p FROM part GROUP BY ALL) GROUP BY 1")
+@query(
+    "path_report",
+    """SELECT t AS "table", string_agg(c || ': ' || p, chr(10) ORDER BY c) AS report FROM (SELECT p_brand AS t, p_type AS c, string_agg(DISTINCT p_name,
+' > ' ORDER BY p_name) AS p FROM part GROUP BY ALL) GROUP BY 1""",
+)
 def _(s, d):
     from pyspark.sql import Window
 
@@ -56,7 +60,13 @@ def _(s, d):
     return R.table_rules(m, keys, P.discover_fks(tables))
 
 
-@query("declarative_mapping", "SELECT 'http://x/' || c_nationkey || '/' || c_custkey AS s, 'rdf:type' AS p, 'Customer' AS o, 'iri' AS o_kind FROM customer UNION ALL SELECT 'http://x/' || c_nationkey || '/' || c_custkey, 'name', c_name, 'lit' FROM customer UNION ALL SELECT 'http://x/' || c_nationkey || '/' || c_custkey, 'in', 'http://n/' || c_nationkey, 'iri' FROM customer")
+@query(
+    "declarative_mapping",
+    """SELECT 'http://x/' || c_nationkey || '/' || c_custkey AS s, 'rdf:type' AS p, 'Customer' AS o, 'iri' AS o_kind
+FROM customer UNION ALL SELECT 'http://x/' || c_nationkey || '/' || c_custkey, 'name', c_name, 'lit'
+FROM customer UNION ALL SELECT 'http://x/' || c_nationkey || '/' || c_custkey, 'in', 'http://n/' || c_nationkey, 'iri'
+FROM customer""",
+)
 def _(s, d):
     return R.templated(table(s, d, "customer"), "http://x/{c_nationkey}/{c_custkey}", "Customer", {"name": "c_name", "in": "http://n/{c_nationkey}"})
 
@@ -68,7 +78,10 @@ def _catalog(s):
     return s.createDataFrame([(t, f"to_{f}", f) for t, f in _CATALOG], "table string, column string, fk_table string")
 
 
-@query("deferred_keys", "SELECT * FROM (VALUES ('part', 'to_part', 'self'), ('events', 'to_absent', 'missing'), ('archive', 'to_zoo', 'later')) v(\"table\", \"column\", why)")
+@query(
+    "deferred_keys",
+    """SELECT * FROM (VALUES ('part', 'to_part', 'self'), ('events', 'to_absent', 'missing'), ('archive', 'to_zoo', 'later')) v("table", "column", why)""",
+)
 def _(s, d):
     c = _catalog(s)
     return R.deferred_keys(c, R.load_order(c))
@@ -92,7 +105,11 @@ def _(s, d):
 _E = "e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings)"
 
 
-@query("context_scores", f"WITH {_E} SELECT a.label::VARCHAR AS header, a.vec_id::VARCHAR AS form, round(avg(list_cosine_similarity(a.v, b.v)), 6) AS context FROM e a JOIN e b ON b.vec_id IN (a.label, a.label + 1, a.label + 2) GROUP BY ALL")
+@query(
+    "context_scores",
+    f"""WITH {_E} SELECT a.label::VARCHAR AS header, a.vec_id::VARCHAR AS form, round(avg(list_cosine_similarity(a.v, b.v)), 6) AS context
+FROM e a JOIN e b ON b.vec_id IN (a.label, a.label + 1, a.label + 2) GROUP BY ALL""",
+)
 def _(s, d):
     e = table(s, d, "embeddings")
     cands = e.select(F.col("label").cast("string").alias("header"), F.col("vec_id").cast("string").alias("form"))
@@ -112,7 +129,11 @@ def _(s, d):
     return H.grouped(c).select("header", "grp", "whole", "score", "context", F.array_join("forms", ",").alias("forms"), F.array_join(F.transform("global_scores", lambda x: x.cast("string")), ",").alias("global_scores"))
 
 
-@query("expansions_document", "SELECT p_brand AS header, count(DISTINCT p_name) AS n, arg_min(p_name, (-m, p_name)) AS first FROM (SELECT p_brand, p_name, max(p_size) AS m FROM part GROUP BY ALL) GROUP BY 1 UNION ALL SELECT 'lonely', 0, NULL")
+@query(
+    "expansions_document",
+    """SELECT p_brand AS header, count(DISTINCT p_name) AS n, arg_min(p_name, (-m, p_name)) AS first FROM (SELECT p_brand, p_name, max(p_size) AS m
+FROM part GROUP BY ALL) GROUP BY 1 UNION ALL SELECT 'lonely', 0, NULL""",
+)
 def _(s, d):
     p = table(s, d, "part")
     cands = p.groupBy(F.col("p_brand").alias("header"), F.col("p_name").alias("form")).agg(F.max("p_size").cast("double").alias("score")).select("*", F.array(F.lit(0.5), F.lit(1.0)).alias("global_scores"), F.lit(0.1).alias("context"), F.lit(None).cast("double").alias("seed_score"))

@@ -172,7 +172,11 @@ _DATA = f"""WITH c AS (SELECT * FROM {_VALUES}),
 k AS (SELECT "table", CASE WHEN "column" IN (SELECT "table" FROM c) THEN "column" || '_ATTR' ELSE "column" END AS a FROM c WHERE is_pk = 0 AND fk_table IS NULL)"""
 
 
-@query("data_property_rules", _DATA + " SELECT \"table\" AS domain, 'has_' || a AS prop, a AS range FROM k UNION ALL SELECT a, 'has_' || a || '_VALUE', 'xsd:string' FROM k")
+@query(
+    "data_property_rules",
+    _DATA + """ SELECT "table" AS domain, 'has_' || a AS prop, a AS range FROM k UNION ALL SELECT a, 'has_' || a || '_VALUE', 'xsd:string'
+FROM k""",
+)
 def _(s, d):
     return R.data_property_rules(catalog(s), attributes_to_classes=True)
 

@@ -9,7 +9,11 @@ from graphloom.functions import text as X, values as V
 from graphloom.registry import query, table
 
 
-@query("identifier_split", "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'order Status ' || o_orderstatus WHEN 1 THEN 'Order ID Of ' || upper(left(o_orderpriority, 1)) || 'x' ELSE 'plain' END AS words FROM orders")
+@query(
+    "identifier_split",
+    """SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'order Status ' || o_orderstatus WHEN 1 THEN 'Order ID Of ' || upper(left(o_orderpriority, 1)) ||
+'x' ELSE 'plain' END AS words FROM orders""",
+)
 def _(s, d):
     k = F.col("o_orderkey") % 3
     name = F.when(k == 0, F.concat(F.lit("orderStatus"), "o_orderstatus")).when(k == 1, F.concat(F.lit("OrderIDOf"), F.upper(F.left("o_orderpriority", F.lit(1))), F.lit("x"))).otherwise("plain")
@@ -35,13 +39,22 @@ def _(s, d):
     return table(s, d, "part").select("p_partkey", V.named_codes(text, names).alias("text"))
 
 
-@query("file_names", "SELECT c_custkey, 'csv' AS extension, 'f.' || c_custkey AS stem, 'in/' || c_nationkey || '/processed/f.' || c_custkey || '.csv' AS processed FROM customer")
+@query(
+    "file_names",
+    """SELECT c_custkey, 'csv' AS extension, 'f.' || c_custkey AS stem, 'in/' || c_nationkey || '/processed/f.' || c_custkey || '.csv' AS processed
+FROM customer""",
+)
 def _(s, d):
     path = F.concat(F.lit("in/"), F.col("c_nationkey").cast("string"), F.lit("/f."), F.col("c_custkey").cast("string"), F.lit(".csv"))
     return table(s, d, "customer").select("c_custkey", V.file_extension(path).alias("extension"), V.file_stem(path).alias("stem"), V.processed_path(path).alias("processed"))
 
 
-@query("loader_dates", "SELECT o_orderkey, CASE o_orderkey % 5 WHEN 4 THEN NULL WHEN 2 THEN strftime(date_trunc('minute', o_orderdate), '%Y-%m-%d %H:%M:%S') WHEN 3 THEN strftime(o_orderdate, '%Y-%m-%d 00:00:00') ELSE strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') END AS day FROM orders")
+@query(
+    "loader_dates",
+    """SELECT o_orderkey, CASE o_orderkey % 5 WHEN 4 THEN NULL WHEN 2 THEN strftime(date_trunc('minute', o_orderdate), '%Y-%m-%d %H:%M:%S')
+WHEN 3 THEN strftime(o_orderdate, '%Y-%m-%d 00:00:00') ELSE strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') END AS day
+FROM orders""",
+)
 def _(s, d):
     k, day = F.col("o_orderkey") % 5, F.col("o_orderdate")
     text = F.when(k == 4, "soon")
@@ -69,7 +82,13 @@ def _(s, d):
     return table(s, d, "part").select("p_partkey", V.substituted(text, spans).alias("text"))
 
 
-@query("consecutive_runs", "WITH x AS (SELECT DISTINCT p_brand, p_size FROM part), g AS (SELECT p_brand, p_size, p_size - row_number() OVER (PARTITION BY p_brand ORDER BY p_size) AS g FROM x), r AS (SELECT p_brand, min(p_size) AS low, max(p_size) AS high FROM g GROUP BY p_brand, g) SELECT p_brand, string_agg(low || '-' || high, ',' ORDER BY low) AS runs FROM r GROUP BY 1")
+@query(
+    "consecutive_runs",
+    """WITH x AS (SELECT DISTINCT p_brand, p_size FROM part), g AS (SELECT p_brand, p_size, p_size - row_number() OVER (PARTITION BY p_brand
+ORDER BY p_size) AS g FROM x), r AS (SELECT p_brand, min(p_size) AS low, max(p_size) AS high FROM g
+GROUP BY p_brand, g) SELECT p_brand, string_agg(low || '-' || high, ',' ORDER BY low) AS runs FROM r
+GROUP BY 1""",
+)
 def _(s, d):
     runs = table(s, d, "part").groupBy("p_brand").agg(V.runs_of(F.array_sort(F.collect_set("p_size"))).alias("r"))
     return runs.select("p_brand", F.array_join(F.transform("r", lambda x: F.concat_ws("-", x["low"].cast("string"), x["high"].cast("string"))), ",").alias("runs"))
@@ -80,7 +99,11 @@ def _(s, d):
     return table(s, d, "documents").select("doc_id", F.size(V.uniqified(F.split("text", " "))).cast("long").alias("n"))
 
 
-@query("array_product", "WITH p AS (SELECT DISTINCT p_type, p_brand FROM part), q AS (SELECT DISTINCT p_type, p_name FROM part) SELECT p_type, p_brand || ' ' || p_name AS expansion FROM p JOIN q USING (p_type)")
+@query(
+    "array_product",
+    """WITH p AS (SELECT DISTINCT p_type, p_brand FROM part), q AS (SELECT DISTINCT p_type, p_name FROM part)
+SELECT p_type, p_brand || ' ' || p_name AS expansion FROM p JOIN q USING (p_type)""",
+)
 def _(s, d):
     lists = table(s, d, "part").groupBy("p_type").agg(F.array(F.collect_set("p_brand"), F.collect_set("p_name")).alias("options"))
     return lists.select("p_type", F.explode(V.product(F.col("options"))).alias("expansion"))
@@ -97,7 +120,12 @@ def _(s, d):
     return table(s, d, "pages").select("page_id", X.valid_name(F.col("url")).alias("name"))
 
 
-@query("length_differences", "WITH n AS (SELECT DISTINCT p_name AS x FROM part) SELECT a.x AS a, b.x AS b, round(abs(length(a.x) - length(b.x)) / ((length(a.x) + length(b.x)) / 2) * 100, 6) AS difference, round(jaccard(a.x, b.x), 6) AS alike FROM n a JOIN n b ON split_part(a.x, ' ', 1) = split_part(b.x, ' ', 1) WHERE a.x < b.x")
+@query(
+    "length_differences",
+    """WITH n AS (SELECT DISTINCT p_name AS x FROM part) SELECT a.x AS a, b.x AS b, round(abs(length(a.x) - length(b.x)) / ((length(a.x) + length(b.x)) / 2)
+* 100, 6) AS difference, round(jaccard(a.x, b.x), 6) AS alike FROM n a JOIN n b ON split_part(a.x, ' ', 1) = split_part(b.x, ' ', 1)
+WHERE a.x < b.x""",
+)
 def _(s, d):
     n = table(s, d, "part").select(F.col("p_name").alias("x"), F.get(F.split("p_name", " "), 0).alias("w")).distinct()
     pairs = n.alias("a").join(n.alias("b"), "w").where("a.x < b.x").select(F.col("a.x").alias("a"), F.col("b.x").alias("b"))
@@ -112,7 +140,11 @@ def _(s, d):
     return pairs.select("a", "b", X.ratio("a", "b").alias("ratio"), X.partial_ratio("a", "b").alias("partial"), X.partial_token_sort_ratio("a", "b").alias("sorted"))
 
 
-@query("position_maxima", "SELECT p_brand, string_agg(m, ',' ORDER BY i) AS maxima FROM (SELECT p_brand, i, max(CASE i WHEN 0 THEN p_size WHEN 1 THEN p_partkey % 100 ELSE 50 - p_size END) AS m FROM part, range(3) r(i) GROUP BY ALL) GROUP BY 1")
+@query(
+    "position_maxima",
+    """SELECT p_brand, string_agg(m, ',' ORDER BY i) AS maxima FROM (SELECT p_brand, i, max(CASE i WHEN 0 THEN p_size
+WHEN 1 THEN p_partkey % 100 ELSE 50 - p_size END) AS m FROM part, range(3) r(i) GROUP BY ALL) GROUP BY 1""",
+)
 def _(s, d):
     values = F.array(F.col("p_size").cast("long"), F.col("p_partkey") % 100, 50 - F.col("p_size").cast("long"))
     each = table(s, d, "part").select("p_brand", F.posexplode(values).alias("i", "v")).groupBy("p_brand", "i").agg(F.max("v").alias("m"))

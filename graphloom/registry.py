@@ -47,14 +47,23 @@ def oracle_sql() -> dict[str, str]:
 # --- cleaning and typing ---------------------------------------------------------------------------
 
 
-@query("null_token_filter", "SELECT event_id, t FROM (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'NULL' WHEN 1 THEN '-' WHEN 2 THEN NULL ELSE event_type END AS t FROM events) WHERE t IS NOT NULL AND lower(t) NOT IN ('none', 'null', '', ' ', '-')")
+@query(
+    "null_token_filter",
+    """SELECT event_id, t FROM (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'NULL' WHEN 1 THEN '-' WHEN 2 THEN NULL ELSE event_type END AS t
+FROM events) WHERE t IS NOT NULL AND lower(t) NOT IN ('none', 'null', '', ' ', '-')""",
+)
 def _(s, d):
     k = F.col("event_id") % 5
     t = F.when(k == 0, "NULL").when(k == 1, "-").when(k == 2, F.lit(None)).otherwise(F.col("event_type"))
     return table(s, d, "events").select("event_id", t.alias("t")).where(X.is_not_null(F.col("t")))
 
 
-@query("delimiter_sniff", "WITH l AS (SELECT concat_ws(';', c_custkey, c_name, c_nationkey, c_mktsegment) AS line FROM customer WHERE c_custkey = 1), c AS (SELECT ch, count(*) AS n FROM (SELECT unnest(regexp_extract_all(line, '[^_a-zA-Z0-9]')) AS ch FROM l) GROUP BY ch) SELECT ch AS delimiter, n::BIGINT AS n FROM c ORDER BY n DESC, ch LIMIT 1")
+@query(
+    "delimiter_sniff",
+    """WITH l AS (SELECT concat_ws(';', c_custkey, c_name, c_nationkey, c_mktsegment) AS line FROM customer
+WHERE c_custkey = 1), c AS (SELECT ch, count(*) AS n FROM (SELECT unnest(regexp_extract_all(line, '[^_a-zA-Z0-9]')) AS ch
+FROM l) GROUP BY ch) SELECT ch AS delimiter, n::BIGINT AS n FROM c ORDER BY n DESC, ch LIMIT 1""",
+)
 def _(s, d):
     from graphloom.sources.tabular import sniff
 
@@ -64,7 +73,13 @@ def _(s, d):
 _HEADERS = ["a", "", "b", "a", " ", "b", "c"]
 
 
-@query("header_repair", "WITH h AS (SELECT * FROM (VALUES (1,'a'),(2,''),(3,'b'),(4,'a'),(5,' '),(6,'b'),(7,'c')) v(pos, h)), n AS (SELECT pos, h, trim(h) = '' AS blank, row_number() OVER (PARTITION BY trim(h) = '' ORDER BY pos) AS k, row_number() OVER (PARTITION BY h ORDER BY pos) AS seen FROM h) SELECT pos::BIGINT AS pos, CASE WHEN blank THEN 'Unknown_Header_' || k WHEN seen > 1 THEN h || '_' || pos ELSE h END AS header FROM n UNION ALL SELECT 8, 'Unknown_Header_3'")
+@query(
+    "header_repair",
+    """WITH h AS (SELECT * FROM (VALUES (1,'a'),(2,''),(3,'b'),(4,'a'),(5,' '),(6,'b'),(7,'c')) v(pos, h)), n AS (SELECT pos, h, trim(h) = '' AS blank,
+row_number() OVER (PARTITION BY trim(h) = '' ORDER BY pos) AS k, row_number() OVER (PARTITION BY h
+ORDER BY pos) AS seen FROM h) SELECT pos::BIGINT AS pos, CASE WHEN blank THEN 'Unknown_Header_' || k
+WHEN seen > 1 THEN h || '_' || pos ELSE h END AS header FROM n UNION ALL SELECT 8, 'Unknown_Header_3'""",
+)
 def _(s, d):
     from graphloom.sources.tabular import repaired
 
@@ -101,14 +116,25 @@ def _(s, d):
     return union([P.type_votes(table(s, d, t).select(*(derived.get(c, F.col(c)).alias(c) for c in cs)), t) for t, cs in _VOTED.items()])
 
 
-@query("date_format_classify", "SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'y-M-d' WHEN 1 THEN CASE WHEN day(o_orderdate) > 12 THEN 'd-M-y' ELSE 'M-d-y' END WHEN 2 THEN 'y-M' WHEN 3 THEN 'y' END AS fmt, CASE o_orderkey % 5 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN CASE WHEN day(o_orderdate) > 12 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE strftime(o_orderdate, '%Y-%d-%m') END WHEN 2 THEN strftime(o_orderdate, '%Y-%m-01') WHEN 3 THEN strftime(o_orderdate, '%Y-01-01') END AS iso FROM orders")
+@query(
+    "date_format_classify",
+    """SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'y-M-d' WHEN 1 THEN CASE WHEN day(o_orderdate) > 12 THEN 'd-M-y' ELSE 'M-d-y' END
+WHEN 2 THEN 'y-M' WHEN 3 THEN 'y' END AS fmt, CASE o_orderkey % 5 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d')
+WHEN 1 THEN CASE WHEN day(o_orderdate) > 12 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE strftime(o_orderdate, '%Y-%d-%m') END
+WHEN 2 THEN strftime(o_orderdate, '%Y-%m-01') WHEN 3 THEN strftime(o_orderdate, '%Y-01-01') END AS iso
+FROM orders""",
+)
 def _(s, d):
     k, day = F.col("o_orderkey") % 5, F.col("o_orderdate")
     v = F.when(k == 0, F.date_format(day, "yyyy/MM/dd")).when(k == 1, F.date_format(day, "dd.MM.yyyy")).when(k == 2, F.date_format(day, "yyyy-MM")).when(k == 3, F.date_format(day, "yyyy")).otherwise("n/a")
     return table(s, d, "orders").select("o_orderkey", X.date_format_of(v).alias("fmt"), X.iso_date(v).alias("iso"))
 
 
-@query("boolean_detect", "SELECT 'labels' AS \"table\", 'toxic' AS \"column\", count(DISTINCT toxic) <= 2 AND bool_and(CAST(toxic AS VARCHAR) IN ('0','1')) AS is_boolean FROM labels UNION ALL SELECT 'orders', 'o_orderstatus', false FROM (SELECT 1)")
+@query(
+    "boolean_detect",
+    """SELECT 'labels' AS "table", 'toxic' AS "column", count(DISTINCT toxic) <= 2 AND bool_and(CAST(toxic AS VARCHAR) IN ('0','1')) AS is_boolean
+FROM labels UNION ALL SELECT 'orders', 'o_orderstatus', false FROM (SELECT 1)""",
+)
 def _(s, d):
     votes = P.type_votes(table(s, d, "labels").select("toxic"), "labels").unionByName(P.type_votes(table(s, d, "orders").select("o_orderstatus"), "orders"))
     return votes.select("table", "column", (F.col("type") == "boolean").alias("is_boolean"))
@@ -170,7 +196,11 @@ def _(s, d):
     return _graph(s, d, tuple(GRAPH)).groupBy("p").agg(F.count("*").alias("n"), F.countDistinct("s").alias("n_subjects"))
 
 
-@query("ntriples_sink", f"SELECT '<' || s || '> <' || p || '> ' || CASE o_kind WHEN 'iri' THEN '<' || o || '>' ELSE '\"' || o || '\"^^<' || datatype || '>' END || ' .' AS line FROM ({_graph_sql(('nation',))})")
+@query(
+    "ntriples_sink",
+    f"""SELECT '<' || s || '> <' || p || '> ' || CASE o_kind WHEN 'iri' THEN '<' || o || '>' ELSE '"' || o || '"^^<' || datatype || '>' END || ' .' AS line
+FROM ({_graph_sql(('nation',))})""",
+)
 def _(s, d):
     return kg.ntriples(_graph(s, d, ("nation",)))
 
@@ -199,7 +229,8 @@ def _(s, d):
     return M.label_index(table(s, d, "part"), "p_brand", "p_name")
 
 
-_POST = "post AS (SELECT token, doc_id AS entity, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM documents) WHERE token <> 'has' GROUP BY ALL)"
+_POST = """post AS (SELECT token, doc_id AS entity, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token
+FROM documents) WHERE token <> 'has' GROUP BY ALL)"""
 
 
 @query("inverted_index", f"WITH {_POST} SELECT token, count(*) AS df, sum(tf)::BIGINT AS tf FROM post GROUP BY token")
@@ -221,7 +252,9 @@ def _(s, d):
     return M.idf_pool(q, M.postings(docs, "doc_id", "text"), docs.agg(F.count("*").alias("d")), 10).withColumn("rank", F.col("rank").cast("long"))
 
 
-_NAMES_SQL = "n AS (SELECT DISTINCT p_name FROM part), pairs AS (SELECT DISTINCT a.p_name AS src, b.p_name AS tgt FROM n a JOIN n b ON split_part(a.p_name, ' ', 1) = split_part(b.p_name, ' ', 1) OR split_part(a.p_name, ' ', 2) = split_part(b.p_name, ' ', 2) WHERE a.p_name <> b.p_name)"
+_NAMES_SQL = """n AS (SELECT DISTINCT p_name FROM part), pairs AS (SELECT DISTINCT a.p_name AS src, b.p_name AS tgt
+FROM n a JOIN n b ON split_part(a.p_name, ' ', 1) = split_part(b.p_name, ' ', 1) OR split_part(a.p_name, ' ', 2) = split_part(b.p_name, ' ', 2)
+WHERE a.p_name <> b.p_name)"""
 
 
 def _pairs(s: SparkSession, d: str) -> DataFrame:
@@ -230,7 +263,11 @@ def _pairs(s: SparkSession, d: str) -> DataFrame:
     return t.alias("a").join(t.alias("b"), (F.col("a.t") == F.col("b.t")) & (F.col("a.i") == F.col("b.i")) & (F.col("a.p_name") != F.col("b.p_name"))).select(F.col("a.p_name").alias("src"), F.col("b.p_name").alias("tgt"), F.col("a.p_name").alias("a"), F.col("b.p_name").alias("b")).distinct()
 
 
-@query("exact_label_match", "SELECT p_brand AS src, min(p_type) AS tgt, 1.0::DOUBLE AS score FROM (SELECT DISTINCT p_brand, p_name FROM part) a JOIN (SELECT DISTINCT p_type, p_name FROM part) b USING (p_name) GROUP BY 1")
+@query(
+    "exact_label_match",
+    """SELECT p_brand AS src, min(p_type) AS tgt, 1.0::DOUBLE AS score FROM (SELECT DISTINCT p_brand, p_name
+FROM part) a JOIN (SELECT DISTINCT p_type, p_name FROM part) b USING (p_name) GROUP BY 1""",
+)
 def _(s, d):
     p = table(s, d, "part")
     return M.exact_match(M.label_index(p, "p_brand", "p_name"), M.label_index(p, "p_type", "p_name"))
@@ -241,7 +278,10 @@ def _(s, d):
     return M.best_similarity(_pairs(s, d))
 
 
-_PJ = f"WITH {_NAMES_SQL}, pj AS (SELECT src, tgt, round(len(list_filter(string_split(tgt, ' '), lambda x: length(x) > 1 AND contains(src, x))) / len(string_split(tgt, ' ')), 6) AS pj, length(tgt) AS clen, round(1 - levenshtein(src, tgt) / greatest(length(src), length(tgt)), 6) AS score FROM pairs), rk AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, tgt) AS bes_rank, dense_rank() OVER (PARTITION BY src ORDER BY pj DESC, clen DESC) AS pj_rank FROM pj)"
+_PJ = f"""WITH {_NAMES_SQL}, pj AS (SELECT src, tgt, round(len(list_filter(string_split(tgt, ' '), lambda x: length(x) > 1
+AND contains(src, x))) / len(string_split(tgt, ' ')), 6) AS pj, length(tgt) AS clen, round(1 - levenshtein(src, tgt) / greatest(length(src),
+length(tgt)), 6) AS score FROM pairs), rk AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, tgt) AS bes_rank, dense_rank() OVER
+(PARTITION BY src ORDER BY pj DESC, clen DESC) AS pj_rank FROM pj)"""
 
 
 def _ranked(s: SparkSession, d: str) -> DataFrame:
@@ -264,15 +304,23 @@ def _(s, d):
     return M.suitable(_ranked(s, d).select("src", F.col("bes_rank").alias("pos"), F.col("pj_rank").cast("int").alias("rank"), "score"), 0.1)
 
 
-@query("table_match_select", _PJ + ", g AS (SELECT * FROM rk WHERE score >= 0.8 OR (score >= 0.4 AND pj >= 0.5)) SELECT src, tgt FROM (SELECT src, tgt, row_number() OVER (PARTITION BY src ORDER BY pj_rank, pj DESC, tgt) AS k FROM g) WHERE k = 1")
+@query(
+    "table_match_select",
+    _PJ + """, g AS (SELECT * FROM rk WHERE score >= 0.8 OR (score >= 0.4 AND pj >= 0.5)) SELECT src, tgt FROM (SELECT src, tgt, row_number() OVER (PARTITION BY
+src ORDER BY pj_rank, pj DESC, tgt) AS k FROM g) WHERE k = 1""",
+)
 def _(s, d):
     return M.table_match(_ranked(s, d).withColumnRenamed("score", "bes"), 0.8, 0.4, 0.5)
 
 
 # --- hierarchy -------------------------------------------------------------------------------------
 
-_EDGES_SQL = "e AS (SELECT 'c' || c_custkey AS child, 'n' || c_nationkey AS parent FROM customer UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION ALL SELECT 'r' || r_regionkey, 'world' FROM region UNION ALL SELECT 'n1', 'world')"
-_CLOSED = f"WITH RECURSIVE {_EDGES_SQL}, w AS (SELECT child AS node, parent AS ancestor, 1 AS depth FROM e UNION SELECT node, parent, depth + 1 FROM w JOIN e ON ancestor = child), cl AS (SELECT node, ancestor, min(depth)::INTEGER AS depth FROM w GROUP BY ALL UNION ALL SELECT DISTINCT x, x, 0 FROM (SELECT child AS x FROM e UNION SELECT parent FROM e))"
+_EDGES_SQL = """e AS (SELECT 'c' || c_custkey AS child, 'n' || c_nationkey AS parent FROM customer UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey
+FROM nation UNION ALL SELECT 'r' || r_regionkey, 'world' FROM region UNION ALL SELECT 'n1', 'world')"""
+_CLOSED = f"""WITH RECURSIVE {_EDGES_SQL}, w AS (SELECT child AS node, parent AS ancestor, 1 AS depth FROM e UNION
+SELECT node, parent, depth + 1 FROM w JOIN e ON ancestor = child), cl AS (SELECT node, ancestor, min(depth)::INTEGER AS depth
+FROM w GROUP BY ALL UNION ALL SELECT DISTINCT x, x, 0 FROM (SELECT child AS x FROM e UNION SELECT parent
+FROM e))"""
 
 
 def _edges(s: SparkSession, d: str) -> DataFrame:
@@ -286,34 +334,62 @@ def _(s, d):
     return H.closure(_edges(s, d))
 
 
-@query("top_superclass", _CLOSED + " SELECT node, top, depth FROM (SELECT node, ancestor AS top, depth, row_number() OVER (PARTITION BY node ORDER BY depth DESC, ancestor) AS k FROM cl) WHERE k = 1")
+@query(
+    "top_superclass",
+    _CLOSED + """ SELECT node, top, depth FROM (SELECT node, ancestor AS top, depth, row_number() OVER (PARTITION BY node
+ORDER BY depth DESC, ancestor) AS k FROM cl) WHERE k = 1""",
+)
 def _(s, d):
     return H.top_superclass(H.closure(_edges(s, d)))
 
 
-@query("inherited_domain", _CLOSED + " SELECT node, value, depth FROM (SELECT node, r_name AS value, depth, row_number() OVER (PARTITION BY node ORDER BY depth, r_name) AS k FROM cl JOIN region ON ancestor = 'r' || r_regionkey) WHERE k = 1")
+@query(
+    "inherited_domain",
+    _CLOSED + """ SELECT node, value, depth FROM (SELECT node, r_name AS value, depth, row_number() OVER (PARTITION BY node
+ORDER BY depth, r_name) AS k FROM cl JOIN region ON ancestor = 'r' || r_regionkey) WHERE k = 1""",
+)
 def _(s, d):
     return H.inherited(H.closure(_edges(s, d)), table(s, d, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("node"), F.col("r_name").alias("value")))
 
 
-@query("common_ancestor_groups", _CLOSED + ", m AS (SELECT ancestor, count(*) AS n, max(depth) AS d FROM cl WHERE node LIKE 'n%' AND depth <= 1 GROUP BY 1 HAVING count(*) > 1), b AS (SELECT node, m.ancestor, row_number() OVER (PARTITION BY node ORDER BY n DESC, depth, m.ancestor) AS k FROM cl JOIN m ON m.ancestor = cl.ancestor WHERE node LIKE 'n%' AND depth <= 1) SELECT DISTINCT node, coalesce(b.ancestor, node) AS grp FROM (SELECT DISTINCT node FROM cl WHERE node LIKE 'n%') LEFT JOIN (SELECT * FROM b WHERE k = 1) b USING (node)")
+@query(
+    "common_ancestor_groups",
+    _CLOSED + """, m AS (SELECT ancestor, count(*) AS n, max(depth) AS d FROM cl WHERE node LIKE 'n%' AND depth <= 1
+GROUP BY 1 HAVING count(*) > 1), b AS (SELECT node, m.ancestor, row_number() OVER (PARTITION BY node
+ORDER BY n DESC, depth, m.ancestor) AS k FROM cl JOIN m ON m.ancestor = cl.ancestor WHERE node LIKE 'n%'
+AND depth <= 1) SELECT DISTINCT node, coalesce(b.ancestor, node) AS grp FROM (SELECT DISTINCT node
+FROM cl WHERE node LIKE 'n%') LEFT JOIN (SELECT * FROM b WHERE k = 1) b USING (node)""",
+)
 def _(s, d):
     closed = H.closure(_edges(s, d))
     return H.largest_groups(closed, closed.where("node like 'n%'").select("node").distinct(), 1)
 
 
-@query("siblings", "SELECT parent, string_agg(DISTINCT child, ',' ORDER BY child) AS children, count(DISTINCT child) AS n FROM (SELECT 'r' || n_regionkey AS parent, n_name AS child FROM nation) GROUP BY parent HAVING count(DISTINCT child) > 1")
+@query(
+    "siblings",
+    """SELECT parent, string_agg(DISTINCT child, ',' ORDER BY child) AS children, count(DISTINCT child) AS n
+FROM (SELECT 'r' || n_regionkey AS parent, n_name AS child FROM nation) GROUP BY parent HAVING count(DISTINCT child) > 1""",
+)
 def _(s, d):
     return H.siblings(table(s, d, "nation").select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("parent"), F.col("n_name").alias("child")))
 
 
-@query("prune_hierarchy", f"WITH {_EDGES_SQL} SELECT DISTINCT e.child, coalesce(u.parent, e.parent) AS parent FROM e LEFT JOIN e u ON e.parent = u.child AND e.parent LIKE 'n%' WHERE e.child NOT LIKE 'n%'")
+@query(
+    "prune_hierarchy",
+    f"""WITH {_EDGES_SQL} SELECT DISTINCT e.child, coalesce(u.parent, e.parent) AS parent FROM e LEFT JOIN e u ON e.parent = u.child
+AND e.parent LIKE 'n%' WHERE e.child NOT LIKE 'n%'""",
+)
 def _(s, d):
     e = _edges(s, d)
     return H.prune(e, e.where("child like 'n%'").select(F.col("child").alias("node")).distinct())
 
 
-@query("connected_components", "WITH RECURSIVE t AS (SELECT md5(text) AS h, doc_id FROM documents), e AS (SELECT a.doc_id AS a, b.doc_id AS b FROM t a JOIN t b ON a.h = b.h), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT a AS node, min(b) AS comp FROM r GROUP BY a HAVING count(*) > 1")
+@query(
+    "connected_components",
+    """WITH RECURSIVE t AS (SELECT md5(text) AS h, doc_id FROM documents), e AS (SELECT a.doc_id AS a, b.doc_id AS b
+FROM t a JOIN t b ON a.h = b.h), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT a AS node, min(b) AS comp FROM r GROUP BY a HAVING count(*) > 1""",
+)
 def _(s, d):
     t = table(s, d, "documents").select(F.md5("text").alias("h"), "doc_id")
     heads = t.groupBy("h").agg(F.min("doc_id").alias("b"), F.count("*").alias("n")).where("n > 1")
@@ -326,7 +402,11 @@ def _(s, d):
     return c.join(c.groupBy("comp").agg(F.count("*").cast("int").alias("votes")), "comp").select("node", "comp", "votes")
 
 
-@query("one_hop_extension", "WITH s AS (SELECT 'n' || n_nationkey AS child, 'r' || n_regionkey AS parent FROM nation), m AS (SELECT child AS src, child AS tgt FROM s) SELECT DISTINCT a.parent AS src, b.parent AS tgt FROM m JOIN s a ON src = a.child JOIN s b ON tgt = b.child")
+@query(
+    "one_hop_extension",
+    """WITH s AS (SELECT 'n' || n_nationkey AS child, 'r' || n_regionkey AS parent FROM nation), m AS (SELECT child AS src, child AS tgt
+FROM s) SELECT DISTINCT a.parent AS src, b.parent AS tgt FROM m JOIN s a ON src = a.child JOIN s b ON tgt = b.child""",
+)
 def _(s, d):
     e = table(s, d, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("child"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("parent"))
     return M.extend_one_hop(e.select(F.col("child").alias("src"), F.col("child").alias("tgt")), e, e)
@@ -335,19 +415,31 @@ def _(s, d):
 # --- similarity, abbreviations, evaluation ---------------------------------------------------------
 
 
-@query("near_duplicate_names", "WITH n AS (SELECT DISTINCT p_name FROM part), k AS (SELECT p_name, array_to_string(list_sort(list_distinct(string_split(p_name, ' '))), ' ') AS w FROM n) SELECT a.p_name AS a, b.p_name AS b FROM k a JOIN k b USING (w) WHERE a.p_name < b.p_name")
+@query(
+    "near_duplicate_names",
+    """WITH n AS (SELECT DISTINCT p_name FROM part), k AS (SELECT p_name, array_to_string(list_sort(list_distinct(string_split(p_name, ' '))), ' ') AS w
+FROM n) SELECT a.p_name AS a, b.p_name AS b FROM k a JOIN k b USING (w) WHERE a.p_name < b.p_name""",
+)
 def _(s, d):
     k = table(s, d, "part").select("p_name").distinct().withColumn("w", F.array_join(X.word_set(F.col("p_name")), " "))
     return k.alias("a").join(k.alias("b"), (F.col("a.w") == F.col("b.w")) & (F.col("a.p_name") < F.col("b.p_name"))).select(F.col("a.p_name").alias("a"), F.col("b.p_name").alias("b"))
 
 
-@query("abbrev_lookup", "WITH inv AS (SELECT DISTINCT string_agg(left(w, 1), '' ORDER BY i) AS sf, p_name AS lf FROM (SELECT DISTINCT p_name, i, string_split(p_name, ' ')[i] AS w FROM part, range(1, 3) r(i)) GROUP BY p_name) SELECT sf, count(*) AS n_full, min(lf) AS first_full FROM inv GROUP BY sf")
+@query(
+    "abbrev_lookup",
+    """WITH inv AS (SELECT DISTINCT string_agg(left(w, 1), '' ORDER BY i) AS sf, p_name AS lf FROM (SELECT DISTINCT p_name, i, string_split(p_name, ' ')[i]
+AS w FROM part, range(1, 3) r(i)) GROUP BY p_name) SELECT sf, count(*) AS n_full, min(lf) AS first_full
+FROM inv GROUP BY sf""",
+)
 def _(s, d):
     inv = table(s, d, "part").select(F.array_join(F.transform(F.slice(F.split("p_name", " "), 1, 2), lambda w: F.left(w, F.lit(1))), "").alias("sf"), F.col("p_name").alias("lf")).distinct()
     return inv.groupBy("sf").agg(F.count("*").alias("n_full"), F.min("lf").alias("first_full"))
 
 
-@query("header_expansions", "SELECT 'micro alb' AS header, a || ' ' || b AS expansion FROM (VALUES ('micro'), ('microscopic')) x(a), (VALUES ('albumin'), ('albino')) y(b)")
+@query(
+    "header_expansions",
+    """SELECT 'micro alb' AS header, a || ' ' || b AS expansion FROM (VALUES ('micro'), ('microscopic')) x(a), (VALUES ('albumin'), ('albino')) y(b)""",
+)
 def _(s, d):
     h = s.createDataFrame([("micro alb", [["micro", "microscopic"], ["albumin", "albino"]])], "header string, options array<array<string>>")
     product = F.aggregate("options", F.array(F.lit("")), lambda acc, o: F.flatten(F.transform(acc, lambda a: F.transform(o, lambda x: F.btrim(F.concat_ws(" ", a, x))))))
@@ -366,7 +458,15 @@ def _(s, d):
     return M.nearest(e.where("vec_id % 50 = 0"), e, 5)
 
 
-@query("tfidf_similarity", "WITH t AS (SELECT item_id, token, count(*) AS tf FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM benchmark) GROUP BY ALL), f AS (SELECT token, ln((1 + (SELECT count(*) FROM benchmark)) / (1 + count(*))) + 1 AS idf FROM t GROUP BY token), w AS (SELECT item_id, token, tf * idf AS x FROM t JOIN f USING (token)), n AS (SELECT item_id, sqrt(sum(x * x)) AS z FROM w GROUP BY 1) SELECT a.item_id AS a, b.item_id AS b, round(sum(a.x * b.x) / any_value(na.z) / any_value(nb.z), 5) AS sim FROM w a JOIN w b ON a.token = b.token AND a.item_id < b.item_id JOIN n na ON na.item_id = a.item_id JOIN n nb ON nb.item_id = b.item_id GROUP BY 1, 2")
+@query(
+    "tfidf_similarity",
+    """WITH t AS (SELECT item_id, token, count(*) AS tf FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token
+FROM benchmark) GROUP BY ALL), f AS (SELECT token, ln((1 + (SELECT count(*) FROM benchmark)) / (1 + count(*))) + 1 AS idf
+FROM t GROUP BY token), w AS (SELECT item_id, token, tf * idf AS x FROM t JOIN f USING (token)), n AS (SELECT item_id, sqrt(sum(x * x)) AS z
+FROM w GROUP BY 1) SELECT a.item_id AS a, b.item_id AS b, round(sum(a.x * b.x) / any_value(na.z) / any_value(nb.z), 5) AS sim
+FROM w a JOIN w b ON a.token = b.token AND a.item_id < b.item_id JOIN n na ON na.item_id = a.item_id
+JOIN n nb ON nb.item_id = b.item_id GROUP BY 1, 2""",
+)
 def _(s, d):
     items = table(s, d, "benchmark")
     t = M.postings(items, "item_id", "text", ())
@@ -376,19 +476,33 @@ def _(s, d):
     return w.alias("a").join(w.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.entity") < F.col("b.entity"))).groupBy(F.col("a.entity").alias("a"), F.col("b.entity").alias("b")).agg(F.round(F.sum(F.col("a.x") * F.col("b.x")), 5).alias("sim"))
 
 
-@query("alignment_prf", "WITH p AS (SELECT doc_id FROM documents WHERE contains(text, '|') OR contains(text, '&&')), r AS (SELECT doc_id FROM labels WHERE quality = 0), x AS (SELECT (SELECT count(*) FROM p WHERE doc_id IN (SELECT doc_id FROM r)) AS tp, (SELECT count(*) FROM p) AS np, (SELECT count(*) FROM r) AS nr) SELECT tp, round(tp / np, 3) AS precision, round(tp / nr, 3) AS recall, round(2 * (tp / np) * (tp / nr) / (tp / np + tp / nr), 3) AS f1 FROM x")
+@query(
+    "alignment_prf",
+    """WITH p AS (SELECT doc_id FROM documents WHERE contains(text, '|') OR contains(text, '&&')), r AS (SELECT doc_id
+FROM labels WHERE quality = 0), x AS (SELECT (SELECT count(*) FROM p WHERE doc_id IN (SELECT doc_id
+FROM r)) AS tp, (SELECT count(*) FROM p) AS np, (SELECT count(*) FROM r) AS nr) SELECT tp, round(tp / np, 3) AS precision, round(tp / nr, 3) AS
+recall, round(2 * (tp / np) * (tp / nr) / (tp / np + tp / nr), 3) AS f1 FROM x""",
+)
 def _(s, d):
     p = table(s, d, "documents").where("contains(text, '|') or contains(text, '&&')").select("doc_id")
     return M.precision_recall(p, table(s, d, "labels").where("quality = 0").select("doc_id"), ["doc_id"])
 
 
-@query("hits_mrr", _PJ + " SELECT round(avg((bes_rank <= 1)::INT), 3) AS hits1, round(avg((bes_rank <= 5)::INT), 3) AS hits5, round(avg(1 / bes_rank), 3) AS mrr FROM rk WHERE pj_rank = 1")
+@query(
+    "hits_mrr",
+    _PJ + """ SELECT round(avg((bes_rank <= 1)::INT), 3) AS hits1, round(avg((bes_rank <= 5)::INT), 3) AS hits5, round(avg(1 / bes_rank), 3) AS mrr
+FROM rk WHERE pj_rank = 1""",
+)
 def _(s, d):
     r = F.col("bes_rank")
     return _ranked(s, d).where("pj_rank = 1").agg(F.round(F.avg((r <= 1).cast("int")), 3).alias("hits1"), F.round(F.avg((r <= 5).cast("int")), 3).alias("hits5"), F.round(F.avg(1 / r), 3).alias("mrr"))
 
 
-@query("synonym_pairs", "SELECT DISTINCT a.p_name AS a, b.p_name AS b FROM (SELECT DISTINCT p_brand, p_type, p_size, p_name FROM part) a JOIN (SELECT DISTINCT p_brand, p_type, p_size, p_name FROM part) b USING (p_brand, p_type, p_size)")
+@query(
+    "synonym_pairs",
+    """SELECT DISTINCT a.p_name AS a, b.p_name AS b FROM (SELECT DISTINCT p_brand, p_type, p_size, p_name
+FROM part) a JOIN (SELECT DISTINCT p_brand, p_type, p_size, p_name FROM part) b USING (p_brand, p_type, p_size)""",
+)
 def _(s, d):
     g = table(s, d, "part").select("p_brand", "p_type", "p_size", "p_name").distinct()
     return g.alias("x").join(g.alias("y"), ["p_brand", "p_type", "p_size"]).select(F.col("x.p_name").alias("a"), F.col("y.p_name").alias("b")).distinct()
@@ -416,7 +530,11 @@ def _pii(s: SparkSession) -> tuple[DataFrame, DataFrame]:
     return H.closure(s.createDataFrame(_TAXONOMY, "child string, parent string")), s.createDataFrame(_MATCHES, "table string, column string, match string")
 
 
-@query("pii_flags", _PII_SQL + " SELECT \"table\", \"column\", bool_or(ancestor = 'PersonalData') AS is_personal, bool_or(ancestor = 'Identifying') AS is_identifying, bool_or(ancestor = 'SpecialCategoryPersonalData') AS is_special FROM m JOIN rc ON match = node GROUP BY ALL")
+@query(
+    "pii_flags",
+    _PII_SQL + """ SELECT "table", "column", bool_or(ancestor = 'PersonalData') AS is_personal, bool_or(ancestor = 'Identifying') AS is_identifying, bool_or(ancestor =
+'SpecialCategoryPersonalData') AS is_special FROM m JOIN rc ON match = node GROUP BY ALL""",
+)
 def _(s, d):
     return kg.pii_flags(*_pii(s))
 
@@ -426,7 +544,11 @@ def _(s, d):
     return kg.most_specific(*_pii(s))
 
 
-@query("pii_append_notified", _PII_SQL + " SELECT DISTINCT \"table\", \"column\", true AS is_personal FROM m WHERE match <> 'Colour' UNION SELECT 'orders', c, true FROM (VALUES ('o_custkey'), ('o_clerk'), ('o_status')) v(c) WHERE c LIKE '%key' OR c LIKE '%clerk'")
+@query(
+    "pii_append_notified",
+    _PII_SQL + """ SELECT DISTINCT "table", "column", true AS is_personal FROM m WHERE match <> 'Colour' UNION SELECT 'orders', c, true
+FROM (VALUES ('o_custkey'), ('o_clerk'), ('o_status')) v(c) WHERE c LIKE '%key' OR c LIKE '%clerk'""",
+)
 def _(s, d):
     flags = kg.pii_flags(*_pii(s)).where("is_personal").select("table", "column", "is_personal")
     columns = s.createDataFrame([("orders", "o_custkey"), ("orders", "o_clerk"), ("orders", "o_status"), ("customer", "c_name")], "table string, column string")
@@ -439,11 +561,17 @@ def _(s, d):
     return _pii(s)[1].groupBy(F.col("column").alias("dataset_element")).agg(joined("table").alias("sources"), joined("match").alias("matches"))
 
 
-@query("notification_stream")
+@query(
+    "notification_stream",
+    """WITH n AS (SELECT 'file' || conv_id % 7 AS filename, conv_id || '-' || turn AS metadata_id, role, conv_id * 1000 + turn AS seq, 't' || turn % 3 AS t FROM conversations)
+SELECT filename, arg_max(metadata_id, seq) AS metadata_id, arg_max(role, seq) AS domain, max(seq) AS seq, count(*) AS n_seen, string_agg(DISTINCT t, ',' ORDER BY t) AS tables, coalesce(string_agg(DISTINCT role, ',') FILTER (role = 'user'), '') AS piis FROM n GROUP BY 1""",
+)
 def _(s, d):
+    """The state after the last micro-batch; the id before it depends on how notifications fall into batches, so it isn't compared."""
     from graphloom.streaming.notifications import demo
 
-    return demo(s, table(s, d, "conversations"))
+    got = demo(s, table(s, d, "conversations"))
+    return got.select("filename", "metadata_id", "domain", "seq", "n_seen", F.array_join("tables", ",").alias("tables"), F.array_join("piis", ",").alias("piis"))
 
 
 # Further queries register themselves.

@@ -7,19 +7,24 @@ from pyspark.sql import functions as F
 
 from graphloom.session import fresh_dir
 
-SCHEMA = "metadata_id string, filename string, domain string, seq long"
+SCHEMA = "metadata_id string, filename string, domain string, seq long, tables array<string>, piis array<string>"
 
 
 def latest(state: DataFrame | None, batch: DataFrame) -> DataFrame:
-    """One row for each file: its newest notification, and the metadata_id before it."""
-    new = batch.groupBy("filename").agg(F.max_by(F.struct("metadata_id", "domain", "seq"), "seq").alias("n"), F.count("*").alias("n_seen")).select("filename", "n.*", "n_seen")
+    """One row for each file: its newest notification, the metadata_id before it, and what is carried from one to the next: how many there were, the tables it brought, the columns named as personal."""
+    whole = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce(c, F.array().cast("array<string>")))))).alias(c)
+    new = batch.groupBy("filename").agg(F.max_by(F.struct("metadata_id", "domain", "seq"), "seq").alias("n"), F.count("*").alias("n_seen"), whole("tables"), whole("piis")).select("filename", "n.*", "n_seen", "tables", "piis")
     if state is None:
         return new.withColumn("previous_id", F.lit(None).cast("string"))
-    old = state.select("filename", *(F.col(c).alias(f"o_{c}") for c in ("metadata_id", "domain", "seq", "n_seen", "previous_id")))
+    old = state.select("filename", *(F.col(c).alias(f"o_{c}") for c in ("metadata_id", "domain", "seq", "n_seen", "tables", "piis", "previous_id")))
     both = new.join(old, "filename", "full")
-    pick = lambda c: F.coalesce(c, f"o_{c}").alias(c)
-    previous = F.when(F.col("metadata_id").isNotNull(), F.col("o_metadata_id")).otherwise(F.col("o_previous_id"))
-    return both.select("filename", pick("metadata_id"), pick("domain"), pick("seq"), (F.coalesce("n_seen", F.lit(0)) + F.coalesce("o_n_seen", F.lit(0))).alias("n_seen"), previous.alias("previous_id"))
+    # a notification that comes late is counted, but the newest one stays
+    newer = F.col("seq").isNotNull() & (F.col("o_seq").isNull() | (F.col("seq") >= F.col("o_seq")))
+    pick = lambda c: F.when(newer, F.col(c)).otherwise(F.col(f"o_{c}")).alias(c)
+    none = F.array().cast("array<string>")
+    add = lambda c: F.array_sort(F.array_union(F.coalesce(f"o_{c}", none), F.coalesce(c, none))).alias(c)
+    previous = F.when(newer, F.col("o_metadata_id")).otherwise(F.col("o_previous_id"))
+    return both.select("filename", pick("metadata_id"), pick("domain"), pick("seq"), (F.coalesce("n_seen", F.lit(0)) + F.coalesce("o_n_seen", F.lit(0))).alias("n_seen"), add("tables"), add("piis"), previous.alias("previous_id"))
 
 
 def run(spark: SparkSession, folder: str, checkpoint: str, files_per_batch: int = 1) -> DataFrame:
@@ -49,5 +54,5 @@ def run(spark: SparkSession, folder: str, checkpoint: str, files_per_batch: int
 def demo(spark: SparkSession, rows: DataFrame) -> DataFrame:
     """Notifications made of conversations, written in two parts and read as a stream."""
     root = fresh_dir(spark, "notifications")
-    rows.select(F.concat_ws("-", "conv_id", "turn").alias("metadata_id"), F.concat(F.lit("file"), (F.col("conv_id") % 7).cast("string")).alias("filename"), F.col("role").alias("domain"), (F.col("conv_id") * 1000 + F.col("turn")).alias("seq")).repartition(2).write.json(f"{root}/in")
+    rows.select(F.concat_ws("-", "conv_id", "turn").alias("metadata_id"), F.concat(F.lit("file"), (F.col("conv_id") % 7).cast("string")).alias("filename"), F.col("role").alias("domain"), (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), F.array(F.concat(F.lit("t"), (F.col("turn") % 3).cast("string"))).alias("tables"), F.when(F.col("role") == "user", F.array("role")).alias("piis")).repartition(2).write.json(f"{root}/in")
     return run(spark, f"{root}/in", f"{root}/state")

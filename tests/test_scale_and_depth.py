@@ -103,3 +103,20 @@ def test_nearest_in_parts(spark):
     v = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
     key = lambda d: sorted(map(tuple, d.collect()))
     assert key(M.nearest(v.where("vec_id % 50 = 0"), v, 3)) == key(M.nearest(v.where("vec_id % 50 = 0"), v, 3, 1))
+
+
+def test_a_stream_that_starts_again_goes_on(spark, tmp_path):
+    from graphloom.streaming import notifications as N
+
+    def put(name, rows):
+        spark.createDataFrame(rows, N.SCHEMA).coalesce(1).write.json(str(tmp_path / "in" / name))
+
+    read = lambda: {r.filename: r for r in N.run(spark, str(tmp_path / "in/*"), str(tmp_path / "state")).collect()}
+    put("1", [("m1", "f", "d", 1, ["a"], ["x"]), ("m2", "f", "d", 2, ["b"], None)])
+    assert read()["f"].metadata_id == "m2"
+    put("2", [("m4", "f", "e", 4, ["a"], ["y"]), ("k1", "g", "d", 1, None, None)])
+    got = read()  # another run over the same state, as after a failure
+    assert (got["f"].metadata_id, got["f"].previous_id, got["f"].n_seen, got["f"].tables, got["f"].piis) == ("m4", "m2", 3, ["a", "b"], ["x", "y"]) and got["g"].previous_id is None
+    put("3", [("m3", "f", "late", 3, None, None)])
+    got = read()
+    assert (got["f"].metadata_id, got["f"].domain, got["f"].n_seen) == ("m4", "e", 4)
