@@ -26,7 +26,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, id_and_text, small_batches, table, whole_text
@@ -36,7 +36,7 @@ N, THRESHOLD, RECALL = 5, 0.8, 0.999
 MOST_HASHES = 256
 TILE = 512
 SMALL_ROWS = 2_000
-#: Parts that the edges of one node are dealt in.
+#: Parts that the rows of one key are dealt in.
 SALTS = 256
 KEPT = 400_000
 
@@ -119,11 +119,16 @@ def signatures(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall
     return named(docs).mapInArrow(run, "doc_id long, h long, set_key binary, bands array<long>")
 
 
+def beside(rows: DataFrame, key: str, spread: str, first: Column, whole) -> DataFrame:
+    """The rows with x, an aggregate of their key's rows: first of each part, whole(x) of the parts. A key's rows are dealt in SALTS parts by the column spread, of which only those there come back with x, so no task holds all rows of a key."""
+    dealt = rows.withColumn("s", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    parts = dealt.groupBy(key, "s").agg(first.alias("x")).groupBy(key).agg(whole("x").alias("x"), F.collect_list("s").alias("s"))
+    return dealt.join(parts.select(key, "x", F.explode("s").alias("s")), [key, "s"]).drop("s")
+
+
 def with_least(edges: DataFrame) -> DataFrame:
-    """u, v and m, the least v of each u. A node's edges are dealt in SALTS parts, of which only those there come back with m, so no task holds all edges of a node."""
-    dealt = edges.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
-    parts = dealt.groupBy("u", "s").agg(F.min("v").alias("m")).groupBy("u").agg(F.min("m").alias("m"), F.collect_list("s").alias("s"))
-    return dealt.join(parts.select("u", "m", F.explode("s").alias("s")), ["u", "s"]).select("u", "v", "m")
+    """u, v and m, the least v of each u."""
+    return beside(edges, "u", "v", F.min("v"), F.min).select("u", "v", F.col("x").alias("m"))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -226,8 +231,8 @@ def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: floa
     banded = reps.select("node", F.explode("bands").alias("band"))
     heads = banded.groupBy("band").agg(F.min("node").alias("head"), F.count("*").alias("members")).where("members > 1").drop("members")
     parts = cut(components(banded.join(heads, "band").where("node <> head").select("node", "head").distinct(), "node", "head"))
-    sizes = parts.groupBy("comp").agg(F.count("*").alias("size"))
-    wanted = parts.join(sizes, "comp").join(reps.select("node", "rep", "rep_h", "n"), "node")
+    sized = beside(parts, "comp", "node", F.count("*"), F.sum).withColumnRenamed("x", "size")
+    wanted = sized.join(reps.select("node", "rep", "rep_h", "n"), "node")
 
     def with_sets(batches):
         for b in batches:
@@ -246,8 +251,7 @@ def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: floa
     ties = components(verified.where("node <> root").select("node", "root"), "node", "root")
     linked_to = verified.groupBy("node").agg(F.sum("links").alias("links"))
     known = reps.select("node", "rep", "n").join(ties, "node", "left").join(linked_to, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    classes = known.groupBy("comp").agg(F.min("rep").alias("class_id"))
-    info = known.join(classes, "comp").select(F.col("node").alias("set_key"), "comp", "class_id", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    info = beside(known, "comp", "node", F.min("rep"), F.min).withColumnRenamed("x", "class_id").select(F.col("node").alias("set_key"), "comp", "class_id", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     return signed.select("doc_id", "h", "set_key").join(info, "set_key")
 
 
