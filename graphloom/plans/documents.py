@@ -263,7 +263,7 @@ def _(s, d):
     return M.landing(s, folder, ".json").agg(F.count("*").alias("files"))
 
 
-@query("config_presets", "SELECT 200 AS pool, 20 AS best, 0.85 AS extend, 0.9 AS keep, 'orders' AS dataset, 4 AS properties")
+@query("config_presets", "SELECT 200 AS pool, 20 AS best, 0.85::DOUBLE AS extend, 0.9::DOUBLE AS keep, 'orders' AS dataset, 4 AS properties")
 def _(s, d):
     c = G.Config.of('{"dataset": "orders", "domain": "health"}')
     c = G.Config.of(c.with_(depth=3).text())
