@@ -20,12 +20,12 @@ get the same key; rows tied at the threshold are all kept. Without labelled rows
 
 from __future__ import annotations
 
-import hashlib
 import math
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,13 +47,12 @@ class Words(dict):
     """A run's hash and shape, packed."""
 
     def __missing__(self, run: str) -> int:
-        h = int.from_bytes(hashlib.blake2b(run.lower().encode(), digest_size=8).digest(), "little")
         core = run.rstrip(".,;:!?")
-        letters = [c for c in core if c.isalpha()]
-        case = 0 if not letters else 3 if len(letters) > 1 and all(c.isupper() for c in letters) else 1 if all(c.islower() for c in letters) else 2 if letters[0].isupper() and all(c.islower() for c in letters[1:]) else 4
-        odd = sum(not c.isalnum() for c in core)
-        tail = 4 if odd > 1 else 3 if odd else 0 if core == run else 1 if run[len(core) :] in (".", ",") else 2
-        out = (h & ~127) | (case * 20 + tail * 4 + min(3, len(core) // 4))
+        letters = core if core.isalpha() else "".join(filter(str.isalpha, core))
+        case = 0 if not letters else 1 if letters.islower() else 3 if len(letters) > 1 and letters.isupper() else 2 if letters.istitle() else 4
+        odd = 0 if core.isalnum() else sum(not c.isalnum() for c in core)
+        tail = 4 if odd > 1 else 3 if odd else 0 if len(core) == len(run) else 1 if run[len(core) :] in (".", ",") else 2
+        out = (xxhash.xxh64_intdigest(run.lower()) & ~127) | (case * 20 + tail * 4 + min(3, len(core) // 4))
         if len(self) >= KEPT:
             self.clear()
         if len(run) <= 64:
@@ -67,10 +66,12 @@ _words = Words()
 def ngrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bucket of each n-gram and the number of its text: words, then pairs, then shapes."""
     names, index, at = runs(texts)
-    packed = np.fromiter(map(_words.__getitem__, names.to_pylist()), np.uint64, len(names))[index]
+    names = names.to_pylist()
+    packed = np.fromiter(map(_words.__getitem__, names), np.uint64, len(names))[index]
     doc = np.repeat(np.arange(len(texts)), np.diff(at))
-    real = np.array([bool(x) for x in names.to_pylist()], bool)[index] if len(index) else np.zeros(0, bool)
-    packed, doc = packed[real], doc[real]
+    if "" in names:
+        real = index != names.index("")
+        packed, doc = packed[real], doc[real]
     h, shape = packed >> np.uint64(7), (packed & np.uint64(127)).astype(np.int64)
     same_doc = doc[1:] == doc[:-1]
     first, second = h[:-1][same_doc], h[1:][same_doc]
@@ -80,10 +81,8 @@ def ngrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if len(h) > 2:
         inside = doc[2:] == doc[:-2]
         key = chained([h[:-2], h[1:-1], h[2:], doc[2:].astype(np.uint64)])
-        new = np.zeros(len(key), bool)
-        new[np.unique(key, return_index=True)[1]] = True
         again = np.zeros(len(h), bool)
-        again[1:-1] = inside & ~new  # the second word of a triple that the text already had
+        again[1:-1] = inside & pd.Series(key).duplicated().to_numpy()  # the second word of a triple that the text already had
         triple = again[place]
     flag = np.where(first == second, 2, triple.astype(np.int64))
     shapes = (shape[:-1][same_doc] * CLASSES + shape[1:][same_doc]) * 3 + flag
