@@ -29,7 +29,8 @@ from .common import id_and_text, small_batches, table
 from .runs import blank_runs, spread
 from .wordbpe import vocabulary
 
-CACHE_RUNS = 300_000
+#: Entries of a cache, about 200 bytes each: the runs and pre-tokens that a worker meets are told once, not after every 20 MB anew.
+CACHE_RUNS = 1_000_000
 LONGEST_KEPT = 48
 _WS = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 #: A blank at an end of the text or beside other white space: such texts are cut by the pattern as a whole.
@@ -111,12 +112,16 @@ class ByteBPE:
         n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         rank_at = [-1] * n
-        for i in range(n - 1):
-            if ids[i] >= 0 and ids[i + 1] >= 0:
-                r = merge((ids[i] << 20) | ids[i + 1])
+        held, push = queue.buckets, queue.push
+        for i, (a, b) in enumerate(zip(ids, ids[1:])):  # noqa: B905
+            if a >= 0 and b >= 0:
+                r = merge((a << 20) | b)
                 if r is not None:
                     rank_at[i] = r
-                    queue.push(r, i)
+                    if r in held:
+                        held[r].append(i)
+                    else:
+                        push(r, i)
         while (rank := queue.first()) >= 0:
             bucket = sorted(queue.take(rank))
             for k, i in enumerate(bucket):
@@ -132,11 +137,14 @@ class ByteBPE:
                         r = merge((ids[x] << 20) | ids[y]) if ids[y] >= 0 else None
                         rank_at[x] = -1 if r is None else r
                         if r is not None:
-                            queue.push(r, x)
+                            if r in held:
+                                held[r].append(x)
+                            else:
+                                push(r, x)
                             lower = lower or r < rank
                 if lower:  # a new pair comes before the rest of this bucket
                     for x in bucket[k + 1 :]:
-                        queue.push(rank, x)
+                        push(rank, x)
                     break
         out = []
         for i in heads:
