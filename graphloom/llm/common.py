@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch sent to Python: bounds a worker's memory when texts are long.
 BATCH_ROWS = 512
+#: What operators keep in a Python worker from batch to batch, by operator.
+_kept: dict[str, dict] = {}
+#: Only the GNU C library has it, and needs it.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", lambda pad: 0)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +38,38 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def kept(owner: str, cache: dict) -> dict:
+    """The cache, known to alone()."""
+    _kept[owner] = cache
+    return cache
+
+
+def alone(owner: str) -> None:
+    """A Python worker serves the operators of a job one after the other; what it kept for others goes, else their caches add up."""
+    for name, cache in _kept.items():
+        if name != owner and cache:
+            cache.clear()
+
+
+def give_back() -> None:
+    """Memory that is free but held by the allocators goes back to the system; idle workers stand beside the JVM in an executor's limit."""
+    pa.default_memory_pool().release_unused()
+    _trim(0)
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, a function for mapInArrow, that gives memory back after each batch and at its end."""
+
+    def tidied(batches):
+        for out in run(batches):
+            yield out
+            del out
+            give_back()
+        give_back()
+
+    return tidied
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir. Only a local session, where both are one process, may name none and gets one."""
     context = spark.sparkContext

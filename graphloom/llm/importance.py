@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_dir, id_and_text, small_batches, table, whole_text
+from .common import alone, fresh_dir, give_back, id_and_text, kept, small_batches, table, whole_text
 from .runs import chained, runs
 
 TARGET_ROWS = 20_000
@@ -60,11 +60,12 @@ class Words(dict):
         return out
 
 
-_words = Words()
+_words = kept("importance", Words())
 
 
 def ngrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bucket of each n-gram and the number of its text: words, then pairs, then shapes."""
+    alone("importance")
     names, index, at = runs(texts)
     names = names.to_pylist()
     packed = np.fromiter(map(_words.__getitem__, names), np.uint64, len(names))[index]
@@ -113,6 +114,8 @@ def log_ratios(docs: DataFrame, target: list[int]) -> np.ndarray:
             mine = np.isin(ids, wanted)[doc] if len(doc) else np.zeros(0, bool)
             raw += np.bincount(buckets, minlength=BUCKETS)
             good += np.bincount(buckets[mine], minlength=BUCKETS)
+            del buckets, doc, mine
+            give_back()
         some = np.nonzero(raw)[0]
         for k in range(0, len(some), 10_000):
             part = some[k : k + 10_000]
@@ -130,19 +133,26 @@ def log_ratios(docs: DataFrame, target: list[int]) -> np.ndarray:
     return out
 
 
+def log_weights(texts: pa.Array, ratios: np.ndarray) -> np.ndarray:
+    """The log weight of each text."""
+    n = len(texts)
+    buckets, doc = ngrams(texts)
+    kind = np.searchsorted([WORDS, WORDS + PAIRS], buckets, side="right")
+    where = doc * 3 + kind
+    total = np.bincount(where, weights=ratios[buckets], minlength=3 * n)
+    count = np.bincount(where, minlength=3 * n)
+    return LENGTH * (total / np.maximum(count, 1)).reshape(n, 3).sum(1)
+
+
 def weight_column(spark: SparkSession, ratios: np.ndarray, text: Column) -> Column:
     """The log weight of a text, as a column beside all others."""
     shared = spark.sparkContext.broadcast(ratios)  # one number for each bucket, whatever the corpus
 
     @F.pandas_udf("double")
     def weight(texts: pd.Series) -> pd.Series:
-        table_, n = shared.value, len(texts)
-        buckets, doc = ngrams(pa.array(texts, pa.string()))
-        kind = np.searchsorted([WORDS, WORDS + PAIRS], buckets, side="right")
-        where = doc * 3 + kind
-        total = np.bincount(where, weights=table_[buckets], minlength=3 * n)
-        count = np.bincount(where, minlength=3 * n)
-        return pd.Series(LENGTH * (total / np.maximum(count, 1)).reshape(n, 3).sum(1))
+        out = pd.Series(log_weights(pa.array(texts, pa.string()), shared.value))
+        give_back()
+        return out
 
     return weight(F.coalesce(text, F.lit("")))
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, id_and_text, small_batches, table, whole_text
+from .common import alone, cut, give_back, id_and_text, kept, small_batches, table, tidy, whole_text
 from .runs import chained, mixed, runs
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.999
@@ -62,11 +62,12 @@ class Words(dict):
         return h
 
 
-_words = Words()
+_words = kept("ngram_join", Words())
 
 
 def shingle_sets(texts: pa.Array, n: int = N) -> list[np.ndarray]:
     """Each text's sorted set of shingle hashes (64 bits)."""
+    alone("ngram_join")
     names, index, at = runs(texts)
     names = names.to_pylist()
     hashes = np.fromiter(map(_words.__getitem__, names), np.uint64, len(names))[index]
@@ -116,7 +117,7 @@ def signatures(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall
             sets = shingle_sets(b.column("text"), n)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array(list(map(set_key, sets)), pa.binary()), pa.array([band_hashes(s, multipliers, bands) for s in sets], pa.list_(pa.int64()))], ["doc_id", "h", "set_key", "bands"])
 
-    return named(docs).mapInArrow(run, "doc_id long, h long, set_key binary, bands array<long>")
+    return named(docs).mapInArrow(tidy(run), "doc_id long, h long, set_key binary, bands array<long>")
 
 
 def beside(rows: DataFrame, key: str, spread: str, first: Column, whole) -> DataFrame:
@@ -241,13 +242,19 @@ def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: floa
 
     # id and text name a row; rows that repeat another whole bring the same set, and one of them stays
     texts = named(docs).join(wanted, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("h") == F.col("rep_h")))
-    full = texts.select("text", "comp", "node", "size", "n").mapInArrow(with_sets, "comp binary, node binary, size long, n long, shingles array<long>").dropDuplicates(["node"])
+    full = texts.select("text", "comp", "node", "size", "n").mapInArrow(tidy(with_sets), "comp binary, node binary, size long, n long, shingles array<long>").dropDuplicates(["node"])
     tiles = F.ceil(F.col("size") / tile).cast("int")
     own = F.pmod(F.xxhash64("node"), tiles).cast("int")
     bundle = F.concat(F.lit("s"), F.pmod(F.xxhash64("comp"), F.lit(max(1, wanted.count() // SMALL_ROWS + 1))).cast("string"))
     pairs = F.transform(F.sequence(F.lit(0), tiles - 1), lambda t: F.struct(F.concat_ws("-", F.hex("comp"), F.least(own, t), F.greatest(own, t)).alias("g"), F.when(own > t, 1).otherwise(0).alias("side")))
     dealt = full.withColumn("at", F.explode(F.when(tiles == 1, F.array(F.struct(bundle.alias("g"), F.lit(0).alias("side")))).otherwise(pairs))).select("at.g", "at.side", "comp", "node", "n", "shingles")
-    verified = cut(dealt.groupBy("g").applyInArrow(lambda t: verify(t, threshold), "node binary, root binary, links long"))
+
+    def verified_part(part: pa.Table) -> pa.Table:
+        out = verify(part, threshold)
+        give_back()
+        return out
+
+    verified = cut(dealt.groupBy("g").applyInArrow(verified_part, "node binary, root binary, links long"))
     ties = components(verified.where("node <> root").select("node", "root"), "node", "root")
     linked_to = verified.groupBy("node").agg(F.sum("links").alias("links"))
     known = reps.select("node", "rep", "n").join(ties, "node", "left").join(linked_to, "node", "left").withColumn("comp", F.coalesce("comp", "node"))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, id_and_text, small_batches, table
+from .common import cut, id_and_text, small_batches, table, tidy
 from .wordbpe import LIMIT, of_worker, vocabulary
 
 GROUP_ROWS = 8192
@@ -198,7 +198,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = LIMIT) -> DataFrame:
             columns = list(zip(*rows, strict=True)) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
-    return id_and_text(docs).mapInArrow(run, PIECES)
+    return id_and_text(docs).mapInArrow(tidy(run), PIECES)
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = LIMIT, group_rows: int = GROUP_ROWS, nodes: int = NODES) -> DataFrame:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, id_and_text, small_batches, table, whole_text
+from .common import alone, cut, give_back, id_and_text, small_batches, table, tidy, whole_text
 from .runs import runs
 
 TOXIC_ROWS, OTHER_ROWS = 4_000, 8_000
@@ -149,6 +149,7 @@ def token_weight(model: "Field", run: str) -> float | None:
 
 def tagged(texts: pa.Array, model: Field) -> list[tuple[int, list[int], list[float]]]:
     """Of each text the number of words, the places of words with a weight of their own, and their marginals."""
+    alone("toxicity")
     names, index, at = runs(texts, lower=True)
     weight = [token_weight(model, x) for x in names.to_pylist()]
     known = np.array([w is not None for w in weight], bool)[index] if len(index) else np.zeros(0, bool)
@@ -264,7 +265,7 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, othe
     totals = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not totals.get(1):
         return Field()
-    seen = sample.mapInArrow(words, "toxic int, words array<string>").select("toxic", F.explode("words").alias("w")).groupBy("w").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
+    seen = sample.mapInArrow(tidy(words), "toxic int, words array<string>").select("toxic", F.explode("words").alias("w")).groupBy("w").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
     likely = seen.where((F.col("t") >= LEAST_DOCS) & (F.col("t") / totals[1] > LEAST_RATIO * (F.col("c") + 0.5) / max(1, totals.get(0, 0))))
     candidates = {r.w for r in likely.select("w").collect()}
 
@@ -293,8 +294,8 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, othe
             texts = [t.lower().split() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([min((zlib.crc32(x.encode()) for x in set(ws) if len(x) > 5), default=0) for ws in texts], pa.int64()), pa.array([sorted({f for x in told(ws) for f in x}) for ws in texts], pa.list_(pa.string()))], ["copy", "spots"])
 
-    got = sample.mapInArrow(windows, "toxic int, window array<string>").groupBy("toxic", "window").agg(F.count("*").alias("times")).orderBy("toxic", "window").toPandas()
-    held = sample.where("toxic = 1").select("text").mapInArrow(spots, "copy long, spots array<string>").collect()
+    got = sample.mapInArrow(tidy(windows), "toxic int, window array<string>").groupBy("toxic", "window").agg(F.count("*").alias("times")).orderBy("toxic", "window").toPandas()
+    held = sample.where("toxic = 1").select("text").mapInArrow(tidy(spots), "copy long, spots array<string>").collect()
     toxic_features = supported([(r.copy, r.spots) for r in held if r.spots], totals[1] / sum(totals.values()))
     number = {w: i for i, w in enumerate(["", *sorted(candidates)])}
     width, per = 2 * WINDOW + 1, 2 + len(PREFIXES)
@@ -323,7 +324,7 @@ def _link(sample: DataFrame, model: Field, for_each: dict[int, float]) -> tuple[
             xs = [model.features(found, background) for _, _, found in tagged(b.column("text"), model)]
             yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array([x for x, _ in xs], pa.float64()), pa.array([y for _, y in xs], pa.float64())], ["toxic", "x", "y"])
 
-    rows = sample.mapInArrow(run, "toxic int, x double, y double").collect()
+    rows = sample.mapInArrow(tidy(run), "toxic int, x double, y double").collect()
     x, y = np.array([[r.x, r.y, 1.0] for r in rows]), np.array([r.toxic for r in rows], float)
     w, times = np.zeros(3), np.where(y == 1, for_each[1], for_each[0])
     times = times / times.mean()
@@ -339,7 +340,9 @@ def score_column(model: Field, text: Column) -> Column:
 
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
-        return pd.Series([model.score(found, background) for _, _, found in tagged(pa.array(texts, pa.string()), model)], dtype="float64")
+        out = pd.Series([model.score(found, background) for _, _, found in tagged(pa.array(texts, pa.string()), model)], dtype="float64")
+        give_back()
+        return out
 
     return scored(F.coalesce(text, F.lit("")))
 
@@ -357,7 +360,7 @@ def score_documents(docs: DataFrame, model: Field) -> DataFrame:
             where = [[{"start": s, "end": e, "marginal": m} for s, e, m in spans(b.column("text")[i].as_py(), places, x)] if places else [] for i, (_, places, x) in enumerate(found)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(where, span)], ["doc_id", "score", "predicted", "spans"])
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, score double, predicted int, spans array<struct<start:long,end:long,marginal:double>>")
+    return id_and_text(docs).mapInArrow(tidy(run), "doc_id long, score double, predicted int, spans array<struct<start:long,end:long,marginal:double>>")
 
 
 def op9_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:

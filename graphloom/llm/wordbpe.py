@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, small_batches, table
+from .common import alone, id_and_text, kept, small_batches, table, tidy
 from .runs import runs, spread
 
 #: Blanks at which runs are cut: white space for the library and for Python alike.
@@ -151,11 +151,12 @@ def resynchronised(text: str, encode, chunk: int = CHUNK_CHARS, overlap: int = O
     return ids + left[0][bisect_left(left[1], done) :], n
 
 
-_kept: dict[str, WordBPE] = {}
+_kept: dict[str, WordBPE] = kept("wordbpe", {})
 
 
 def of_worker(path: str) -> WordBPE:
-    """One tokenizer for a Python worker, kept from task to task."""
+    """One tokenizer for a Python worker, kept from task to task of this kind."""
+    alone("wordbpe")
     if path not in _kept:
         _kept[path] = WordBPE(path)
     return _kept[path]
@@ -177,7 +178,7 @@ def count_tokens(docs: DataFrame, path: str, chunk: int = CHUNK_CHARS, overlap:
                 counts[i] = len(ids)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts, pa.int64()), pa.array(chunks, pa.int64())], ["doc_id", "n_bytes", "n_tokens", "n_chunks"])
 
-    return id_and_text(docs).withColumn("n_bytes", F.octet_length("text").cast("long")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, n_chunks long")
+    return id_and_text(docs).withColumn("n_bytes", F.octet_length("text").cast("long")).mapInArrow(tidy(run), "doc_id long, n_bytes long, n_tokens long, n_chunks long")
 
 
 def op2_token_counts(spark, sf_dir: str) -> DataFrame:

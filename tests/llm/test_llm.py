@@ -230,3 +230,16 @@ def test_pipeline_stages_keep_columns_and_clean_documents(spark):
     first = corpus_pipeline.drop_toxic(spark, docs, "/root/testdata/sf0.01")
     assert first.columns == docs.columns and 900 <= first.count() < 1000
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_a_worker_keeps_what_one_operator_needs_only(spark, docs):
+    rows = docs.repartition(8)
+    importance.log_ratios(rows, [1])
+    for made in (ngram_join.signatures(rows), packing.pieces(rows, wordbpe.vocabulary("word_bpe_49k.json"))):
+        made.write.format("noop").mode("overwrite").save()
+
+    def held(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(map(bool, (importance._words, ngram_join._words, wordbpe._kept)))])], ["n"])
+
+    assert max(r.n for r in spark.range(0, 8, 1, 8).mapInArrow(held, "n long").collect()) == 1
